@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import table
+from .neighbours import nearest
 from .near_duplicates import near_duplicate_groups, near_duplicates, pairs_of_members
 from .overlaps import split_overlaps
+from .proportions import proportional_sample
+from .splits import assign_splits, divided, normal_group
+from .varied import crowding, varied_subset
 
 #: Roles of the two sides of problem 1.
 SIDES = {"train": 0, "calibration": 1, "test": 1}
@@ -46,6 +50,63 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_messages(spark, d))
 
 
+WIDTH = 64
+
+
+def _embedded(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embedded").select(F.col("record_id").alias("id"), "used_as", "embedding")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    e = _embedded(spark, d)
+    return nearest(e.filter("used_as = 'pool'"), e.filter("used_as = 'seed'"), 10, WIDTH).select(F.col("query_id").alias("id_a"), F.col("id").alias("id_b"))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Queries: the rows whose id number is divisible by 50, against all rows."""
+    e = _embedded(spark, d)
+    asked = e.filter(F.regexp_extract("id", r"(\d+)$", 1).cast("bigint") % 50 == 0)
+    return nearest(e, asked, 10, WIDTH, complete=True)
+
+
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "example_records").select("id", "group_id", "role")
+    return divided(records, "g", normal_group(F.col("group_id"))).select("group_key")
+
+
+def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "example_records").select("id", "group_id")
+    return assign_splits(records, SHARES, {"g": normal_group(F.col("group_id"))})
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return crowding(_embedded(spark, d).filter("used_as = 'pool'"), WIDTH).filter("near >= 15").select(F.col("id").alias("record_id"))
+
+
+def p6_subset(spark: SparkSession, d: str) -> DataFrame:
+    return varied_subset(_embedded(spark, d).filter("used_as = 'pool'"), table(spark, d, "retrieve_options"), WIDTH)
+
+
+def _proportions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    items = table(spark, d, "frame_items").select("id", "group_id", "design_id", "signals")
+    return proportional_sample(items, table(spark, d, "design_strata"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _proportions(spark, d)[1].filter("not reachable").select("design_id", "stratum")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return _proportions(spark, d)[1]
+
+
+def p7_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _proportions(spark, d)[0]
+
+
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 P1_FOUND = rf"""
@@ -74,12 +135,50 @@ SELECT c.x AS id_a, c.y AS id_b FROM c JOIN t a ON a.id = c.x JOIN t b ON b.id =
 WHERE len(list_intersect(a.w, b.w)) >= 0.7 * (a.n + b.n - len(list_intersect(a.w, b.w)))
 """
 
+VALID = """len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"""
+
+P2_FOUND = f"""
+WITH e AS (SELECT DISTINCT record_id AS id, used_as, embedding::DOUBLE[] AS v FROM embedded WHERE {VALID}),
+c AS (SELECT s.id AS id_a, p.id AS id_b, list_cosine_similarity(s.v, p.v) AS c FROM e s JOIN e p ON s.used_as = 'seed' AND p.used_as = 'pool' AND s.id <> p.id)
+SELECT id_a, id_b FROM c QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY c DESC, id_b) <= 10
+"""
+
+GROUP = r"CASE WHEN trim(group_id) <> '' THEN regexp_replace(lower(trim(group_id)), '^(.*?)0*(\d+)$', '\1\2') END"
+
+P3_FOUND = f"""
+WITH r AS (SELECT {GROUP} AS group_key, role FROM example_records)
+SELECT group_key FROM r WHERE group_key IS NOT NULL GROUP BY group_key HAVING count(DISTINCT role) > 1
+"""
+
+P6_FOUND = f"""
+WITH e AS (SELECT DISTINCT record_id AS id, embedding::DOUBLE[] AS v FROM embedded WHERE used_as = 'pool' AND {VALID})
+SELECT a.id AS record_id FROM e a JOIN e b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.9 GROUP BY a.id HAVING count(DISTINCT b.id) >= 15
+"""
+
+P7_STRATA = f"""
+WITH i AS (SELECT DISTINCT design_id, signals.rule_fires AS rule_fires, lower(trim(signals.slice)) AS slice, signals.score AS score, coalesce({GROUP}, 'item ' || id) AS g FROM frame_items),
+n AS (SELECT s.design_id, s.stratum, any_value(s.n_sample) AS n_sample, count(DISTINCT i.g) AS frame_groups FROM design_strata s LEFT JOIN i
+  ON i.design_id = s.design_id AND i.rule_fires = s.rule_fires AND i.slice = lower(trim(s.slice)) AND NOT isnan(i.score) AND s.band_lower <= i.score AND i.score < s.band_upper
+  GROUP BY s.design_id, s.stratum)
+"""
+
+P7_FOUND = P7_STRATA + "SELECT design_id, stratum FROM n WHERE frame_groups < n_sample"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_overlaps": p1_overlaps,
     "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
+    "p3_found": p3_found,
+    "p3_splits": p3_splits,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_subset": p6_subset,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_sample": p7_sample,
 }
 
-SQL: dict[str, str] = {"p1_found": P1_FOUND, "p5_found": P5_FOUND}
+SQL: dict[str, str] = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
