@@ -1,6 +1,6 @@
 """Candidate pairs from buckets of equal hashes, for texts and vectors alike.
 
-Rows (key, ck, n[, side][, s1, s2]) are hash partitioned by key; each task sorts its rows by key and compares
+Rows (key, ck[, n][, side][, s1][, s2]) are hash partitioned by key; each task sorts its rows by key and compares
 within runs.  A run longer than ``HOT`` is handed on and joined by Spark with salted keys, so that no bucket
 is bound to one task and none is dropped.
 """
@@ -70,6 +70,7 @@ def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float
     larger n.  max_diff: most differing sketch bits.  Copies of (key, ck) count once.
     """
     sketches = [c for c in ("s1", "s2") if c in rows.columns]
+    sized = ["n"] if ratio is not None else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [x for x in batches if x.num_rows]
@@ -95,9 +96,9 @@ def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float
             yield _emit([ck[hot]], [side[hot].astype(np.int64) - 2], [key[hot]])
         keep &= ~hot
         order, key, ck, side = order[keep], key[keep], ck[keep], side[keep]
-        cols = {c: get[c][order] for c in ("n", *sketches)}
+        cols = {c: get[c][order] for c in (*sized, *sketches)}
         del get, order
-        n = cols["n"].astype(np.float64)
+        n = cols["n"].astype(np.float64) if sized else None
         out_a, out_b, size = [], [], 0
         i = np.arange(len(key) - 1)
         d = 1
@@ -129,16 +130,16 @@ def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
             yield _emit([pairs[:, 0]], [pairs[:, 1]], [np.zeros(len(pairs), np.int64)])
 
-    use = rows.select("key", "ck", "n", *(["side"] if sided else []), *sketches)
+    use = rows.select("key", "ck", *sized, *(["side"] if sided else []), *sketches)
     raw = save(use.repartition("key").mapInArrow(run, PAIRS), name)
     # A hot member has its side - 2 in b and its key; a pair has key 0. Keys of 0 are moved to 1 by the callers' hashes.
     pairs = raw.filter(F.col("key") == 0).select("a", "b")
     members = raw.filter(F.col("key") != 0).select("key", F.col("a").alias("ck"), (F.col("b") + 2).alias("side"))
-    attrs = use.select("key", "ck", "n", *sketches).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "ck"])
+    attrs = use.select("key", "ck", *sized, *sketches).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "ck"])
     if members.isEmpty():
         return pairs.distinct()
     left = members.join(attrs, ["key", "ck"])
-    right = left.select("key", *(F.col(c).alias(f"{c}_r") for c in ("ck", "side", "n", *sketches)))
+    right = left.select("key", *(F.col(c).alias(f"{c}_r") for c in ("ck", "side", *sized, *sketches)))
     both = salted_join(left, right, ["key"], SALTS)
     both = both.filter((F.col("side") == 0) & (F.col("side_r") == 1) if sided else F.col("ck") < F.col("ck_r"))
     both = both.filter(_close(ratio, max_diff, sketches))

@@ -14,35 +14,27 @@ from .buckets import SALTS, band_keys, candidates, minhash, one_bit_sketch
 from .common import flat_longs, salted_join, word_set
 from .components import components
 
-#: Defaults: a pair of similarity 0.7 meets in a band with probability 0.92, of 0.75 with 0.985, of 0.8 with 0.999.
-ROWS, BANDS = 7, 30
-SKETCH_BITS = 128
-#: Bits of two sketches that may differ: at similarity 0.7 the mean is 19.2 and the deviation 4.0.
-SKETCH_SLACK = 34
+#: A pair of similarity 0.7 meets in a band with probability 0.92, of 0.75 with 0.98, of 0.8 with 0.998.
+ROWS, BANDS = 6, 20
+SKETCH_BITS = 64
+#: Bits of two sketches that may differ: at similarity 0.7 the mean is 9.6 and the deviation 2.9.
+SKETCH_SLACK = 20
+#: Classes up to which a list of them is broadcast (8 MB); beyond it the join shuffles.
+BROADCAST_CLASSES = 1 << 20
 
 
 def word_sets(docs: DataFrame, min_words: int, name: str = "word-sets") -> DataFrame:
-    """(id, ck, n, words, s1, s2) of the texts with ``min_words`` different words, written to the shared folder.
+    """(id, ck, n, words) of the texts with ``min_words`` different words, written to the shared folder.
 
     ck is a 64-bit hash of the sorted word set: texts of the same set are one class.  Null texts and texts of
     fewer words have no row.  A row delivered twice is there twice; readers take distinct (id, ck).
     """
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                flat, off = flat_longs(b.column("words"))
-                s = one_bit_sketch(minhash(flat, off, SKETCH_BITS, 10_000))
-                short = pa.ListArray.from_arrays(off.astype(np.int32), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("ck"), pa.array(np.diff(off).astype(np.int32)), short, pa.array(s[:, 0]), pa.array(s[:, 1])], names=["id", "ck", "n", "words", "s1", "s2"])
-
     sets = docs.select(F.col("id").cast("string").alias("id"), word_set(F.col("text")).alias("words")).filter((F.size("words") >= min_words) & F.col("id").isNotNull())
-    sets = sets.select("id", F.xxhash64("words").alias("ck"), "words")
-    return save(sets.mapInArrow(sketch, "id string, ck long, n int, words array<int>, s1 long, s2 long"), name)
+    return save(sets.select("id", F.xxhash64("words").alias("ck"), F.size("words").alias("n"), F.transform("words", lambda w: (w % 2147483647).cast("int")).alias("words")), name)
 
 
 def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, ck, n) for every band of every class; a task sends a class once."""
+    """(key, ck, s1) for every band of every class, s1 the one-bit sketch of its minima; a task sends a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -56,30 +48,29 @@ def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
             if new.any():
                 b = b.filter(pa.array(new))
                 flat, off = flat_longs(b.column("words"))
-                keys = band_keys(minhash(flat, off, bands * rows, 0), bands, rows)
+                minima = minhash(flat, off, bands * rows, 0)
+                keys = band_keys(minima, bands, rows)
                 keys[keys == 0] = 1
+                sketch = one_bit_sketch(minima[:, :SKETCH_BITS])[:, 0]
                 for j in range(0, bands, 10):
                     part = keys[:, j : j + 10]
                     wide = part.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.repeat(b.column("ck").to_numpy(), wide)), pa.array(np.repeat(b.column("n").to_numpy(), wide).astype(np.int32))], names=["key", "ck", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.repeat(b.column("ck").to_numpy(), wide)), pa.array(np.repeat(sketch, wide))], names=["key", "ck", "s1"])
 
-    return sets.select("ck", "n", "words").mapInArrow(run, "key long, ck long, n int")
+    return sets.select("ck", "words").mapInArrow(run, "key long, ck long, s1 long")
 
 
 def class_links(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, name: str = "links") -> DataFrame:
     """(a, b, similarity) for classes a < b whose word sets have at least ``threshold`` of all words in common."""
-    pairs = candidates(band_rows(sets, bands, rows), f"{name}-candidates", ratio=threshold)
-    s = sets.select("ck", "s1", "s2").dropDuplicates(["ck"])
-    left = s.select(F.col("ck").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    right = s.select(F.col("ck").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    diff = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    near = save(pairs.join(left, "a").join(right, "b").filter(diff <= SKETCH_SLACK).select("a", "b"), f"{name}-near")
+    near = save(candidates(band_rows(sets, bands, rows), f"{name}-candidates", max_diff=SKETCH_SLACK), f"{name}-near")
     return save(verify(near, sets, threshold), name)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose full word sets reach the threshold, with their Jaccard similarity."""
     used = pairs.select(F.explode(F.array("a", "b")).alias("ck")).distinct()
+    if used.count() <= BROADCAST_CLASSES:
+        used = F.broadcast(used)
     w = sets.select("ck", "words").join(used, "ck", "left_semi").dropDuplicates(["ck"])
     both = pairs.join(w.select(F.col("ck").alias("a"), F.col("words").alias("wa")), "a").join(w.select(F.col("ck").alias("b"), F.col("words").alias("wb")), "b")
     common = F.size(F.array_intersect("wa", "wb")).cast("double")
