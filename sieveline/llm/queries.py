@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import table
+from .leaks import leaks
 from .neighbours import nearest
 from .near_duplicates import near_duplicate_groups, near_duplicates, pairs_of_members
 from .overlaps import split_overlaps
+from .packing import pack, packing_report, token_counts
 from .proportions import proportional_sample
+from .reading import reading_levels, train
 from .splits import assign_splits, divided, normal_group
 from .varied import crowding, varied_subset
 
@@ -107,6 +110,52 @@ def p7_sample(spark: SparkSession, d: str) -> DataFrame:
     return _proportions(spark, d)[0]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the packing into containers of 2,048 tokens had to cut."""
+    only = table(spark, d, "containers").filter("capacity = 2048").select(F.lit(1).alias("container_no"), "capacity").distinct()
+    packed = pack(token_counts(table(spark, d, "documents")), only)
+    return packed.filter("pieces > 1").select("doc_id").distinct()
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_counts(table(spark, d, "documents")), table(spark, d, "containers"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    containers = table(spark, d, "containers")
+    return packing_report(pack(token_counts(table(spark, d, "documents")), containers), containers)
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_no")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per test item the documents that hold it and the longest stretch."""
+    return _leaks(spark, d).groupBy("item_no").agg(F.count(F.lit(1)).alias("documents"), F.max("stretch").alias("longest_stretch"), F.max("item_words").alias("item_words"))
+
+
+def _levels(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    return reading_levels(documents, train(table(spark, d, "graded_passages"), documents))
+
+
+#: School years from which p10_found reports; the formula's check stands midway between the two kinds of texts.
+YEARS, MIDWAY = 17.0, 15.5
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d).filter((F.col("grade") > YEARS) & (F.col("formula") > MIDWAY) & F.col("english")).select("doc_id")
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _levels(spark, d)
+
+
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 P1_FOUND = rf"""
@@ -179,6 +228,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_sample": p7_sample,
+    "p8_found": p8_found,
+    "p8_packing": p8_packing,
+    "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
 }
 
 SQL: dict[str, str] = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
