@@ -13,6 +13,7 @@ from .neighbours import nearest
 from .near_duplicates import near_duplicate_groups, near_duplicates, pairs_of_members
 from .overlaps import split_overlaps
 from .packing import pack, packing_report, token_counts
+from .personal import find_personal, redact
 from .proportions import proportional_sample
 from .reading import reading_levels, train
 from .splits import assign_splits, divided, normal_group
@@ -45,6 +46,15 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "frame_items").select("id", "text").unionByName(table(spark, d, "example_records").select("id", "text"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(_messages(spark, d)).select(F.col("id").alias("item_id"), "pii_type", "start_at")
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    messages = _messages(spark, d)
+    return redact(messages, find_personal(messages))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs_of_members(*near_duplicates(_messages(spark, d)))
 
@@ -221,6 +231,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
