@@ -35,11 +35,14 @@ WORD = r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*"
 EMAIL_SIGN = re.compile(r"\s*@\s*|\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+(?=[\w-]+\s+dot\s)", re.I)
 EMAIL_LEFT = re.compile(r"[\w][\w.+-]*$")
 EMAIL_RIGHT = re.compile(r"[a-z0-9-]+(?:(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)[a-z0-9-]+)+", re.I)
-DIGITS = re.compile(r"(?<![\w#$€/+.-])(?:\+|\((?=\d+\)))?\d(?:[\d()]|[\s.-]{1,3}(?=[\d(])){5,20}\d(?![\w/-])(?!\.\d)")
-CODES = re.compile(r"(?<![\w#$€/-])(?:[a-z]{1,2}-?\s{0,2}\d(?:[\s-]{0,2}\d){4,9}(?:-?[a-z]{1,2}|\s{1,2}[a-d])?)(?![\w-])", re.I)
-ADDRESS = re.compile(rf"(?<![\w/.,$€-])(?:(?:{'|'.join(UNITS.split())})\s+\d+[a-z]?(?:\s*/\s*|\s*,\s*|\s+)|\d{{1,4}}[a-z]?\s?[/-]\s?)?\d{{1,5}}[a-z]?\s+(?:{WORD}\s+){{1,4}}?(?:{'|'.join(STREETS.split())})(?![\w'’])", re.I)
-NAMED = re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES.split())})\.?|(?:{NAME_BEFORE})[,:]?)\s+({WORD})(?:\s+[^\W\d_]\.?)?\s+({WORD})", re.I)
-ACTING = re.compile(rf"(?<![\w'’-])([^\W\d_a-z][\w'’]+)(?:\s+[^\W\d_]\.?)?\s+([^\W\d_a-z][\w'’]*(?:-[^\W\d_][\w'’]*)*)\s+(?:{NAME_AFTER})\b")
+DIGITS = re.compile(r"[+(\d](?<![\w#$€/+.-].)(?:(?<=\d)|(?<=\+)\d|(?<=\()(?=\d+\))\d)(?:[\d()]|[\s.-]{1,3}(?=[\d(])){5,20}\d(?![\w/-])(?!\.\d)")
+CODES = re.compile(r"[A-Za-z](?<![\w#$€/-].)[A-Za-z]?-?\s{0,2}\d(?:[\s-]{0,2}\d){4,9}(?:-?[A-Za-z]{1,2}|\s{1,2}[A-Da-d])?(?![\w-])")
+ADDRESS = re.compile(rf"[0-9](?<![\w/.,$€-].)[0-9]{{0,4}}[A-Za-z]?(?:(\s*[,/-]\s*|\s+)([0-9]{{1,5}}[A-Za-z]?))?\s+(?:{WORD}\s+){{1,4}}?(?:{'|'.join(STREETS.split())})(?![\w'’])", re.I)
+UNIT = re.compile(rf"(?<![\w'’])(?:{'|'.join(UNITS.split())})\s+$", re.I)
+BEFORE = tuple(NAME_BEFORE.split("|")) + tuple(TITLES.split())
+AFTER = tuple(NAME_AFTER.split("|"))
+ACTING = re.compile(r"(?<![\w'’-])([^\W\d_a-z][\w'’]+)(?:\s+[^\W\d_]\.?)?\s+([^\W\d_a-z][\w'’]*(?:-[^\W\d_][\w'’]*)*)\s+$")
+NAMED = re.compile(rf"\.?[,:]?\s+({WORD})(?:\s+[^\W\d_]\.?)?\s+({WORD})")
 FOLLOWING = re.compile(rf"(?:\s+[^\W\d_]\.?)?\s+({WORD})")
 
 PHONE_SHAPES = re.compile(
@@ -56,11 +59,11 @@ STRONG = r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?|name is|egards,?|Yours,|Contact:|s
 
 def gazetteers(texts: DataFrame) -> tuple[list[str], list[str]]:
     """Given and family names that stand after titles and signatures, counted over all texts; at most GAZETTEER each."""
-    out = []
-    for group in (1, 2):
-        found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(STRONG), F.lit(group))).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-        out.append([r.w for r in found.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "w").limit(GAZETTEER).collect()])
-    return out[0], out[1]
+    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(STRONG), F.lit(0))).alias("m"))
+    both = found.select(F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.lower(F.regexp_extract("m", STRONG, g)).alias("w")) for g in (1, 2)))).alias("x")).groupBy("x.g", "x.w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST)
+    top = Window.partitionBy("g").orderBy(F.desc("n"), "w")
+    rows = both.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= GAZETTEER).orderBy("g", "_r").collect()
+    return [r.w for r in rows if r.g == 1], [r.w for r in rows if r.g == 2]
 
 
 class Labelers:
@@ -96,9 +99,12 @@ class Labelers:
         """(type, start, end, votes, features) with 0-based code points; a span may come for several types."""
         out: dict[tuple[str, int], tuple[int, str, str]] = {}
         taken: list[tuple[int, int]] = []
-        if "@" in text or "at" in text.lower():
+        low = text.lower()
+        if len(low) != len(text):
+            low = "".join(c.lower()[:1] or c for c in text)
+        if "@" in low or "at)" in low or "at]" in low or " dot " in low:
             for m in EMAIL_SIGN.finditer(text):
-                a, b = EMAIL_LEFT.search(text, 0, m.start()), EMAIL_RIGHT.match(text, m.end())
+                a, b = EMAIL_LEFT.search(text, max(0, m.start() - 80), m.start()), EMAIL_RIGHT.match(text, m.end())
                 if a and b:
                     votes = self._email(text, a.start(), b.end(), m.group())
                     out["email", a.start()] = (b.end(), votes, "d" if "." in b.group() else "w")
@@ -113,26 +119,39 @@ class Labelers:
                         del out[kind, x]
                 self._number(text, m.start(), m.end(), out)
         for m in ADDRESS.finditer(text):
-            unit = bool(re.match(UNITS.replace(" ", "|"), m.group(), re.I))
-            left = text[max(0, m.start() - 24) : m.start()]
-            body = [w for w in re.findall(WORD, m.group()) if w.lower() not in UNITS.split()]
+            at, unit = m.start(), UNIT.search(text, max(0, m.start() - 14), m.start())
+            if unit:
+                at = unit.start()
+            elif m.group(2) and "/" not in m.group(1) and "-" not in m.group(1):
+                at = m.start(2)  # an unrelated number stands before
+            left = text[max(0, at - 24) : at]
+            body = re.findall(WORD, m.group())
             upper = all(w[:1].isupper() for w in body)
             lower = all(w.islower() for w in body)
             right = text[m.end() : m.end() + 24]
             votes = ("+" if unit else "0") + ("+" if ADDRESS_CUE.search(left) else "0") + ("+" if upper or lower else "-") + ("-" if re.search(r"(?:gate|platform|level|floor|room|page|step|clause)\s*$", left, re.I) else "0")
             votes += "+" if re.match(r"\s*[,.]|\s*$|\s+(?:last|instead)|\s*\n", right) else "-"
-            out["address", m.start()] = (m.end(), votes, str(min(len(body), 5)))
-        low = text.lower()
-        if len(low) != len(text):
-            low = "".join(c.lower()[:1] or c for c in text)
+            out["address", at] = (m.end(), votes, str(min(len(body), 5)))
         for a, b in self._given_at(low):
             if (a == 0 or not (text[a - 1].isalnum() or text[a - 1] in "_.@-'’")) and (b == len(text) or not (text[b].isalnum() or text[b] in "_-'’")):
                 m = FOLLOWING.match(text, b)
                 if m:
                     self._name(text, a, m.end(), low[a:b], m.group(1), out, taken)
-        for pattern in (NAMED, ACTING):
-            for m in pattern.finditer(text):
-                self._name(text, m.start(1), m.end(2), m.group(1).lower(), m.group(2), out, taken)
+        for cue in BEFORE:
+            i = low.find(cue)
+            while i >= 0:
+                if i == 0 or not low[i - 1].isalnum():
+                    m = NAMED.match(text, i + len(cue))
+                    if m:
+                        self._name(text, m.start(1), m.end(2), m.group(1).lower(), m.group(2), out, taken)
+                i = low.find(cue, i + 1)
+        for cue in AFTER:
+            i = low.find(cue)
+            while i >= 0:
+                m = ACTING.search(text, max(0, i - 80), i) if text.startswith(cue, i) else None
+                if m:
+                    self._name(text, m.start(1), m.end(2), m.group(1).lower(), m.group(2), out, taken)
+                i = low.find(cue, i + 1)
         return [(k, a, b, votes, features) for (k, a), (b, votes, features) in out.items()]
 
     @staticmethod
