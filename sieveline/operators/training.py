@@ -123,10 +123,10 @@ def route_rates(labels: DataFrame) -> DataFrame:
 
 
 def guarantee_cost(rows: DataFrame, target: float, kind: str = "recall", score_col: str = "s", label: str = "y") -> float:
-    """False alarms at the target recall, or 1 - the best recall at the target precision; ties are split by id order of sums per score."""
-    g = rows.groupBy(score_col).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
+    """False alarms at the target recall, or 1 - the best recall at the target precision; tied scores stay together."""
+    g = rows.groupBy(score_col).agg(F.sum(label).alias("_pos"), F.count(F.lit(1)).alias("_all"))
     w = Window.orderBy(F.desc(score_col))
-    c = g.select(F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fired"), F.sum("p").over(Window.partitionBy()).alias("P"), F.sum("n").over(Window.partitionBy()).alias("N"))
+    c = g.select(F.sum("_pos").over(w).alias("tp"), F.sum("_all").over(w).alias("fired"), F.sum("_pos").over(Window.partitionBy()).alias("P"), F.sum("_all").over(Window.partitionBy()).alias("N"))
     if kind == "recall":
         r = c.filter(F.col("tp") >= target * F.col("P") - 1e-12).agg(F.min((F.col("fired") - F.col("tp")) / (F.col("N") - F.col("P")))).first()[0]
         return 1.0 if r is None else float(r)
