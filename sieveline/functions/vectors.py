@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it within ``body``: lambdas would evaluate it per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(a: Column) -> Column:
     """Unit length in doubles; an all-zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return _let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def literal(values: list[float]) -> Column:
@@ -41,24 +47,41 @@ def mean_vector(vectors: Column, width: int) -> Column:
 
 
 def hash_embedding(text: Column, dimensions: int) -> Column:
-    """Bag of words in hash buckets: +-1 at SHA-256(word) mod ``dimensions``, by the parity of its fifth byte; unit length."""
-    tokens = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    place = F.transform(
-        tokens,
-        lambda w: F.struct(
-            (F.conv(F.substring(F.sha2(w, 256), 1, 8), 16, 10).cast("bigint") % dimensions).alias("b"),
-            F.when(F.conv(F.substring(F.sha2(w, 256), 9, 2), 16, 10).cast("int") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("s"),
-        ),
-    )
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(place, lambda p: p["b"] == i), F.lit(0.0), lambda s, p: s + p["s"]))
-    return unit(sums)
+    """Bag of words in hash buckets: +-1 at SHA-256(word) mod ``dimensions``, by the parity of its fifth byte; unit length.
+
+    Arrow batches in Python: the JVM has no way to add up by bucket within a row in one pass.  Null texts give null,
+    texts without words the zero vector.
+    """
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        from hashlib import sha256
+
+        known: dict[str, tuple[int, float]] = {}
+        out = []
+        for t in texts:
+            if t is None:
+                out.append(None)
+                continue
+            v = np.zeros(dimensions)
+            for w in t.lower().split():
+                at = known.get(w)
+                if at is None:
+                    h = sha256(w.encode()).digest()
+                    at = known[w] = int.from_bytes(h[:4], "big") % dimensions, 1.0 if h[4] % 2 == 0 else -1.0
+                v[at[0]] += at[1]
+            n = float(np.sqrt((v * v).sum()))
+            out.append(v / n if n else v)
+        return pd.Series(out)
+
+    return embed(text)
 
 
 def int8(a: Column) -> Column:
     """(scale, q): values rounded half up to -127..127 at scale = greatest magnitude / 127, or 1."""
     top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
     scale = F.when(top > 0, top / 127).otherwise(F.lit(1.0))
-    return F.struct(scale.alias("scale"), F.transform(a, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x.cast("double") / scale + 0.5).cast("int")))).alias("q"))
+    return _let(scale, lambda k: F.struct(k.alias("scale"), F.transform(a, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x.cast("double") / k + 0.5).cast("int")))).alias("q")))
 
 
 def from_int8(e: Column) -> Column:

@@ -159,9 +159,9 @@ def design_sample(frame: DataFrame, total: int, *, quantiles: Sequence[float] =
 
 
 def design_of(records: DataFrame, by: Sequence[str] = ("design_id", "stratum"), size: str = "stratum_size") -> DataFrame:
-    """Records with inclusion_prob = records per stratum / its frame size, over the records given (per role and head)."""
+    """Records with inclusion_prob = records per stratum / its frame size, over the records given (per role and head); null where the frame is empty."""
     per = records.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max(size).alias("_big"), F.min(size).alias("_small"))
-    return records.drop("inclusion_prob").join(per, list(by)).withColumn("inclusion_prob", F.col("_n") / F.col("_big")).drop("_n", "_big", "_small")
+    return records.drop("inclusion_prob").join(per, list(by)).withColumn("inclusion_prob", F.try_divide("_n", "_big")).drop("_n", "_big", "_small")
 
 
 def design_problems(records: DataFrame, by: Sequence[str] = ("design_id", "stratum"), size: str = "stratum_size") -> DataFrame:
@@ -202,5 +202,5 @@ def apply_reviews(key: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFr
     by = ["design_id", "stratum", "role"]
     cells = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("items"), F.count_if("_ok").alias("labelled"))
     skips = cells.withColumn("skip_rate", 1 - F.col("labelled") / F.col("items")).withColumn("warn", F.col("skip_rate") > 0.05)
-    done = marked.filter("_ok").join(cells.select(*by, "labelled"), by).withColumn("inclusion_prob", F.col("labelled") / F.col("stratum_size")).withColumn("labelled_by", F.lit("human"))
+    done = marked.filter("_ok").join(cells.select(*by, "labelled"), by).withColumn("inclusion_prob", F.try_divide("labelled", "stratum_size")).withColumn("labelled_by", F.lit("human"))
     return done.drop("_ok", "labelled"), skips

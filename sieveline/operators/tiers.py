@@ -113,8 +113,8 @@ def cascade_cost(rows: DataFrame, target: float, score: str = "s", label: str =
     """False-alarm rate at the least recall of the target, tied scores together; 1 where it can't be reached."""
     g = rows.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
     w = Window.orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    c = g.select(F.col(score), F.sum("_pos").over(w).alias("tp"), F.sum("_neg").over(w).alias("fp"), F.sum("_pos").over(Window.partitionBy()).alias("P"), F.sum("_neg").over(Window.partitionBy()).alias("N"))
-    r = c.filter((F.col("P") > 0) & (F.col("N") > 0) & (F.col("tp") / F.col("P") >= target)).agg(F.min(F.col("fp") / F.col("N"))).first()[0]
+    c = g.select(F.col(score), F.sum("_pos").over(w).alias("tp"), F.sum("_neg").over(w).alias("fp"), F.sum("_pos").over(Window.partitionBy()).alias("_allpos"), F.sum("_neg").over(Window.partitionBy()).alias("_allneg"))
+    r = c.filter((F.col("_allpos") > 0) & (F.col("_allneg") > 0) & (F.col("tp") / F.col("_allpos") >= target)).agg(F.min(F.col("fp") / F.col("_allneg"))).first()[0]
     return 1.0 if r is None else float(r)
 
 

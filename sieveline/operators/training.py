@@ -126,11 +126,11 @@ def guarantee_cost(rows: DataFrame, target: float, kind: str = "recall", score_c
     """False alarms at the target recall, or 1 - the best recall at the target precision; tied scores stay together."""
     g = rows.groupBy(score_col).agg(F.sum(label).alias("_pos"), F.count(F.lit(1)).alias("_all"))
     w = Window.orderBy(F.desc(score_col))
-    c = g.select(F.sum("_pos").over(w).alias("tp"), F.sum("_all").over(w).alias("fired"), F.sum("_pos").over(Window.partitionBy()).alias("P"), F.sum("_all").over(Window.partitionBy()).alias("N"))
+    c = g.select(F.sum("_pos").over(w).alias("tp"), F.sum("_all").over(w).alias("fired"), F.sum("_pos").over(Window.partitionBy()).alias("_allpos"), F.sum("_all").over(Window.partitionBy()).alias("_allneg"))
     if kind == "recall":
-        r = c.filter(F.col("tp") >= target * F.col("P") - 1e-12).agg(F.min((F.col("fired") - F.col("tp")) / (F.col("N") - F.col("P")))).first()[0]
+        r = c.filter(F.col("tp") >= target * F.col("_allpos") - 1e-12).agg(F.min((F.col("fired") - F.col("tp")) / (F.col("_allneg") - F.col("_allpos")))).first()[0]
         return 1.0 if r is None else float(r)
-    r = c.filter(F.col("tp") >= target * F.col("fired") - 1e-12).agg(F.max(F.col("tp") / F.col("P"))).first()[0]
+    r = c.filter(F.col("tp") >= target * F.col("fired") - 1e-12).agg(F.max(F.col("tp") / F.col("_allpos"))).first()[0]
     return 1.0 - float(r or 0.0)
 
 

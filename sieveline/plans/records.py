@@ -240,7 +240,7 @@ def _sampled(spark: SparkSession, d: str) -> DataFrame:
     return _records(spark, d).filter("source.kind = 'sampled'").select("id", "role", F.col("source.design_id").alias("design_id"), F.col("source.stratum").alias("stratum"), F.col("source.stratum_size").alias("stratum_size"), "labels")
 
 
-@query(SAMPLED + "SELECT id, round(count(*) OVER (PARTITION BY design_id, stratum) / max(stratum_size) OVER (PARTITION BY design_id, stratum), 9) AS inclusion_prob FROM s WHERE role = 'calibration'")
+@query(SAMPLED + "SELECT id, round(count(*) OVER (PARTITION BY design_id, stratum) / nullif(max(stratum_size) OVER (PARTITION BY design_id, stratum), 0), 9) AS inclusion_prob FROM s WHERE role = 'calibration'")
 def design_of(spark, d):
     return design.design_of(_sampled(spark, d).filter("role = 'calibration'")).select("id", F.round("inclusion_prob", 9).alias("inclusion_prob"))
 
@@ -252,8 +252,8 @@ def design_problems(spark, d):
 
 @query(SAMPLED + ", w AS (SELECT role, max(stratum_size) OVER p / count(*) OVER p AS w FROM s WINDOW p AS (PARTITION BY role, design_id, stratum)) SELECT role, round(sum(w) * sum(w) / sum(w * w), 6) AS effective_n FROM w GROUP BY role")
 def kish_effective(spark, d):
-    per = _sampled(spark, d).groupBy("role", "design_id", "stratum").agg(F.count(F.lit(1)).alias("n"), F.max("stratum_size").alias("N"))
-    w = F.col("N") / F.col("n")
+    per = _sampled(spark, d).groupBy("role", "design_id", "stratum").agg(F.count(F.lit(1)).alias("n"), F.max("stratum_size").alias("size"))
+    w = F.col("size") / F.col("n")
     return per.groupBy("role").agg(F.round(F.sum(w * F.col("n")) * F.sum(w * F.col("n")) / F.sum(w * w * F.col("n")), 6).alias("effective_n"))
 
 
@@ -300,7 +300,7 @@ def skip_rates(spark, d):
     return _reviewed(spark, d)[1].withColumn("skip_rate", F.round("skip_rate", 9))
 
 
-@query(SAMPLED + "SELECT id, round(count(*) OVER (PARTITION BY design_id, stratum, role) / stratum_size, 9) AS inclusion_prob FROM s WHERE labels['refund'] IN (0, 1) AND labels['access'] IN (0, 1)")
+@query(SAMPLED + "SELECT id, round(count(*) OVER (PARTITION BY design_id, stratum, role) / nullif(stratum_size, 0), 9) AS inclusion_prob FROM s WHERE labels['refund'] IN (0, 1) AND labels['access'] IN (0, 1)")
 def apply_reviews(spark, d):
     return _reviewed(spark, d)[0].select("id", F.round("inclusion_prob", 9).alias("inclusion_prob"))
 
@@ -310,9 +310,9 @@ def apply_reviews(spark, d):
 
 @query()
 def retrieve_seeds(spark, d):
-    """Neighbours of the seeds of option 1, diversified and merged; the greedy choice is not SQL."""
+    """Neighbours of the seeds, diversified and merged; the greedy choice is not SQL."""
     v = _vectors(spark, d)
-    return retrieval.retrieve_from_seeds(v.filter("used_as = 'seed' and option_no = 1"), v.filter("used_as = 'pool'"), evaluation=v.filter("used_as = 'evaluation'")).select("id", "seed_ids", F.round("similarity", 6).alias("similarity"), "round")
+    return retrieval.retrieve_from_seeds(v.filter("used_as = 'seed'"), v.filter("used_as = 'pool'"), evaluation=v.filter("used_as = 'evaluation'")).select("id", "seed_ids", F.round("similarity", 6).alias("similarity"), "round")
 
 
 @query(f"""WITH e AS (SELECT DISTINCT record_id AS id, used_as, embedding::DOUBLE[] AS v FROM embedded WHERE {VALID}),
