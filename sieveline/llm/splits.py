@@ -9,7 +9,8 @@ from ..functions.text import group_key
 from ..sources.shared import save
 from .components import spanning_forest
 
-BUCKETS = 1024
+#: A component of this part of all records is placed on the driver; there are at most so many.
+GIANT = 200
 
 
 def relation_forest(records: DataFrame, keys: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -36,10 +37,21 @@ def relation_forest(records: DataFrame, keys: dict[str, Column]) -> tuple[DataFr
 def deal(components: DataFrame, shares: dict[str, float], seed: int = 1) -> DataFrame:
     """(root, size, split): every component in one split, the splits near their shares of all records.
 
-    Components are stratified by size band (binary magnitude) and, in hash order within the band, dealt
-    systematically: the middle of a component's place in the running size of its band picks the split whose
-    interval of the period holds it.  Running sums go by hash bucket first, so that no band is one task.
+    Components of at least 1 / GIANT of all records (at most GIANT of them) go, largest first, to the split that lacks
+    most.  The others are stratified by size band (binary magnitude) and, in hash order within the band, dealt
+    systematically to what the splits still lack: the middle of a component's place in the running size of its band
+    picks the split whose interval of the period holds it.  Running sums go by hash bucket first, so that no band is
+    one task.
     """
+    total = components.agg(F.sum("size")).first()[0] or 0
+    lack = {k: v / sum(shares.values()) * total for k, v in shares.items()}
+    giants = []
+    for r in components.filter(F.col("size") * GIANT >= total).orderBy(F.desc("size"), "root").collect():
+        k = max(lack, key=lambda k: lack[k])
+        lack[k] -= r.size
+        giants.append((r.root, r.size, k))
+    shares = {k: max(v, 1e-9) for k, v in lack.items()}
+    components = components.filter(F.col("size") * GIANT < total)
     h = components.withColumn("band", F.floor(F.log2("size")).cast("int")).withColumn("_h", F.xxhash64("root", F.lit(seed)))
     h = h.withColumn("_b", F.shiftrightunsigned("_h", 54).cast("int"))
     sums = h.groupBy("band", "_b").agg(F.sum("size").alias("_n"), F.count(F.lit(1)).alias("_c"))  # at most 64 x 1024 rows
@@ -50,11 +62,12 @@ def deal(components: DataFrame, shares: dict[str, float], seed: int = 1) -> Data
     # A period of about 16 components of the band is cut in the shares; the golden ratio spreads the start of bands.
     period = F.pow(F.lit(2.0), F.col("band")) * 16
     place = (F.col("_mid") / period + F.col("band") * 0.6180339887) % 1.0
-    total, upto, split = sum(shares.values()), 0.0, None
+    whole, upto, split = sum(shares.values()), 0.0, None
     for name, share in shares.items():
-        upto += share / total
+        upto += share / whole
         split = F.when(place < upto, name) if split is None else split.when(place < upto, name)
-    return at.select("root", "size", split.otherwise(list(shares)[-1]).alias("split"))
+    dealt = at.select("root", "size", split.otherwise(list(shares)[-1]).alias("split"))
+    return dealt.unionByName(components.sparkSession.createDataFrame(giants, dealt.schema)) if giants else dealt
 
 
 def assign_splits(records: DataFrame, shares: dict[str, float], keys: dict[str, Column]) -> DataFrame:
