@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hash_embedding, norm
+from ..sources.shared import spread
 
 MAX_CHUNKS = 64
 ERROR_CODES = ("empty_document", "too_many_chunks", "wrong_width", "not_finite", "not_unit", "duplicate_id")
@@ -33,7 +34,7 @@ def chunks(documents: DataFrame, max_words: int = 60, key: str = "doc_id") -> Da
 
 def embed_chunks(chunked: DataFrame, dimensions: int = 64) -> DataFrame:
     """Chunk vectors by the deterministic hash embedding, each different text embedded once."""
-    once = chunked.select("chunk").distinct().withColumn("embedding", hash_embedding(F.col("chunk"), dimensions))
+    once = spread(chunked.select("chunk").distinct()).withColumn("embedding", hash_embedding(F.col("chunk"), dimensions))
     return chunked.join(once, "chunk")
 
 

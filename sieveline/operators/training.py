@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.folds import poly31
-from ..functions.vectors import cosine
+from ..sources.shared import spread
 from . import evaluation, thresholds
 from .scoring import Head, calibrate, score
 
 KNN_K, PCA_K, FOLDS, AUTO_MARGIN, FINER_SCALE, FINER_C = 10, 50, 3, 0.2, 0.25, 0.01
+#: References that a task holds at a time.
+REFERENCE_ROWS = 1 << 14
 HEAD_TYPES = ("linear", "knn", "stack", "finer", "auto")
 
 
@@ -95,15 +97,47 @@ def knn_feature(rows: DataFrame, reference: DataFrame, k: int = KNN_K, *, out_of
     """(id, feature): mean cosine to the k nearest positive references minus that to the k nearest negative ones.
 
     rows: id, embedding[, fold]; reference: rid, embedding, y[, fold].  With ``out_of_fold`` references of the row's own fold
-    don't count.  The reference is the bounded side: it is broadcast where Spark's size estimate allows it.
+    don't count; a row is no reference of itself.  The reference is sent in blocks of REFERENCE_ROWS; every Arrow batch
+    keeps its k best per class and block, so no pairs are shuffled.  Ties of cosine don't change the mean.
     """
-    r = reference.select("rid", F.col("embedding").alias("_re"), F.col("y").alias("_ry"), *([F.col("fold").alias("_rf")] if out_of_fold else []))
-    on = F.col("id") != F.col("rid")
-    if out_of_fold:
-        on = on & (F.col("fold") != F.col("_rf"))
-    sim = rows.join(r, on).select("id", "rid", "_ry", cosine(F.col("embedding"), F.col("_re")).alias("c"))
-    top = sim.withColumn("_r", F.row_number().over(Window.partitionBy("id", "_ry").orderBy(F.desc("c"), "rid"))).filter(F.col("_r") <= k)
-    g = top.groupBy("id").agg(F.avg(F.when(F.col("_ry") == 1, F.col("c"))).alias("p"), F.avg(F.when(F.col("_ry") == 0, F.col("c"))).alias("n"))
+    cols = ["rid", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.col("y").cast("int").alias("y"), (F.col("fold") if out_of_fold else F.lit(0)).cast("long").alias("f")]
+    ref = reference.filter(F.col("embedding").isNotNull()).select(*cols)
+    blocks = max(1, -(-ref.count() // REFERENCE_ROWS))
+    use = spread(rows.filter(F.col("embedding").isNotNull()).select("id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("fold") if out_of_fold else F.lit(0)).cast("long").alias("f")))
+    kind, out = rows.schema["id"].dataType.simpleString(), None
+    for b in range(blocks):
+        t = (ref if blocks == 1 else ref.filter(F.pmod(F.xxhash64("rid"), F.lit(blocks)) == b)).toArrow()
+        if not t.num_rows:
+            continue
+        r = np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1)
+        r = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-300)
+        sent = rows.sparkSession.sparkContext.broadcast((r, np.array(t.column("rid").to_pylist()), t.column("y").to_numpy(), t.column("f").to_numpy()))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            r, rid, y, f = sent.value
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    x = _matrix(part, "x")
+                    c = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ r.T
+                    c[np.array(part.column("id").to_pylist())[:, None] == rid] = -2
+                    if out_of_fold:
+                        c[part.column("f").to_numpy()[:, None] == f] = -2
+                    for v in (0, 1):
+                        own = c[:, y == v]
+                        n = min(k, own.shape[1])
+                        if n:
+                            top = -np.partition(-own, n - 1, axis=1)[:, :n]
+                            at, slot = np.nonzero(top > -1.5)
+                            yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), pa.array(np.full(len(at), v, np.int32)), pa.array(top[at, slot])], names=["id", "y", "c"])
+
+        near = use.mapInArrow(run, f"id {kind}, y int, c double")
+        out = near if out is None else out.unionByName(near)
+    if out is None:
+        return rows.select("id", F.lit(0.0).alias("feature")).limit(0)
+    if blocks > 1:
+        out = out.withColumn("_r", F.row_number().over(Window.partitionBy("id", "y").orderBy(F.desc("c")))).filter(F.col("_r") <= k)
+    g = out.groupBy("id").agg(F.avg(F.when(F.col("y") == 1, F.col("c"))).alias("p"), F.avg(F.when(F.col("y") == 0, F.col("c"))).alias("n"))
     return g.select("id", (F.coalesce("p", F.lit(0.0)) - F.coalesce("n", F.lit(0.0))).alias("feature"))
 
 
