@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
 from .common import flat_longs, word_hashes
 from .overlaps import grams, winnow
 
@@ -75,7 +76,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, gram: int
     test = items.select("item_no", bare_words(F.col("text")).alias("w")).filter((F.size("w") > 0) & F.col("item_no").isNotNull()).groupBy("item_no").agg(F.min("w").alias("w"))
     words = test.agg(F.sum(F.size("w"))).first()[0] or 0
     passes = max(1, -(-words // ITEM_WORDS))
-    docs = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", bare_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    docs = spread(documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")).select("doc_id", bare_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     out = None
     for p in range(passes):
         t = (test if passes == 1 else test.filter(F.pmod(F.xxhash64("item_no"), F.lit(passes)) == p)).orderBy("item_no").toArrow()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import save
+from ..sources.shared import save, spread
 
 #: Folder of the tokenizers' vocabulary files, and the file of the default tokenizer (ranks of byte pairs).
 TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -36,7 +36,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS, ranks: str = RA
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
 
-    rows = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long")
+    rows = spread(documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInArrow(run, "doc_id long, tokens long")
     return rows.groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import save
+from ..sources.shared import save, spread
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Entries of each name list that are kept at most, and the least count of an entry.
@@ -216,7 +216,7 @@ def candidates(texts: DataFrame, labelers: Labelers) -> DataFrame:
                 names=["id", "pii_type", "start_at", "end_at", "votes", "features"],
             )
 
-    rows = texts.select(F.col("id").cast("string").alias("id"), "text").filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    rows = spread(texts.select(F.col("id").cast("string").alias("id"), "text").filter(F.col("id").isNotNull() & F.col("text").isNotNull()))
     return rows.mapInArrow(run, "id string, pii_type string, start_at long, end_at long, votes string, features string")
 
 
