@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import words
 
@@ -95,4 +97,13 @@ def take_by_rank(rows: DataFrame, keys: list[str], quota: DataFrame, order: Colu
     return whole.unionByName(part).drop("_h", "_b", "_left", "_n")
 
 
-LONGS = T.ArrayType(T.LongType())
+def ship(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A getter of a broadcast object of this package's classes, sent by value: executors can't import them."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get() -> object:
+        import pickle
+
+        return pickle.loads(sent.value)
+
+    return get

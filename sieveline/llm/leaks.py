@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import spread
-from .common import flat_longs, word_hashes
+from .common import flat_longs, ship, word_hashes
 from .overlaps import grams, winnow
 
 #: Words of a seed and seeds of a window: every shared run of 5 words gives a common seed.
@@ -88,11 +88,11 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, gram: int
 
 
 def _scan(docs: DataFrame, items: Items, share: float, gram: int, window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+    get = ship(docs.sparkSession, items)
     names = ["doc_id", "item_no", "item_words", "stretch", "matched", "doc_word", "item_word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = sent.value
+        it = get()
         need = np.ceil(np.diff(it.off) * share - 1e-9).astype(np.int64)
         for big in batches:
             for lo in range(0, big.num_rows, 1000):

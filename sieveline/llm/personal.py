@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import save, spread
+from .common import ship
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Entries of each name list that are kept at most, and the least count of an entry.
@@ -199,10 +200,10 @@ class Labelers:
 
 def candidates(texts: DataFrame, labelers: Labelers) -> DataFrame:
     """(id, pii_type, start_at, end_at, votes, features) of every candidate of the whole texts; start_at is 1-based."""
-    sent = texts.sparkSession.sparkContext.broadcast(labelers)
+    get = ship(texts.sparkSession, labelers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = sent.value.spans
+        find = get().spans
         for b in batches:
             ids, rows = [], []
             for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
