@@ -54,6 +54,40 @@ def one_bit_sketch(minima: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
 
 
+def _distinct(flat: np.ndarray, off: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The different members of every set, by (rank, value), and their sets."""
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((flat, doc) if rank is None else (flat, rank[(flat.view(np.uint64) % np.uint64(len(rank))).astype(np.int64)], doc))
+    flat, doc = flat[order], doc[order]
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
+    return flat[fresh], doc[fresh]
+
+
+def prefix(flat: np.ndarray, off: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(threshold n) + 1 members of every set of n, rarest first, and their sets.
+
+    All sets are in one order, so two sets of at least the threshold in common share a member of both prefixes.
+    """
+    flat, doc = _distinct(flat, off, rank)
+    n = np.bincount(doc, minlength=len(off) - 1)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    keep = place < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[doc]
+    key = mix(flat[keep], 5).view(np.int64)
+    key[key == 0] = 1
+    return key, doc[keep]
+
+
+def parity_bits(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(sets, 2) int64: per one of 128 hash values whether an odd number of members has it.
+
+    Two sets differ in at least as many members as these bits differ.
+    """
+    flat, doc = _distinct(flat, off, None)
+    odd = np.bincount(doc * 128 + (mix(flat, 3) >> np.uint64(57)).astype(np.int64), minlength=(len(off) - 1) * 128) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1, bitorder="little").view(np.int64)
+
+
 def recall(similarity: float, bands: int, rows: int) -> float:
     """Share of the pairs of a similarity that meet in at least one band."""
     return 1 - (1 - similarity**rows) ** bands
@@ -63,11 +97,13 @@ def _emit(a: list, b: list, k: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b, k)], names=["a", "b", "key"])
 
 
-def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float | None = None, max_diff: int | None = None) -> DataFrame:
+def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float | None = None, max_diff: int | None = None, parity: bool = False) -> DataFrame:
     """Different pairs (a, b) of ``ck`` that share a key; written to the shared folder.
 
     sided: only pairs of side 0 (a) with side 1 (b); else a < b.  ratio: least quotient of the smaller and the
-    larger n.  max_diff: most differing sketch bits.  Copies of (key, ck) count once.
+    larger n.  max_diff: most differing sketch bits.  parity: the sketches are parity bits of sets of n members, which
+    differ in at most as many bits as the sets may differ in members at the Jaccard similarity ``ratio``; no pair is
+    lost by it.  Copies of (key, ck) count once.
     """
     sketches = [c for c in ("s1", "s2") if c in rows.columns]
     sized = ["n"] if ratio is not None else []
@@ -112,9 +148,9 @@ def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float
             if ratio is not None:
                 ok = np.minimum(n[x], n[y]) >= ratio * np.maximum(n[x], n[y]) - 1e-9
                 x, y = x[ok], y[ok]
-            if max_diff is not None:
+            if max_diff is not None or parity:
                 diff = sum(np.bitwise_count((cols[s][x] ^ cols[s][y]).view(np.uint64)).astype(np.int32) for s in sketches)
-                ok = diff <= max_diff
+                ok = diff <= ((1 - ratio) / (1 + ratio) * (n[x] + n[y]) + 1e-6 if parity else max_diff)
                 x, y = x[ok], y[ok]
             out_a.append(ck[x])
             out_b.append(ck[y])
@@ -142,14 +178,15 @@ def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float
     right = left.select("key", *(F.col(c).alias(f"{c}_r") for c in ("ck", "side", *sized, *sketches)))
     both = salted_join(left, right, ["key"], SALTS)
     both = both.filter((F.col("side") == 0) & (F.col("side_r") == 1) if sided else F.col("ck") < F.col("ck_r"))
-    both = both.filter(_close(ratio, max_diff, sketches))
+    both = both.filter(_close(ratio, max_diff, parity, sketches))
     return pairs.unionByName(both.select(F.col("ck").alias("a"), F.col("ck_r").alias("b"))).distinct()
 
 
-def _close(ratio: float | None, max_diff: int | None, sketches: list[str]) -> Column:
+def _close(ratio: float | None, max_diff: int | None, parity: bool, sketches: list[str]) -> Column:
     ok = F.lit(True)
     if ratio is not None:
         ok &= F.least("n", "n_r") >= F.greatest("n", "n_r") * F.lit(ratio) - F.lit(1e-9)
-    if max_diff is not None:
-        ok &= sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_r"))) for s in sketches), F.lit(0)) <= max_diff
+    if max_diff is not None or parity:
+        most = (F.col("n") + F.col("n_r")) * F.lit((1 - ratio) / (1 + ratio)) + F.lit(1e-6) if parity else F.lit(max_diff)
+        ok &= sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_r"))) for s in sketches), F.lit(0)) <= most
     return ok

@@ -1,4 +1,4 @@
-"""Same or near-same records across splits: winnowing fingerprints for texts, hyperplane bands for vectors."""
+"""Same or near-same records across splits: a prefix filter on the rarest words for texts, hyperplane bands for vectors."""
 
 from __future__ import annotations
 
@@ -10,14 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import save
-from .buckets import candidates, minhash, one_bit_sketch
+from .buckets import candidates, parity_bits, prefix
 from .common import flat_longs, mix, valid_vector, vectors, word_hashes
 
-#: Words of a seed and seeds of a window: every shared run of GRAM + WINDOW - 1 words gives a common seed.
-GRAM, WINDOW = 3, 6
-SKETCH_BITS = 128
-SKETCH_SLACK = 34
-#: Counters of the seed frequencies; the table is of this size at every scale.
+#: Words of a seed of the alignment.
+GRAM = 3
+#: Counters of the word frequencies; the table is of this size at every scale.
 COUNTERS = 1 << 17
 #: Hyperplane bands: at cosine 0.95 a pair meets with probability 0.98, at 0.97 with 0.998.
 BITS, VECTOR_BANDS, VECTOR_SKETCH = 16, 20, 64
@@ -66,59 +64,43 @@ def winnow(h: np.ndarray, inside: np.ndarray, doc: np.ndarray, rank: np.ndarray
 
 
 def _tables(records: DataFrame, sides: dict[str, int]) -> DataFrame:
-    """(id, role, kind, side, ck, n, seq, s1, s2) of the records of both sides, written to the shared folder."""
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                flat, off = flat_longs(b.column("seq"))
-                s = one_bit_sketch(minhash(flat, off, SKETCH_BITS, 10_000))
-                cols = [b.column(c) for c in ("id", "role", "kind", "side", "ck", "n", "seq")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(s[:, 0]), pa.array(s[:, 1])], names=["id", "role", "kind", "side", "ck", "n", "seq", "s1", "s2"])
-
+    """(id, role, kind, side, ck, n, seq) of the records of both sides, written to the shared folder."""
     side = F.create_map(*(x for k, v in sides.items() for x in (F.lit(k), F.lit(v))))[F.col("role")]
     rows = records.select("id", "role", "kind", side.cast("int").alias("side"), word_hashes(F.col("text")).alias("seq")).filter(F.col("side").isNotNull() & (F.size("seq") > 0) & F.col("id").isNotNull())
-    rows = rows.select("id", "role", "kind", "side", F.xxhash64("seq").alias("ck"), F.size(F.array_distinct("seq")).alias("n"), "seq")
-    return save(rows.mapInArrow(sketch, "id string, role string, kind string, side int, ck long, n int, seq array<long>, s1 long, s2 long"), "overlap-texts")
+    return save(rows.select("id", "role", "kind", "side", F.xxhash64("seq").alias("ck"), F.size(F.array_distinct("seq")).alias("n"), "seq"), "overlap-texts")
 
 
-def _frequencies(texts: DataFrame, gram: int) -> np.ndarray:
-    """Per hash counter the binary magnitude of how often its seeds occur over all texts."""
+def frequencies(texts: DataFrame, column: str) -> np.ndarray:
+    """Per hash counter the binary magnitude of how often its words occur over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            flat, off = flat_longs(b.column("seq"))
-            h, inside = grams(flat, off, gram)
-            total += np.bincount((h[inside] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            flat, _ = flat_longs(b.column(column))
+            total += np.bincount((flat.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    sums = texts.select("seq").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    sums = texts.select(column).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
     out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
     return np.minimum(np.log2(np.maximum(out, 1)) * 4, 255).astype(np.uint8)
 
 
-def seeds(texts: DataFrame, gram: int, window: int) -> DataFrame:
-    """(key, ck, n, side, s1, s2): the winnowed seeds; windows keep their rarest seed, so common phrases seldom stay."""
-    rank = _frequencies(texts, gram)
+def rare_words(texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, ck, n, side, s1, s2): the words of every text of which a text that reaches the threshold shares one."""
+    rank = frequencies(texts, "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat, off = flat_longs(b.column("seq"))
-            h, inside = grams(flat, off, gram)
-            if not len(h):
-                continue
-            doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(h)]
-            at = winnow(h, inside, doc, rank[(h % np.uint64(COUNTERS)).astype(np.int64)], window)
-            key = h[at].view(np.int64).copy()
-            key[key == 0] = 1
-            d = doc[at]
-            cols = [b.column(c).to_numpy()[d] for c in ("ck", "n", "side", "s1", "s2")]
-            yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, cols)], names=["key", "ck", "n", "side", "s1", "s2"])
+            if b.num_rows:
+                flat, off = flat_longs(b.column("seq"))
+                key, d = prefix(flat, off, rank, threshold)
+                s = parity_bits(flat, off)[d]
+                cols = [b.column(c).to_numpy()[d] for c in ("ck", "n", "side")]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, cols), pa.array(s[:, 0]), pa.array(s[:, 1])], names=["key", "ck", "n", "side", "s1", "s2"])
 
-    return texts.select("seq", "ck", "n", "side", "s1", "s2").mapInArrow(run, "key long, ck long, n int, side int, s1 long, s2 long")
+    return texts.select("seq", "ck", "n", "side").mapInArrow(run, "key long, ck long, n int, side int, s1 long, s2 long")
 
 
 def align(a: np.ndarray, b: np.ndarray, gram: int) -> tuple[int, int, int]:
@@ -162,9 +144,9 @@ def align(a: np.ndarray, b: np.ndarray, gram: int) -> tuple[int, int, int]:
     return int(ca.sum()), int(cb.sum()), int(runs.max()) if len(runs) else 0
 
 
-def text_overlaps(texts: DataFrame, threshold: float, min_words: int, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def text_overlaps(texts: DataFrame, threshold: float, min_words: int, gram: int = GRAM) -> DataFrame:
     """(a, b, common, coverage_a, coverage_b, longest_run) for classes of equal texts a (side 0) and b (side 1)."""
-    near = candidates(seeds(texts.filter(F.col("n") >= min_words), gram, window), "overlap-seeds", sided=True, ratio=threshold, max_diff=SKETCH_SLACK)
+    near = candidates(rare_words(texts.filter(F.col("n") >= min_words), threshold), "overlap-words", sided=True, ratio=threshold, parity=True)
     near = save(near, "overlap-near")
     used = near.select(F.explode(F.array("a", "b")).alias("ck")).distinct()
     w = texts.select("ck", "seq").join(used, "ck", "left_semi").dropDuplicates(["ck"])

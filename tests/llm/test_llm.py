@@ -380,3 +380,39 @@ def test_query_equals_sql(name, spark, data, duck):
 def test_query_runs(name, spark, data):
     df = llm.QUERIES[name](spark, data)
     assert df.columns and df.count() >= 0
+
+
+def edited(seed, least, most, n=150):
+    """Texts and copies with single words replaced that still reach the threshold."""
+    rng, out = random.Random(seed), []
+    while len(out) < 2 * n:
+        w = rng.sample(WORDS, rng.randint(least, most))
+        v = list(w)
+        while True:
+            u = list(v)
+            u[rng.randrange(len(u))] = rng.choice(WORDS)
+            if not like(set(w), set(u)):
+                break
+            v = u
+        if v != w:
+            out += [" ".join(w), " ".join(v)]
+    return out
+
+
+@pytest.mark.parametrize("least, most", [(8, 20), (30, 60)])
+def test_split_overlaps_lose_no_edited_text(spark, least, most):
+    t = edited(least, least, most)
+    rec = [(f"r{i:04d}", x, ("train", "test")[i % 2], "sampled") for i, x in enumerate(t)]
+    w = [words_of(x) for x in t]
+    want = {(rec[i][0], rec[j][0]) for i in range(0, len(t), 2) for j in range(1, len(t), 2) if like(w[i], w[j])}
+    e = spark.createDataFrame([], "id string, embedding array<float>")
+    pairs = overlaps.split_overlaps(spark.createDataFrame(rec, "id string, text string, role string, kind string"), e, {"train": 0, "test": 1})[0].collect()
+    assert {(p.id_0, p.id_1) for p in pairs} == want and len(want) >= 100
+
+
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(100):
+        a, b = (rng.choice(300, rng.integers(8, 250), replace=False) for _ in range(2))
+        bits = buckets.parity_bits(np.r_[a, a[:3], b], np.array([0, len(a) + 3, len(a) + 3 + len(b)])).view(np.uint64)
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
