@@ -416,3 +416,15 @@ def test_parity_bits_never_exceed_the_difference():
         a, b = (rng.choice(300, rng.integers(8, 250), replace=False) for _ in range(2))
         bits = buckets.parity_bits(np.r_[a, a[:3], b], np.array([0, len(a) + 3, len(a) + 3 + len(b)])).view(np.uint64)
         assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_bands_hold_at_the_threshold_itself():
+    assert buckets.recall(0.7, near_duplicates.BANDS, near_duplicates.ROWS) > 0.99
+    rng, hit, n = np.random.default_rng(4), 0, 600
+    for _ in range(n):
+        common, a, b = (rng.integers(0, 1 << 60, k) for k in (70, 15, 15))
+        flat, off = np.r_[common, a, common, b], np.array([0, 85, 170])
+        minima = buckets.minhash(flat, off, near_duplicates.BANDS * near_duplicates.ROWS, 0)
+        k, s = buckets.band_keys(minima, near_duplicates.BANDS, near_duplicates.ROWS), buckets.one_bit_sketch(minima[:, : near_duplicates.SKETCH_BITS]).view(np.uint64)
+        hit += bool((k[0] == k[1]).any() and np.bitwise_count(s[0] ^ s[1]).sum() <= near_duplicates.SKETCH_SLACK)
+    assert hit / n > 0.985
