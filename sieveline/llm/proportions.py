@@ -33,9 +33,10 @@ def repair(member: np.ndarray, have: np.ndarray, target: np.ndarray, floor: np.n
     """How many records of each signature to take.
 
     member: (signatures, categories) 0/1; have: records per signature; target and floor per category; size: of the sample.
-    Starts from random records that satisfy the floors where the records suffice, then exchanges one record's
-    worth of counts (add one, drop one, or swap, in steps halving from the largest useful) as long as the squared
-    deviation from the targets falls and no floor is broken more than before.
+    Starts from ``size`` random records that satisfy the floors where the records suffice, then swaps records of one
+    signature for as many of another (in steps halving from the largest useful) as long as the squared deviation from
+    the targets falls and no floor is broken more than before.  The number of records stays ``size``.  The swaps of best
+    gradient are tried first, all others before a step ends, so no single swap improves the result.
     """
     rng = np.random.default_rng(seed)
     take = np.zeros(len(have), np.int64)
@@ -64,20 +65,34 @@ def repair(member: np.ndarray, have: np.ndarray, target: np.ndarray, floor: np.n
     got = m.T @ take
     best = float(cost(got))
     step = 1 << int(np.log2(max(1, take.max(initial=1))))
+
+    def cheapest(room: np.ndarray, free: np.ndarray) -> tuple[float, int, int]:
+        """(cost, from, to) of the best swap of ``step`` records of one of ``room`` for one of ``free``."""
+        least_cost, at = np.inf, (0, 0)
+        if not len(free):
+            return least_cost, *at
+        block = max(1, (1 << 20) // max(1, len(free) * m.shape[1]))
+        for lo in range(0, len(room), block):
+            i, j = np.repeat(room[lo : lo + block], len(free)), np.tile(free, len(room[lo : lo + block]))
+            costs = cost(got + step * (m[j] - m[i]))
+            k = int(costs.argmin())
+            if costs[k] < least_cost:
+                least_cost, at = float(costs[k]), (int(i[k]), int(j[k]))
+        return least_cost, *at
+
     while step:
         while True:
             gain = m @ (got - target)  # half the derivative of the deviation
             room, free = np.flatnonzero(take >= step), np.flatnonzero(have - take >= step)
-            room, free = room[np.argsort(-gain[room], kind="stable")][:16], free[np.argsort(gain[free], kind="stable")][:16]
-            i, j = np.repeat(room, len(free)), np.tile(free, len(room))
-            after = got + step * (m[j] - m[i])
-            costs = cost(after) if len(i) else np.zeros(0)
-            if not len(i) or costs.min() >= best:
+            room, free = room[np.argsort(-gain[room], kind="stable")], free[np.argsort(gain[free], kind="stable")]
+            found, i, j = cheapest(room[:16], free[:16])
+            if found >= best:
+                found, i, j = cheapest(room, free)
+            if found >= best:
                 break
-            k = int(costs.argmin())
-            take[i[k]] -= step
-            take[j[k]] += step
-            got, best = after[k], float(costs[k])
+            take[i] -= step
+            take[j] += step
+            got, best = got + step * (m[j] - m[i]), found
         step //= 2
     return take
 

@@ -428,3 +428,15 @@ def test_bands_hold_at_the_threshold_itself():
         k, s = buckets.band_keys(minima, near_duplicates.BANDS, near_duplicates.ROWS), buckets.one_bit_sketch(minima[:, : near_duplicates.SKETCH_BITS]).view(np.uint64)
         hit += bool((k[0] == k[1]).any() and np.bitwise_count(s[0] ^ s[1]).sum() <= near_duplicates.SKETCH_SLACK)
     assert hit / n > 0.985
+
+
+def test_repair_ends_where_no_single_swap_improves():
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        member = (rng.random((220, 20)) < 0.1).astype(np.int64)
+        have, target = rng.integers(0, 60, 220), rng.integers(5, 60, 20)
+        take = proportions.repair(member, have, target, np.zeros(20, np.int64), int(target.sum()), 7)
+        got = member.T @ take
+        room, free = np.flatnonzero(take > 0), np.flatnonzero(have > take)
+        swapped = got + member[free][None] - member[room][:, None]
+        assert ((swapped - target) ** 2).sum(-1).min() >= ((got - target) ** 2).sum()
