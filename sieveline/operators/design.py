@@ -28,10 +28,10 @@ class Stratum:
     members: list[tuple] = field(default_factory=list)
 
 
-def one_per_group(items: DataFrame, group: str = "group", key: str = "id", seed: int = 0) -> DataFrame:
-    """A random member per group; an item without group is its own."""
+def one_per_group(items: DataFrame, group: str = "group", key: str = "id", seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """A random member per group, within the columns ``by``; an item without group is its own."""
     first = F.min_by(F.struct(*items.columns), F.struct(random_rank(F.col(key), seed), F.col(key))).alias("_one")
-    return items.groupBy(F.coalesce(F.col(group).cast("string"), F.concat(F.lit("item "), F.col(key).cast("string"))).alias("_g")).agg(first).select("_one.*")
+    return items.groupBy(*by, F.coalesce(F.col(group).cast("string"), F.concat(F.lit("item "), F.col(key).cast("string"))).alias("_g")).agg(first).select("_one.*")
 
 
 def score_cuts(items: DataFrame, quantiles: Sequence[float], score: str = "score") -> list[float]:
@@ -133,29 +133,49 @@ def design_sample(frame: DataFrame, total: int, *, quantiles: Sequence[float] =
     item per group; strata are rule x score band x slice, small ones merged; a simple random sample per stratum by md5
     rank, roles by a second rank with at least two items of calibration and test.  A null or NaN score is in the last band.
     """
-    base = one_per_group(frame, seed=seed)
-    cuts = score_cuts(base, quantiles)
-    base = base.withColumn("_rule", F.coalesce("rule_fires", F.lit(False))).withColumn("_band", F.when(F.col("score").isNull() | F.isnan("score"), len(cuts)).otherwise(band_of(cuts)))
-    cells = base.groupBy("_rule", "_band", "slice").agg(F.count(F.lit(1)).alias("n")).collect()  # rules x bands x slices
+    named = frame.withColumn("design_id", F.lit(design_id))
+    return design_samples(named, total, quantiles=quantiles, roles=roles, floor=floor, method=method, factors=factors, rates=rates, manual=manual, seed=seed)
+
+
+def design_samples(frames: DataFrame, total: int, *, quantiles: Sequence[float] = (0.05, 0.2), roles: tuple[float, float, float] = (0.5, 0.25, 0.25), floor: int = 30, method: str = "proportional", factors=None, rates=None, manual=None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """``design_sample`` of every design_id of the frames, each with its own groups, cuts, strata, total and draw.
+
+    The driver holds the strata counts of all designs (tens of rows each).
+    """
+    base = one_per_group(frames, seed=seed, by=["design_id"])
+    last = len(quantiles)
+    valid = F.col("score").isNotNull() & ~F.isnan("score")
+    if last:
+        qs = F.expr("array(" + ", ".join(f"percentile_disc({1 - q}) within group (order by score)" for q in sorted(quantiles)) + ")")
+        cuts = base.filter(valid).groupBy("design_id").agg(qs.alias("_cuts"))
+        base = base.join(F.broadcast(cuts), "design_id", "left").withColumn("_band", F.when(valid, band_of([F.col("_cuts")[k] for k in range(last)])).otherwise(last)).drop("_cuts")
+    else:
+        base = base.withColumn("_band", F.lit(0))
+    base = base.withColumn("_rule", F.coalesce("rule_fires", F.lit(False)))
+    cells: dict[str, list] = {}
+    for c in base.groupBy("design_id", "_rule", "_band", "slice").agg(F.count(F.lit(1)).alias("n")).collect():  # designs x rules x bands x slices
+        cells.setdefault(c.design_id, []).append(c)
     _, cal, test = roles
-    strata = [Stratum(f"{'rule' if c._rule else 'no_rule'}|band{c._band}" + (f"|{c.slice}" if c.slice else ""), c._rule, (c._band, c._band), c.slice, c.n, [(c._rule, c._band, c.slice)]) for c in cells]
-    merged = merge_small(strata, lambda n: round_half_up(n * cal) >= 2 and round_half_up(n * test) >= 2)
-    sizes = {s.name: s.size for s in merged}
-    n = allocate(sizes, total, method=method, floor=floor, factors=factors, rates=rates, manual=manual)
-    n_role = {k: {"calibration": max(min(2, v), round_half_up(v * cal)), "test": max(min(2, v), round_half_up(v * test))} for k, v in n.items()}
-    for k, v in n.items():
-        n_role[k]["train"] = max(0, v - n_role[k]["calibration"] - n_role[k]["test"])
-    spark = frame.sparkSession
-    table = spark.createDataFrame([(r, b, sl, s.name, s.size, n[s.name], n_role[s.name]["calibration"], n_role[s.name]["test"]) for s in merged for r, b, sl in s.members], "_rule boolean, _band int, _slice string, stratum string, stratum_size long, _n int, _cal int, _test int")
-    placed = base.join(F.broadcast(table), (base["_rule"] == table["_rule"]) & (base["_band"] == table["_band"]) & base["slice"].eqNullSafe(table["_slice"])).drop(table["_rule"]).drop(table["_band"]).drop("_slice")
-    w = Window.partitionBy("stratum")
+    placing, summary = [], []
+    for d, own in sorted(cells.items()):
+        strata = [Stratum(f"{'rule' if c._rule else 'no_rule'}|band{c._band}" + (f"|{c.slice}" if c.slice else ""), c._rule, (c._band, c._band), c.slice, c.n, [(c._rule, c._band, c.slice)]) for c in own]
+        merged = merge_small(strata, lambda n: round_half_up(n * cal) >= 2 and round_half_up(n * test) >= 2)
+        n = allocate({s.name: s.size for s in merged}, total, method=method, floor=floor, factors=factors, rates=rates, manual=manual)
+        for s in merged:
+            v = n[s.name]
+            n_cal, n_test = max(min(2, v), round_half_up(v * cal)), max(min(2, v), round_half_up(v * test))
+            placing += [(d, r, b, sl, s.name, s.size, v, n_cal, n_test) for r, b, sl in s.members]
+            summary.append((d, s.name, s.size, v, max(0, v - n_cal - n_test), n_cal, n_test))
+    spark = frames.sparkSession
+    table = spark.createDataFrame(placing, "_design string, _r boolean, _b int, _slice string, stratum string, stratum_size long, _n int, _cal int, _test int")
+    placed = base.join(F.broadcast(table), (base["design_id"] == table["_design"]) & (base["_rule"] == table["_r"]) & (base["_band"] == table["_b"]) & base["slice"].eqNullSafe(table["_slice"])).drop("_design", "_r", "_b", "_slice")
+    w = Window.partitionBy("design_id", "stratum")
     drawn = placed.withColumn("_r", F.row_number().over(w.orderBy(random_rank(F.col("id"), seed + 1), "id"))).filter(F.col("_r") <= F.col("_n"))
     drawn = drawn.withColumn("_q", F.row_number().over(w.orderBy(random_rank(F.col("id"), seed + 2), "id")))
     role = F.when(F.col("_q") <= F.col("_cal"), "calibration").when(F.col("_q") <= F.col("_cal") + F.col("_test"), "test").otherwise("train")
     count = F.when(F.col("role") == "calibration", F.col("_cal")).when(F.col("role") == "test", F.col("_test")).otherwise(F.col("_n") - F.col("_cal") - F.col("_test"))
-    sample = drawn.withColumn("role", role).withColumn("inclusion_prob", count / F.col("stratum_size")).withColumn("design_id", F.lit(design_id)).drop("_rule", "_band", "_n", "_cal", "_test", "_r", "_q")
-    summary = spark.createDataFrame([(design_id, s.name, s.size, n[s.name], n_role[s.name]["train"], n_role[s.name]["calibration"], n_role[s.name]["test"]) for s in merged], "design_id string, stratum string, n_frame long, n_sample int, train int, calibration int, test int")
-    return sample, summary
+    sample = drawn.withColumn("role", role).withColumn("inclusion_prob", count / F.col("stratum_size")).drop("_rule", "_band", "_n", "_cal", "_test", "_r", "_q")
+    return sample, spark.createDataFrame(summary, "design_id string, stratum string, n_frame long, n_sample int, train int, calibration int, test int")
 
 
 def design_of(records: DataFrame, by: Sequence[str] = ("design_id", "stratum"), size: str = "stratum_size") -> DataFrame:

@@ -206,6 +206,12 @@ def _frame(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", F.col("group_id").alias("group"), F.col("signals.rule_fires").alias("rule_fires"), F.col("signals.score").alias("score"), F.lower(F.trim("signals.slice")).alias("slice"))
 
 
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    """The frames of all designs: repeated rows once, slices in one spelling; items without design are in none."""
+    f = table(spark, d, "frame_items").filter("design_id is not null").dropDuplicates(["design_id", "id"])
+    return f.select("design_id", "id", F.col("group_id").alias("group"), F.col("signals.rule_fires").alias("rule_fires"), F.col("signals.score").alias("score"), F.lower(F.trim("signals.slice")).alias("slice"))
+
+
 F_ = "WITH f AS (SELECT DISTINCT ON (id) id, group_id AS g, signals.rule_fires AS rule_fires, signals.score AS score, lower(trim(signals.slice)) AS slice FROM frame_items WHERE design_id = 'd00-0000'), o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY coalesce(g, 'item ' || id) ORDER BY md5('0:' || id), id) = 1)"
 
 
@@ -223,14 +229,14 @@ def score_bands(spark, d):
 
 @query()
 def design_sample(spark, d):
-    """A stratified sample with roles; merging and allocation are driver decisions."""
-    s, _ = design.design_sample(_frame(spark, d), 300, floor=10)
-    return s.select("id", "stratum", "role", F.round("inclusion_prob", 9).alias("inclusion_prob"), "stratum_size")
+    """A stratified sample of every design with roles; merging and allocation are driver decisions."""
+    s, _ = design.design_samples(_frames(spark, d), 300, floor=10)
+    return s.select("design_id", "id", "stratum", "role", F.round("inclusion_prob", 9).alias("inclusion_prob"), "stratum_size")
 
 
 @query()
 def design_summary(spark, d):
-    return design.design_sample(_frame(spark, d), 300, floor=10)[1]
+    return design.design_samples(_frames(spark, d), 300, floor=10)[1]
 
 
 SAMPLED = R + ", s AS (SELECT id, role, source.design_id AS design_id, source.stratum AS stratum, source.stratum_size AS stratum_size, labels FROM r WHERE source.kind = 'sampled')"

@@ -257,3 +257,21 @@ def test_drift_checks_find_a_shift():
     assert any(c["alert"] for c in monitor.drift_checks((10000, 400, 850), ref))
     with pytest.raises(ValueError):
         monitor.drift_checks((0, 0, 0), ref)
+
+
+def test_every_design_is_sampled_like_its_own_frame(spark, tmp_path):
+    from sieveline.operators import design
+    from sieveline.plans import registry
+
+    rows = [(d, f"{d}{i}", f"g{i % 90}", i % 3 == 0, None if i % 17 == 0 else (i * k) % 101 / 101, "en" if i % 4 else None) for d, k in (("a", 7), ("b", 13)) for i in range(300)]
+    frames = spark.createDataFrame(rows, "design_id string, id string, group string, rule_fires boolean, score double, slice string")
+    sample, strata = design.design_samples(frames, 60, floor=5)
+    got = {(r.design_id, r.id, r.stratum, r.role) for r in sample.collect()}
+    for d in "ab":
+        alone, its = design.design_sample(frames.filter(f"design_id = '{d}'").drop("design_id"), 60, floor=5, design_id=d)
+        assert {x for x in got if x[0] == d} == {(r.design_id, r.id, r.stratum, r.role) for r in alone.collect()} and len([x for x in got if x[0] == d]) == 60
+        assert sorted(strata.filter(f"design_id = '{d}'").collect()) == sorted(its.collect())
+    items = frames.selectExpr("regexp_replace(regexp_replace(design_id, 'a', 'd00-0000'), 'b', 'd00-0001') AS design_id", "id", "group AS group_id", "struct(rule_fires, score, slice) AS signals")
+    items.write.parquet(f"{tmp_path}/frame_items.parquet")
+    for name in ("design_sample", "design_summary"):
+        assert {r.design_id for r in registry.QUERIES[name](spark, str(tmp_path)).collect()} == {"d00-0000", "d00-0001"}
