@@ -17,10 +17,9 @@ from ..sources.shared import spread
 from . import evaluation, thresholds
 from .scoring import Head, calibrate, score
 
-KNN_K, PCA_K, FOLDS, AUTO_MARGIN, FINER_SCALE, FINER_C = 10, 50, 3, 0.2, 0.25, 0.01
+KNN_K, PCA_K, FOLDS, AUTO_MARGIN = 10, 50, 3, 0.2
 #: References that a task holds at a time.
 REFERENCE_ROWS = 1 << 14
-HEAD_TYPES = ("linear", "knn", "stack", "finer", "auto")
 
 
 def _matrix(b: pa.RecordBatch, vector: str) -> np.ndarray:
