@@ -30,8 +30,8 @@ def flat_longs(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     return np.asarray(arr.values)[off[0] : off[-1]], off - off[0]
 
 
-def vectors(col: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Unit float32 rows of the valid vectors of a list<float> column, and their positions.
+def raw_vectors(col: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Float32 rows of the valid vectors of a list<float> column as given, and their positions.
 
     Valid: not null, ``width`` numbers (the most common length where width is None), all finite, not all zero.
     """
@@ -47,9 +47,14 @@ def vectors(col: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.nda
     at = np.flatnonzero(size == width)
     flat = np.asarray(col.values.fill_null(float("nan")), dtype=np.float32)
     x = flat[off[at][:, None] + np.arange(width)]
-    length = np.sqrt((x.astype(np.float64) ** 2).sum(1))
-    ok = np.isfinite(length) & (length > 0)
-    return (x[ok] / length[ok, None]).astype(np.float32), at[ok]
+    ok = np.isfinite(x).all(1) & (x != 0).any(1)
+    return x[ok], at[ok]
+
+
+def vectors(col: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Unit float32 rows of the valid vectors of a list<float> column, and their positions."""
+    x, at = raw_vectors(col, width)
+    return (x / np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True))).astype(np.float32), at
 
 
 def valid_vector(v: Column, width: int) -> Column:

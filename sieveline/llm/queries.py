@@ -72,14 +72,15 @@ def _embedded(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     e = _embedded(spark, d)
-    return nearest(e.filter("used_as = 'pool'"), e.filter("used_as = 'seed'"), 10, WIDTH).select(F.col("query_id").alias("id_a"), F.col("id").alias("id_b"))
+    found = nearest(e.filter("used_as = 'pool'"), e.filter("used_as = 'seed'"), 10, WIDTH)
+    return found.select(F.least("query_id", "id").alias("id_a"), F.greatest("query_id", "id").alias("id_b")).distinct()
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Queries: the rows whose id number is divisible by 50, against all rows."""
     e = _embedded(spark, d)
     asked = e.filter(F.regexp_extract("id", r"(\d+)$", 1).cast("bigint") % 50 == 0)
-    return nearest(e, asked, 10, WIDTH, complete=True)
+    return nearest(e, asked, 10, WIDTH).select("query_id", "id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -198,8 +199,15 @@ VALID = """len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NUL
 
 P2_FOUND = f"""
 WITH e AS (SELECT DISTINCT record_id AS id, used_as, embedding::DOUBLE[] AS v FROM embedded WHERE {VALID}),
-c AS (SELECT s.id AS id_a, p.id AS id_b, list_cosine_similarity(s.v, p.v) AS c FROM e s JOIN e p ON s.used_as = 'seed' AND p.used_as = 'pool' AND s.id <> p.id)
-SELECT id_a, id_b FROM c QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY c DESC, id_b) <= 10
+c AS (SELECT s.id AS id_a, p.id AS id_b, list_cosine_similarity(s.v, p.v) AS c FROM e s JOIN e p ON s.used_as = 'seed' AND p.used_as = 'pool' AND s.id <> p.id),
+n AS (SELECT id_a, id_b FROM c QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY c DESC, id_b) <= 10)
+SELECT DISTINCT least(id_a, id_b) AS id_a, greatest(id_a, id_b) AS id_b FROM n
+"""
+
+P2_NEIGHBOURS = f"""
+WITH e AS (SELECT DISTINCT record_id AS id, embedding::DOUBLE[] AS v FROM embedded WHERE {VALID}),
+c AS (SELECT s.id AS query_id, p.id AS id, list_cosine_similarity(s.v, p.v) AS c FROM e s JOIN e p ON regexp_extract(s.id, '(\\d+)$', 1)::BIGINT % 50 = 0 AND s.id <> p.id)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS INTEGER) AS rank, round(c, 6) AS cosine FROM c QUALIFY rank <= 10
 """
 
 GROUP = r"CASE WHEN trim(group_id) <> '' THEN regexp_replace(lower(trim(group_id)), '^(.*?)0*(\d+)$', '\1\2') END"
@@ -249,4 +257,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_levels": p10_levels,
 }
 
-SQL: dict[str, str] = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
+SQL: dict[str, str] = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_neighbours": P2_NEIGHBOURS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}

@@ -172,6 +172,48 @@ def test_forest_finds_the_nearest(spark):
     assert neighbours.nearest(df.limit(0), q, 3, 64).count() == 0 and neighbours.nearest(df, q.limit(0), 3, 64).count() == 0
 
 
+def test_forest_search_in_crowds_and_far_is_exact():
+    """A block of 50,000 unit vectors: unstructured ones (far neighbours) and crowds at cosine 0.99 and 0.999 to their centers."""
+    rng = np.random.default_rng(16)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = [unit(rng.normal(size=(42000, 64)))]
+    for c in (0.99, 0.999):
+        center, noise = unit(rng.normal(size=64)), unit(rng.normal(size=(4000, 64)))
+        x.append(unit(c * center + (1 - c * c) ** 0.5 * noise))
+    x = np.concatenate(x).astype(np.float32)
+    ids = np.array([f"v{i:05d}" for i in range(len(x))], dtype=object)
+    asked = np.r_[0:40, 42000:42030, 46000:46030]
+    block = neighbours.Block(x, ids, neighbours.TREES, neighbours.DEPTH)
+    t = block.answer(x[asked], ids[asked], 10, neighbours.CANDIDATES, True)
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    alone = block.answer(x[asked], ids[asked], 10, neighbours.CANDIDATES, False)
+    got, some = (set(zip(b.column("query_id").to_pylist(), b.column("id").to_pylist())) for b in (t, alone))
+    want = set()
+    for i in asked:
+        c = y @ y[i]
+        c[i] = -2
+        want |= {(ids[i], ids[j]) for j in np.lexsort((np.arange(len(c)), -c))[:10]}
+    assert len(got & want) >= len(want) - 1  # double sums in another order may swap a tie
+    assert len(some & want) >= 0.4 * len(want)  # candidates of the hash strings alone
+
+
+def test_forest_streams_many_queries(spark, monkeypatch):
+    """More queries than are broadcast go past several blocks; the result is the same."""
+    rng = np.random.default_rng(17)
+    rows = [(f"v{i:04d}", v.tolist()) for i, v in enumerate(rng.normal(size=(600, 64)))] + [("n1", None)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    few = {(r.query_id, r.id, r.rank) for r in neighbours.nearest(df, df, 5, 64).collect()}
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(neighbours, "BLOCK", 200)
+    many = {(r.query_id, r.id, r.rank) for r in neighbours.nearest(df, df, 5, 64).collect()}
+    assert few == many and len(few) == 3000
+
+
+def test_pairs_of_neighbours_put_the_smaller_id_first(spark, data):
+    assert llm.p2_found(spark, data).filter("id_a >= id_b").count() == 0
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300, i) for i in range(301, 380)] + [(5, 5), (None, 3)]
