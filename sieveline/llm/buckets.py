@@ -1,25 +1,27 @@
 """Candidate pairs from buckets of equal hashes, for texts and vectors alike.
 
-Rows (key, ck[, n][, side][, s1][, s2]) are hash partitioned by key; each task sorts its rows by key and compares
-within runs.  A run longer than ``HOT`` is handed on and joined by Spark with salted keys, so that no bucket
-is bound to one task and none is dropped.
+Rows (key, ck[, n][, side][, s1][, s2]) are hash partitioned and sorted by key; each task streams its rows and compares
+within runs of one key, so it holds one chunk at a time.  A run longer than ``HOT`` is handed on, with all it needs for
+comparing: its members are hashed again more finely, or compared in pairs of blocks, each a task of its own.  No
+bucket is bound to one task and none is dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import save
-from .common import mix, salted_join
+from .common import mix
 
-HOT = 4096
-SALTS = 16
-PAIRS = "a long, b long, key long"
+#: Members of a run that one task compares at most; rows that it takes at a time.
+HOT, CHUNK = 4096, 1 << 18
+#: A pair has key 0; a member of a hot run is in a, its side in b.
+PAIRS = "a long, b long, key long, n int, s1 long, s2 long"
 
 
 def minhash(flat: np.ndarray, off: np.ndarray, count: int, seed: int, chunk: int = 1 << 16) -> np.ndarray:
@@ -64,18 +66,23 @@ def _distinct(flat: np.ndarray, off: np.ndarray, rank: np.ndarray | None) -> tup
     return flat[fresh], doc[fresh]
 
 
-def prefix(flat: np.ndarray, off: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - ceil(threshold n) + 1 members of every set of n, rarest first, and their sets.
+def rare_pairs(flat: np.ndarray, off: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the pairs of the n - ceil(threshold n) + 2 rarest members of every set of n, and their sets.
 
-    All sets are in one order, so two sets of at least the threshold in common share a member of both prefixes.
+    All sets are in one order, so two sets of at least the threshold in common share two members of both prefixes.
     """
     flat, doc = _distinct(flat, off, rank)
     n = np.bincount(doc, minlength=len(off) - 1)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    keep = place < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1)[doc]
-    key = mix(flat[keep], 5).view(np.int64)
-    key[key == 0] = 1
-    return key, doc[keep]
+    keep = place < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 2)[doc]
+    flat, doc = flat[keep], doc[keep]
+    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    keys, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(starts):
+        for x, y in run_pairs(starts, np.r_[starts[1:], len(doc)], None):
+            keys.append(mix(mix(flat[x], 5) ^ flat[y].view(np.uint64), 6).view(np.int64))
+            docs.append(doc[x])
+    return np.concatenate(keys), np.concatenate(docs)
 
 
 def parity_bits(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -93,100 +100,189 @@ def recall(similarity: float, bands: int, rows: int) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
-def _emit(a: list, b: list, k: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b, k)], names=["a", "b", "key"])
+def run_pairs(starts: np.ndarray, ends: np.ndarray, first: np.ndarray | None, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (x, y) of the pairs within runs, about ``most`` at a time: x < y, or x before ``first`` of its run and y from it on."""
+    length = ends - starts
+    if first is None:
+        x = np.arange(starts[0], ends[-1]) if len(starts) else np.zeros(0, np.int64)
+        low, count = x + 1, np.repeat(ends, length) - x - 1
+    else:
+        zeros = first - starts
+        x = np.repeat(starts - np.r_[0, np.cumsum(zeros)[:-1]], zeros) + np.arange(zeros.sum())
+        low, count = np.repeat(first, zeros), np.repeat(ends - first, zeros)
+    upto = np.cumsum(count)
+    lo = 0
+    while lo < len(x):
+        done = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + most, side="right")))
+        c = count[lo:hi]
+        within = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        yield np.repeat(x[lo:hi], c), np.repeat(low[lo:hi], c) + within
+        lo = hi
+
+
+class Closeness:
+    """The filter of pairs by size and sketch."""
+
+    def __init__(self, ratio: float | None, max_diff: int | None, parity: bool):
+        self.ratio, self.max_diff, self.parity = ratio, max_diff, parity
+
+    def __call__(self, cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.max_diff is not None or self.parity:
+            diff = np.zeros(len(x), np.uint8)
+            for s in ("s1", "s2"):
+                if s in cols:
+                    diff += np.bitwise_count((cols[s][x] ^ cols[s][y]).view(np.uint64))
+            most = (1 - self.ratio) / (1 + self.ratio) * (cols["n"][x] + cols["n"][y]) + 1e-6 if self.parity else self.max_diff
+            ok = diff <= most
+            x, y = x[ok], y[ok]
+        if self.ratio is not None:
+            nx, ny = cols["n"][x].astype(np.float64), cols["n"][y].astype(np.float64)
+            ok = np.minimum(nx, ny) >= self.ratio * np.maximum(nx, ny) - 1e-9
+            x, y = x[ok], y[ok]
+        return x, y
+
+
+def _unique(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    pairs = np.stack([np.concatenate(a), np.concatenate(b)], 1) if a else np.zeros((0, 2), np.int64)
+    return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float | None = None, max_diff: int | None = None, parity: bool = False) -> DataFrame:
+def _row(a: np.ndarray, b: np.ndarray, key: np.ndarray, cols: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
+    get = lambda c: (cols or {}).get(c, np.zeros(len(a), np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64()), pa.array(get("n").astype(np.int32)), pa.array(get("s1")), pa.array(get("s2"))], names=["a", "b", "key", "n", "s1", "s2"])
+
+
+def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float | None = None, max_diff: int | None = None, parity: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Different pairs (a, b) of ``ck`` that share a key; written to the shared folder.
 
     sided: only pairs of side 0 (a) with side 1 (b); else a < b.  ratio: least quotient of the smaller and the
     larger n.  max_diff: most differing sketch bits.  parity: the sketches are parity bits of sets of n members, which
     differ in at most as many bits as the sets may differ in members at the Jaccard similarity ``ratio``; no pair is
-    lost by it.  Copies of (key, ck) count once.
+    lost by it.  Copies of (key, ck) count once.  Keys are not 0 (callers move it).  refine: of the members (ck) of hot
+    runs, rows with finer keys, whose runs are compared instead; without it a hot run is compared in pairs of blocks.
     """
-    sketches = [c for c in ("s1", "s2") if c in rows.columns]
-    sized = ["n"] if ratio is not None else []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [x for x in batches if x.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        get = {c: t.column(c).to_numpy() for c in t.column_names}
-        del t, parts
-        order = np.lexsort((get["ck"], get["side"], get["key"])) if sided else np.lexsort((get["ck"], get["key"]))
-        key, ck = get["key"][order], get["ck"][order]
-        side = get["side"][order] if sided else np.zeros(len(key), np.int8)
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (ck[1:] != ck[:-1]) | (side[1:] != side[:-1])]
-        order, key, ck, side = order[fresh], key[fresh], ck[fresh], side[fresh]
+    use = rows.select("key", "ck", *(c for c in ("n", "side", "s1", "s2") if c in rows.columns))
+    close = Closeness(ratio, max_diff, parity)
+
+    def compare(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Pairs of the whole runs in ``cols``; the members of hot ones."""
+        by = [cols["ck"], cols["side"], cols["key"]] if sided else [cols["ck"], cols["key"]]
+        cols = {c: v[order] for order in [np.lexsort(by)] for c, v in cols.items()}
+        fresh = np.r_[True, np.any([c[1:] != c[:-1] for c in (cols["key"], cols["ck"], *([cols["side"]] if sided else []))], axis=0)]
+        cols = {c: v[fresh] for c, v in cols.items()}
+        key, ck = cols["key"], cols["ck"]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        length = np.diff(np.r_[starts, len(key)])
-        each = np.repeat(length, length)
-        keep = each > 1
+        ends = np.r_[starts[1:], len(key)]
+        first = starts + np.add.reduceat((cols["side"] == 0).astype(np.int64), starts) if sided else None
+        hot = ends - starts > HOT
+        for lo, hi in zip(starts[hot].tolist(), ends[hot].tolist()):
+            part = {c: v[lo:hi] for c, v in cols.items()}
+            yield _row(part["ck"], part["side"].astype(np.int64) if sided else np.zeros(hi - lo, np.int64), part["key"], part)
+        keep = ~hot & (ends - starts > 1)
         if sided:  # runs with both sides only
-            ones = np.add.reduceat(side.astype(np.int64), starts)
-            keep &= np.repeat((ones > 0) & (ones < length), length)
-        hot = keep & (each > HOT)
-        if hot.any():
-            yield _emit([ck[hot]], [side[hot].astype(np.int64) - 2], [key[hot]])
-        keep &= ~hot
-        order, key, ck, side = order[keep], key[keep], ck[keep], side[keep]
-        cols = {c: get[c][order] for c in (*sized, *sketches)}
-        del get, order
-        n = cols["n"].astype(np.float64) if sized else None
+            keep &= (first > starts) & (first < ends)
+            first = first[keep]
+        if not sided:  # positions of the other runs give no pairs
+            take = np.repeat(keep, ends - starts)
+            cols = {c: v[take] for c, v in cols.items()}
+            ck, length = cols["ck"], (ends - starts)[keep]
+            ends = np.cumsum(length)
+            starts = ends - length
+        else:
+            starts, ends = starts[keep], ends[keep]
+        if not len(starts):
+            return
         out_a, out_b, size = [], [], 0
-        i = np.arange(len(key) - 1)
-        d = 1
-        while len(i):
-            i = i[i + d < len(key)]
-            i = i[key[i] == key[i + d]]
-            x, y = i, i + d
-            if sided:
-                ok = side[x] != side[y]
-                x, y = x[ok], y[ok]
-            if ratio is not None:
-                ok = np.minimum(n[x], n[y]) >= ratio * np.maximum(n[x], n[y]) - 1e-9
-                x, y = x[ok], y[ok]
-            if max_diff is not None or parity:
-                diff = sum(np.bitwise_count((cols[s][x] ^ cols[s][y]).view(np.uint64)).astype(np.int32) for s in sketches)
-                ok = diff <= ((1 - ratio) / (1 + ratio) * (n[x] + n[y]) + 1e-6 if parity else max_diff)
-                x, y = x[ok], y[ok]
+        for x, y in run_pairs(starts, ends, first):
+            x, y = close(cols, x, y)
             out_a.append(ck[x])
             out_b.append(ck[y])
             size += len(x)
             if size > 1 << 20:
-                yield from unique(out_a, out_b)
+                p = _unique(out_a, out_b)
+                yield _row(p[:, 0], p[:, 1], np.zeros(len(p), np.int64))
                 out_a, out_b, size = [], [], 0
-            d += 1
-        yield from unique(out_a, out_b)
+        p = _unique(out_a, out_b)
+        if len(p):
+            yield _row(p[:, 0], p[:, 1], np.zeros(len(p), np.int64))
 
-    def unique(a: list, b: list) -> Iterator[pa.RecordBatch]:
-        if a and sum(map(len, a)):
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-            yield _emit([pairs[:, 0]], [pairs[:, 1]], [np.zeros(len(pairs), np.int64)])
-
-    use = rows.select("key", "ck", *sized, *(["side"] if sided else []), *sketches)
-    raw = save(use.repartition("key").mapInArrow(run, PAIRS), name)
-    # A hot member has its side - 2 in b and its key; a pair has key 0. Keys of 0 are moved to 1 by the callers' hashes.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
+        size, hot = 0, 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, hot
+            cols = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+            held, size = [], 0
+            if hot:  # the run goes on
+                n = int(np.searchsorted(cols["key"], hot, side="right"))
+                if n:
+                    part = {c: v[:n] for c, v in cols.items()}
+                    yield _row(part["ck"], part["side"].astype(np.int64) if sided else np.zeros(n, np.int64), part["key"], part)
+                    cols = {c: v[n:] for c, v in cols.items()}
+                if not len(cols["key"]):
+                    return
+                hot = 0
+            cut = len(cols["key"]) if last else int(np.searchsorted(cols["key"], cols["key"][-1]))
+            tail = {c: v[cut:] for c, v in cols.items()}
+            if len(tail["key"]):
+                _, at = np.unique(tail["ck"] if not sided else np.stack([tail["ck"], tail["side"].astype(np.int64)], 1), axis=0, return_index=True)
+                tail = {c: v[at] for c, v in tail.items()}
+                if len(at) > HOT:
+                    hot = int(tail["key"][0])
+                    yield _row(tail["ck"], tail["side"].astype(np.int64) if sided else np.zeros(len(at), np.int64), tail["key"], tail)
+                else:
+                    held, size = [tail], len(at)
+            if cut:
+                yield from compare({c: v[:cut] for c, v in cols.items()})
+
+        for b in batches:
+            if b.num_rows:
+                held.append({c: b.column(c).to_numpy() for c in b.schema.names})
+                size += b.num_rows
+                if size >= CHUNK:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    raw = save(use.repartition("key").sortWithinPartitions("key").mapInArrow(run, PAIRS), name)
     pairs = raw.filter(F.col("key") == 0).select("a", "b")
-    members = raw.filter(F.col("key") != 0).select("key", F.col("a").alias("ck"), (F.col("b") + 2).alias("side"))
-    attrs = use.select("key", "ck", *sized, *sketches).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key", "ck"])
-    if members.isEmpty():
+    hot = raw.filter(F.col("key") != 0)
+    if hot.isEmpty():
         return pairs.distinct()
-    left = members.join(attrs, ["key", "ck"])
-    right = left.select("key", *(F.col(c).alias(f"{c}_r") for c in ("ck", "side", *sized, *sketches)))
-    both = salted_join(left, right, ["key"], SALTS)
-    both = both.filter((F.col("side") == 0) & (F.col("side_r") == 1) if sided else F.col("ck") < F.col("ck_r"))
-    both = both.filter(_close(ratio, max_diff, parity, sketches))
-    return pairs.unionByName(both.select(F.col("ck").alias("a"), F.col("ck_r").alias("b"))).distinct()
-
-
-def _close(ratio: float | None, max_diff: int | None, parity: bool, sketches: list[str]) -> Column:
-    ok = F.lit(True)
-    if ratio is not None:
-        ok &= F.least("n", "n_r") >= F.greatest("n", "n_r") * F.lit(ratio) - F.lit(1e-9)
-    if max_diff is not None or parity:
-        most = (F.col("n") + F.col("n_r")) * F.lit((1 - ratio) / (1 + ratio)) + F.lit(1e-6) if parity else F.lit(max_diff)
-        ok &= sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_r"))) for s in sketches), F.lit(0)) <= most
-    return ok
+    if refine is not None:
+        more = candidates(refine(hot.select(F.col("a").alias("ck")).distinct()), f"{name}-finer", sided=sided, ratio=ratio, max_diff=max_diff, parity=parity)
+    else:
+        more = _in_blocks(hot, close, sided, [c for c in ("n", "s1", "s2") if c in rows.columns])
+    return pairs.unionByName(more).distinct()
+
+
+def _in_blocks(hot: DataFrame, close: Closeness, sided: bool, attrs: list[str]) -> DataFrame:
+    """Pairs (a, b) of hot runs: every run is cut in blocks of about HOT members and each pair of blocks is one group."""
+    sizes = hot.groupBy("key").agg(F.count_if(F.col("b") == 0).alias("n0"), F.count_if(F.col("b") == 1).alias("n1"))
+    blocks = sizes.select("key", F.greatest(F.lit(1), F.ceil(F.col("n0") / HOT)).cast("int").alias("b0"), F.greatest(F.lit(1), F.ceil(F.col("n1") / HOT)).cast("int").alias("b1"))
+    each = hot.join(blocks, "key").select("key", F.col("a").alias("ck"), F.col("b").alias("side"), *attrs, F.pmod(F.xxhash64("a"), F.when(F.col("b") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int").alias("own"), "b0", "b1")
+    if sided:
+        other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b0")) - 1))
+        placed = each.withColumn("other", other).withColumn("i", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")))
+    else:
+        placed = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b0") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        cols = {c: t.column(c).to_numpy() for c in ("ck", "side", "own", *attrs)}
+        second = cols["side"] if sided else (cols["own"] != t.column("i")[0].as_py()).astype(np.int64)
+        order = np.lexsort((cols["ck"], second))
+        cols = {c: v[order] for c, v in cols.items()}
+        n, cut = len(order), int((second == 0).sum())
+        same = not sided and t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        out_a, out_b = [], []
+        for x, y in run_pairs(np.array([0]), np.array([n]), None if same else np.array([cut])):
+            x, y = close(cols, x, y)
+            out_a.append(cols["ck"][x] if sided else np.minimum(cols["ck"][x], cols["ck"][y]))
+            out_b.append(cols["ck"][y] if sided else np.maximum(cols["ck"][x], cols["ck"][y]))
+        p = _unique(out_a, out_b)
+        p = p if sided else p[p[:, 0] != p[:, 1]]
+        return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
+
+    return placed.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")

@@ -1,7 +1,8 @@
-"""Same or near-same records across splits: a prefix filter on the rarest words for texts, hyperplane bands for vectors."""
+"""Same or near-same records across splits: rolling-hash minima joined across splits for texts, hyperplane bands for vectors."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,15 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import save
-from .buckets import candidates, parity_bits, prefix
+from .buckets import candidates, parity_bits, rare_pairs
 from .common import flat_longs, mix, valid_vector, vectors, word_hashes
 
-#: Words of a seed of the alignment.
-GRAM = 3
-#: Counters of the word frequencies; the table is of this size at every scale.
-COUNTERS = 1 << 17
+#: Words of a seed of the alignment, and of a fingerprint.
+GRAM, PRINT = 3, 2
+#: Fingerprints of a text beyond those that edits within the threshold can destroy: one moved passage destroys three.
+SPARE = 3
+#: A pair of which one text has fewer different words is found by pairs of rare words, in any word order.
+SHORT = 24
+#: Counters of the frequencies of words and fingerprints; the table is of this size (1 MB) at every scale.
+COUNTERS, SLICES = 1 << 20, 64
 #: Hyperplane bands: at cosine 0.95 a pair meets with probability 0.98, at 0.97 with 0.998.
 BITS, VECTOR_BANDS, VECTOR_SKETCH = 16, 20, 64
+#: Members of a class that one task joins at most.
+CLASS_BLOCK = 4096
 #: Of 64 signs at cosine 0.95 6.5 differ on average, with a deviation of 2.4.
 VECTOR_SLACK = 16
 
@@ -70,55 +77,115 @@ def _tables(records: DataFrame, sides: dict[str, int]) -> DataFrame:
     return save(rows.select("id", "role", "kind", "side", F.xxhash64("seq").alias("ck"), F.size(F.array_distinct("seq")).alias("n"), "seq"), "overlap-texts")
 
 
-def frequencies(texts: DataFrame, column: str) -> np.ndarray:
-    """Per hash counter the binary magnitude of how often its words occur over all texts."""
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """Per hash counter the binary magnitude (in eighths) of how often its words and fingerprints occur over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            flat, _ = flat_longs(b.column(column))
-            total += np.bincount((flat.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-    sums = texts.select(column).mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
-    out[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    return np.minimum(np.log2(np.maximum(out, 1)) * 4, 255).astype(np.uint8)
-
-
-def rare_words(texts: DataFrame, threshold: float) -> DataFrame:
-    """(key, ck, n, side, s1, s2): the words of every text of which a text that reaches the threshold shares one."""
-    rank = frequencies(texts, "seq")
+            if b.num_rows:
+                flat, off = flat_longs(b.column("seq"))
+                h, inside = grams(flat, off, PRINT)
+                for x in (flat.view(np.uint64), h[inside]):
+                    total += np.bincount((x % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.astype("<i4").tobytes() for x in np.split(np.minimum(total, 2**31 - 1), SLICES)], pa.binary())], names=["slice", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(COUNTERS // SLICES, np.int64)
+        for x in t.column("n"):
+            total += np.frombuffer(x.as_py(), "<i4")
+        rank = np.minimum(np.log2(np.maximum(total, 1)) * 8, 255).astype(np.uint8)
+        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "rank": pa.array([rank.tobytes()], pa.binary())})
+
+    ranks = texts.select("seq").mapInArrow(count, "slice int, n binary").groupBy("slice").applyInArrow(add, "slice int, rank binary").toArrow()
+    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
+    for k, r in zip(ranks.column("slice").to_pylist(), ranks.column("rank").to_pylist()):
+        out[k] = np.frombuffer(r, np.uint8)
+    return out.ravel()
+
+
+def minima(flat: np.ndarray, off: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The selected rolling hashes of every text and the texts: its least ones by (frequency, hash).
+
+    A winnowing whose window is the whole text.  Of m words, the edits that leave two texts at the similarity destroy
+    at most PRINT * (1 - threshold) * m fingerprints (words deleted, inserted or replaced); so many and SPARE more are
+    selected, so that the least fingerprint which both texts have is selected in both.
+    """
+    h, inside = grams(flat, off, PRINT)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(h)][inside]
+    h = h[inside]
+    order = np.lexsort((h, rank[(h % np.uint64(len(rank))).astype(np.int64)], doc))
+    h, doc = h[order], doc[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = h[fresh], doc[fresh]
+    n = np.bincount(doc, minlength=len(off) - 1)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    keep = place < np.floor(PRINT * (1 - threshold) * np.diff(off) + 1e-9)[doc] + SPARE
+    return h[keep].view(np.int64), doc[keep]
+
+
+def fingerprints(texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, ck, n, side, s1, s2): the selected fingerprints of every text; pairs of rare words of the short ones."""
+    rank = frequencies(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            if b.num_rows:
-                flat, off = flat_longs(b.column("seq"))
-                key, d = prefix(flat, off, rank, threshold)
-                s = parity_bits(flat, off)[d]
-                cols = [b.column(c).to_numpy()[d] for c in ("ck", "n", "side")]
-                yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, cols), pa.array(s[:, 0]), pa.array(s[:, 1])], names=["key", "ck", "n", "side", "s1", "s2"])
+            new = np.zeros(b.num_rows, bool)
+            for i, x in enumerate(zip(b.column("ck").to_pylist(), b.column("side").to_pylist())):
+                if x not in seen:
+                    seen.add(x)
+                    new[i] = True
+            b = b.filter(pa.array(new))
+            if not b.num_rows:
+                continue
+            flat, off = flat_longs(b.column("seq"))
+            n, bits = b.column("n").to_numpy(), parity_bits(flat, off)
+            for own, keys in ((n >= SHORT, minima), (n < SHORT / threshold, rare_pairs)):
+                at = np.flatnonzero(own)
+                if not len(at):
+                    continue
+                part = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat)).take(pa.array(at))
+                key, d = keys(*flat_longs(part), rank, threshold)
+                key = np.where(key == 0, 1, key)
+                d = at[d]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(b.column(c).to_numpy()[d]) for c in ("ck", "n", "side")), pa.array(bits[d, 0]), pa.array(bits[d, 1])], names=["key", "ck", "n", "side", "s1", "s2"])
 
     return texts.select("seq", "ck", "n", "side").mapInArrow(run, "key long, ck long, n int, side int, s1 long, s2 long")
 
 
+def _hits(a: np.ndarray, b: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the common seeds: the first of a seed in a with the first in b, the second with the second, and so on."""
+    if min(len(a), len(b)) < gram:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys = []
+    for x in (a, b):
+        h, _ = grams(x, np.array([0, len(x)]), gram)
+        order = np.argsort(h, kind="stable")
+        s = h[order]
+        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        turn = np.empty(len(h), np.uint64)
+        turn[order] = np.arange(len(s)) - np.repeat(start, np.diff(np.r_[start, len(s)]))
+        keys.append(mix(h ^ (turn << np.uint64(40)), 4))
+    _, i, j = np.intersect1d(*keys, assume_unique=True, return_indices=True)
+    order = np.argsort(i)
+    return i[order], j[order]
+
+
 def align(a: np.ndarray, b: np.ndarray, gram: int) -> tuple[int, int, int]:
     """Chain common seeds of two word sequences and extend them; (words of a covered, of b covered, longest run).
 
     Seeds are chained collinearly (increasing in both sequences, longest chain by patience sorting); the gaps
-    between chained seeds and the outer ends are extended word by word while they agree from either side.
+    between chained seeds and the outer ends are extended word by word while they agree from either side.  A seed that
+    repeats meets its repetitions in order, so there are no more seeds than words.
     """
-    where: dict[tuple, list[int]] = {}
-    for j in range(len(b) - gram + 1):
-        where.setdefault(tuple(b[j : j + gram]), []).append(j)
-    hits = [(i, j) for i in range(len(a) - gram + 1) for j in reversed(where.get(tuple(a[i : i + gram]), ()))]
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    at, to = (x.tolist() for x in _hits(a, b, gram))
     tails: list[int] = []
     last: list[int] = []
-    prev = [-1] * len(hits)
-    from bisect import bisect_left
-
-    for x, (_, j) in enumerate(hits):
+    prev = [-1] * len(at)
+    for x, j in enumerate(to):
         p = bisect_left(tails, j)
         if p == len(tails):
             tails.append(j)
@@ -128,7 +195,7 @@ def align(a: np.ndarray, b: np.ndarray, gram: int) -> tuple[int, int, int]:
         prev[x] = last[p - 1] if p else -1
     chain, x = [], last[-1] if last else -1
     while x >= 0:
-        chain.append(hits[x])
+        chain.append((at[x], to[x]))
         x = prev[x]
     chain.reverse()
     ca, cb = np.zeros(len(a), bool), np.zeros(len(b), bool)
@@ -146,24 +213,20 @@ def align(a: np.ndarray, b: np.ndarray, gram: int) -> tuple[int, int, int]:
 
 def text_overlaps(texts: DataFrame, threshold: float, min_words: int, gram: int = GRAM) -> DataFrame:
     """(a, b, common, coverage_a, coverage_b, longest_run) for classes of equal texts a (side 0) and b (side 1)."""
-    near = candidates(rare_words(texts.filter(F.col("n") >= min_words), threshold), "overlap-words", sided=True, ratio=threshold, parity=True)
+    near = candidates(fingerprints(texts.filter(F.col("n") >= min_words), threshold), "overlap-prints", sided=True, ratio=threshold, parity=True)
     near = save(near, "overlap-near")
     used = near.select(F.explode(F.array("a", "b")).alias("ck")).distinct()
     w = texts.select("ck", "seq").join(used, "ck", "left_semi").dropDuplicates(["ck"])
     both = near.join(w.select(F.col("ck").alias("a"), F.col("seq").alias("wa")), "a").join(w.select(F.col("ck").alias("b"), F.col("seq").alias("wb")), "b")
+    shared = F.size(F.array_intersect("wa", "wb")).cast("double")
+    both = both.withColumn("common", shared / (F.size(F.array_distinct("wa")) + F.size(F.array_distinct("wb")) - shared)).filter(F.col("common") >= threshold - 1e-12)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            rows = []
-            for a, b, wa, wb in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), t.column("wa").to_pylist(), t.column("wb").to_pylist()):
-                sa, sb = set(wa), set(wb)
-                common = len(sa & sb) / len(sa | sb)
-                if common >= threshold - 1e-12:
-                    ca, cb, run = align(wa, wb, gram)
-                    rows.append((a, b, common, ca / len(wa), cb / len(wb), run))
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "b", "common", "coverage_a", "coverage_b", "longest_run"])
+            (fa, oa), (fb, ob) = flat_longs(t.column("wa")), flat_longs(t.column("wb"))
+            got = np.array([align(fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]], gram) for i in range(t.num_rows)], np.int64).reshape(-1, 3)
+            cols = [t.column("a"), t.column("b"), t.column("common"), pa.array(got[:, 0] / np.diff(oa)), pa.array(got[:, 1] / np.diff(ob)), pa.array(got[:, 2].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "common", "coverage_a", "coverage_b", "longest_run"])
 
     return both.mapInArrow(extend, "a long, b long, common double, coverage_a double, coverage_b double, longest_run int")
 
@@ -208,6 +271,20 @@ def vector_overlaps(rows: DataFrame, width: int, least: float) -> DataFrame:
     return both.select("a", "b", (dot / (F.col("la") * F.col("lb"))).alias("cosine")).filter(F.col("cosine") >= least)
 
 
+def of_members(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b, ...) of classes as links of the members (id, side, ck): id_0 of side 0 in a, id_1 of side 1 in b.
+
+    A class of many members is cut in blocks of about CLASS_BLOCK; a link is repeated for every pair of blocks.
+    """
+    sizes = members.groupBy("side", "ck").agg(F.ceil(F.count(F.lit(1)) / CLASS_BLOCK).cast("int").alias("cut"))
+    placed = members.join(sizes, ["side", "ck"]).withColumn("block", F.pmod(F.xxhash64("id"), "cut").cast("int"))
+    for side, end in (("0", "a"), ("1", "b")):
+        cut = sizes.filter(f"side = {side}").select(F.col("ck").alias(end), F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("block"))
+        own = placed.filter(f"side = {side}").select(F.col("id").alias(f"id_{side}"), F.col("ck").alias(end), "block")
+        links = links.join(cut, end).join(own, [end, "block"]).drop("block", end)
+    return links
+
+
 def split_overlaps(
     records: DataFrame, embedded: DataFrame, sides: dict[str, int], *, threshold: float = 0.7, min_words: int = 8, least_cosine: float = 0.95, width: int = 64
 ) -> tuple[DataFrame, DataFrame]:
@@ -222,16 +299,14 @@ def split_overlaps(
     use = records.select(F.col("id").cast("string").alias("id"), "text", "role", "kind")
     texts = _tables(use, sides)
     member = texts.select("id", "side", "ck").distinct()
-    m0, m1 = member.filter("side = 0").select(F.col("id").alias("id_0"), F.col("ck").alias("a")), member.filter("side = 1").select(F.col("id").alias("id_1"), F.col("ck").alias("b"))
-    t = text_overlaps(texts, threshold, min_words).join(m0, "a").join(m1, "b").drop("a", "b").dropDuplicates(["id_0", "id_1"])
+    t = of_members(text_overlaps(texts, threshold, min_words), member).dropDuplicates(["id_0", "id_1"])
 
     side = F.create_map(*(x for k, v in sides.items() for x in (F.lit(k), F.lit(v))))[F.col("role")]
     sided = use.select("id", side.cast("int").alias("side")).filter("side is not null").distinct()
     vec = embedded.select(F.col("id").cast("string").alias("id"), "embedding").filter(valid_vector(F.col("embedding"), width))
     vec = save(vec.join(sided, "id").select("id", "side", F.xxhash64("embedding").alias("ck"), "embedding"), "overlap-embedded")
     vm = vec.select("id", "side", "ck").distinct()
-    v0, v1 = vm.filter("side = 0").select(F.col("id").alias("id_0"), F.col("ck").alias("a")), vm.filter("side = 1").select(F.col("id").alias("id_1"), F.col("ck").alias("b"))
-    v = vector_overlaps(vec, width, least_cosine).join(v0, "a").join(v1, "b").groupBy("id_0", "id_1").agg(F.max("cosine").alias("cosine"))
+    v = of_members(vector_overlaps(vec, width, least_cosine), vm).groupBy("id_0", "id_1").agg(F.max("cosine").alias("cosine"))
 
     pairs = t.join(v, ["id_0", "id_1"], "full").filter(F.col("id_0") != F.col("id_1"))
     pairs = pairs.select(F.least("id_0", "id_1").alias("id_a"), F.greatest("id_0", "id_1").alias("id_b"), "id_0", "id_1", "common", F.col("coverage_a").alias("coverage_0"), F.col("coverage_b").alias("coverage_1"), "longest_run", "cosine")

@@ -86,6 +86,47 @@ def test_hot_buckets_are_joined_by_spark(spark, monkeypatch):
     assert {tuple(r) for r in buckets.candidates(sided, "t", sided=True).collect()} == {(a, b) for a in range(2, 40, 2) for b in range(1, 40, 2)}
 
 
+@pytest.mark.parametrize("sided", [False, True])
+def test_runs_are_streamed_in_chunks(spark, monkeypatch, sided):
+    """Small chunks and hot runs give the same pairs as one chunk without hot runs."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(c), int(n), int(c) % 2, int(c), int(c) * 3) for k, c, n in zip(np.minimum(rng.zipf(1.3, 3000), 500), rng.integers(1, 400, 3000), rng.integers(8, 20, 3000))]
+    df = spark.createDataFrame([r for k, r in {(r[0], r[1]): r for r in rows}.items()], "key long, ck long, n int, side int, s1 long, s2 long")
+    how = {"sided": sided, "ratio": 0.7, "max_diff": 6}
+    cold = {tuple(r) for r in buckets.candidates(df, "t", **how).collect()}
+    want = set()
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.key, []).append(r)
+    for run in by.values():
+        for x, y in itertools.combinations(run, 2):
+            a, b = (x, y) if ((x.side, x.ck) < (y.side, y.ck) if sided else x.ck < y.ck) else (y, x)
+            if a.ck != b.ck and (not sided or a.side != b.side) and min(a.n, b.n) >= 0.7 * max(a.n, b.n) and (a.s1 ^ b.s1).bit_count() + (a.s2 ^ b.s2).bit_count() <= 6:
+                want.add((a.ck, b.ck))
+    monkeypatch.setattr(buckets, "HOT", 16)
+    monkeypatch.setattr(buckets, "CHUNK", 50)
+    assert cold == want and {tuple(r) for r in buckets.candidates(df, "t", **how).collect()} == want
+
+
+def test_hot_buckets_are_banded_more_finely(docs, monkeypatch):
+    rows, df = docs
+    w = {i: words_of(t) for i, t, *_ in rows if t}
+    want = {(a, b) for a, b in itertools.combinations(sorted(w), 2) if like(w[a], w[b])}
+    monkeypatch.setattr(buckets, "HOT", 2)
+    got = {tuple(r) for r in near_duplicates.pairs_of_members(*near_duplicates.near_duplicates(df)).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want)
+    assert buckets.recall(0.7, near_duplicates.FINE_BANDS, near_duplicates.FINE_ROWS) > 0.998
+
+
+def test_large_classes_are_joined_in_blocks(docs, monkeypatch):
+    _, df = docs
+    pairs = near_duplicates.near_duplicates(df)
+    whole = {tuple(r) for r in near_duplicates.pairs_of_members(*pairs).collect()}
+    monkeypatch.setattr(near_duplicates, "CLASS_BLOCK", 2)
+    rows = [tuple(r) for r in near_duplicates.pairs_of_members(*pairs).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == whole
+
+
 def test_band_recall_is_as_planned():
     assert buckets.recall(0.8, near_duplicates.BANDS, near_duplicates.ROWS) > 0.995
     rng, hit = np.random.default_rng(1), 0
@@ -425,23 +466,26 @@ def test_query_runs(name, spark, data):
 
 
 def edited(seed, least, most, n=150):
-    """Texts and copies with single words replaced that still reach the threshold."""
+    """Texts and copies with words replaced, inserted and deleted, and with one passage moved, that still reach the threshold."""
     rng, out = random.Random(seed), []
     while len(out) < 2 * n:
         w = rng.sample(WORDS, rng.randint(least, most))
         v = list(w)
         while True:
-            u = list(v)
-            u[rng.randrange(len(u))] = rng.choice(WORDS)
+            u, at, kind = list(v), rng.randrange(len(v)), rng.random()
+            u[at : at + (kind < 0.7)] = [rng.choice(WORDS)] * (kind < 0.4 or kind >= 0.7)
             if not like(set(w), set(u)):
                 break
             v = u
+        if rng.random() < 0.3:
+            a, b = sorted(rng.sample(range(len(v)), 2))
+            v = v[:a] + v[b:] + v[a:b]
         if v != w:
             out += [" ".join(w), " ".join(v)]
     return out
 
 
-@pytest.mark.parametrize("least, most", [(8, 20), (30, 60)])
+@pytest.mark.parametrize("least, most", [(8, 20), (20, 40), (40, 120)])
 def test_split_overlaps_lose_no_edited_text(spark, least, most):
     t = edited(least, least, most)
     rec = [(f"r{i:04d}", x, ("train", "test")[i % 2], "sampled") for i, x in enumerate(t)]
