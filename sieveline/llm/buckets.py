@@ -1,6 +1,7 @@
 """Candidate pairs from buckets of equal hashes, for texts and vectors alike.
 
-Rows (key, ck[, n][, side][, s1][, s2]) are hash partitioned and sorted by key; each task streams its rows and compares
+Rows (key, s1, s2, n[, side]) name a record by its sketch of 128 bits and its size, so that what is compared is all
+that is shuffled; callers join the sketches to their records afterwards.  Rows are hash partitioned and sorted by key; each task streams its rows and compares
 within runs of one key, so it holds one chunk at a time.  A run longer than ``HOT`` is handed on, with all it needs for
 comparing: its members are hashed again more finely, or compared in pairs of blocks, each a task of its own.  No
 bucket is bound to one task and none is dropped.
@@ -20,8 +21,14 @@ from .common import mix
 
 #: Members of a run that one task compares at most; rows that it takes at a time.
 HOT, CHUNK = 4096, 1 << 18
-#: A pair has key 0; a member of a hot run is in a, its side in b.
-PAIRS = "a long, b long, key long, n int, s1 long, s2 long"
+#: Sets of more members are sketched by the lowest bits of minima instead of by parities.
+LONG = 128
+#: Of the 128 bits of two such sketches at Jaccard similarity 0.7 19.2 differ on average, with a deviation of 4.0.
+LONG_SLACK = 35
+#: The two ends of a pair.
+ENDS = ("a1", "a2", "an", "b1", "b2", "bn")
+#: A pair has key 0; a member of a hot run is in a, its side in b1.
+PAIRS = "key long, a1 long, a2 long, an int, b1 long, b2 long, bn int"
 
 
 def minhash(flat: np.ndarray, off: np.ndarray, count: int, seed: int, chunk: int = 1 << 16) -> np.ndarray:
@@ -50,49 +57,25 @@ def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def one_bit_sketch(minima: np.ndarray) -> np.ndarray:
-    """(sets, words) int64 words of the lowest bits of the minima; of two sets (1 + Jaccard) / 2 of the bits agree."""
-    bits = (minima & 1).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+def sketches(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, 2) int64 sketch of every set of ``flat`` and the sizes; repeated members count once.
 
-
-def _distinct(flat: np.ndarray, off: np.ndarray, rank: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """The different members of every set, by (rank, value), and their sets."""
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    order = np.lexsort((flat, doc) if rank is None else (flat, rank[(flat.view(np.uint64) % np.uint64(len(rank))).astype(np.int64)], doc))
-    flat, doc = flat[order], doc[order]
-    fresh = np.ones(len(flat), bool)
-    fresh[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
-    return flat[fresh], doc[fresh]
-
-
-def rare_pairs(flat: np.ndarray, off: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the pairs of the n - ceil(threshold n) + 2 rarest members of every set of n, and their sets.
-
-    All sets are in one order, so two sets of at least the threshold in common share two members of both prefixes.
-    """
-    flat, doc = _distinct(flat, off, rank)
-    n = np.bincount(doc, minlength=len(off) - 1)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    keep = place < (n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 2)[doc]
-    flat, doc = flat[keep], doc[keep]
-    starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    keys, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if len(starts):
-        for x, y in run_pairs(starts, np.r_[starts[1:], len(doc)], None):
-            keys.append(mix(mix(flat[x], 5) ^ flat[y].view(np.uint64), 6).view(np.int64))
-            docs.append(doc[x])
-    return np.concatenate(keys), np.concatenate(docs)
-
-
-def parity_bits(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(sets, 2) int64: per one of 128 hash values whether an odd number of members has it.
-
-    Two sets differ in at least as many members as these bits differ.
+    Up to LONG members: per one of 128 hash values whether an odd number of members has it; two sets differ in at
+    least as many members as these bits differ.  Above: the lowest bits of 128 minima, of which (1 + Jaccard) / 2 agree.
     """
-    flat, doc = _distinct(flat, off, None)
-    odd = np.bincount(doc * 128 + (mix(flat, 3) >> np.uint64(57)).astype(np.int64), minlength=(len(off) - 1) * 128) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1, bitorder="little").view(np.int64)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((flat, doc))
+    f, d = flat[order], doc[order]
+    fresh = np.ones(len(f), bool)
+    fresh[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
+    f, d = f[fresh], d[fresh]
+    n = np.bincount(d, minlength=len(off) - 1)
+    bits = (np.bincount(d * 128 + (mix(f, 3) >> np.uint64(57)).astype(np.int64), minlength=(len(off) - 1) * 128) & 1).astype(np.uint8).reshape(-1, 128)
+    long = np.flatnonzero(n > LONG)
+    if len(long):
+        own = np.isin(d, long)
+        bits[long] = minhash(f[own], np.r_[0, np.cumsum(n[long])], 128, 1000) & 1
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64), n
 
 
 def recall(similarity: float, bands: int, rows: int) -> float:
@@ -121,91 +104,101 @@ def run_pairs(starts: np.ndarray, ends: np.ndarray, first: np.ndarray | None, mo
         lo = hi
 
 
-class Closeness:
-    """The filter of pairs by size and sketch."""
+#: A filter of pairs: columns and positions x, y to the positions that may be near.
+Filter = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
+
+
+def differing(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the 128 bits differ."""
+    return np.bitwise_count((cols["s1"][x] ^ cols["s1"][y]).view(np.uint64)) + np.bitwise_count((cols["s2"][x] ^ cols["s2"][y]).view(np.uint64))
+
+
+class AlikeSets:
+    """Sets that may reach a Jaccard similarity, by size and sketch; parities lose no pair, minima 1 in 10,000."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def __call__(self, cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        t, n = self.threshold, cols["n"]
+        nx, ny = n[x].astype(np.float32), n[y].astype(np.float32)
+        most = (1 - t) / (1 + t) * (nx + ny) + 1e-3
+        big = (nx > LONG).astype(np.int8) + (ny > LONG)
+        most[big == 1], most[big == 2] = 128, LONG_SLACK
+        return (differing(cols, x, y) <= most) & (np.minimum(nx, ny) >= t * np.maximum(nx, ny) - 1e-3)
+
+
+class AlikeSigns:
+    """Vectors of which at most ``most`` of 128 hyperplane signs differ."""
 
-    def __init__(self, ratio: float | None, max_diff: int | None, parity: bool):
-        self.ratio, self.max_diff, self.parity = ratio, max_diff, parity
+    def __init__(self, most: int):
+        self.most = most
 
-    def __call__(self, cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.max_diff is not None or self.parity:
-            diff = np.zeros(len(x), np.uint8)
-            for s in ("s1", "s2"):
-                if s in cols:
-                    diff += np.bitwise_count((cols[s][x] ^ cols[s][y]).view(np.uint64))
-            most = (1 - self.ratio) / (1 + self.ratio) * (cols["n"][x] + cols["n"][y]) + 1e-6 if self.parity else self.max_diff
-            ok = diff <= most
-            x, y = x[ok], y[ok]
-        if self.ratio is not None:
-            nx, ny = cols["n"][x].astype(np.float64), cols["n"][y].astype(np.float64)
-            ok = np.minimum(nx, ny) >= self.ratio * np.maximum(nx, ny) - 1e-9
-            x, y = x[ok], y[ok]
-        return x, y
+    def __call__(self, cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return differing(cols, x, y) <= self.most
 
 
-def _unique(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    pairs = np.stack([np.concatenate(a), np.concatenate(b)], 1) if a else np.zeros((0, 2), np.int64)
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
+def _pairs(cols: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Different (a1, a2, an, b1, b2, bn) of the positions."""
+    ends = np.stack([cols[c][i].astype(np.int64) for i in (x, y) for c in ("s1", "s2", "n")], 1)
+    return np.unique(ends, axis=0) if len(ends) else ends
 
 
-def _row(a: np.ndarray, b: np.ndarray, key: np.ndarray, cols: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
-    get = lambda c: (cols or {}).get(c, np.zeros(len(a), np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64()), pa.array(get("n").astype(np.int32)), pa.array(get("s1")), pa.array(get("s2"))], names=["a", "b", "key", "n", "s1", "s2"])
+def _batch(ends: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32()] * 2
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ends), np.int64) if key is None else key), *(pa.array(ends[:, i].astype(k.to_pandas_dtype()), k) for i, k in enumerate(kinds))], names=["key", *ENDS])
 
 
-def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float | None = None, max_diff: int | None = None, parity: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Different pairs (a, b) of ``ck`` that share a key; written to the shared folder.
+def _members(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+    zero = np.zeros(len(cols["key"]), np.int64)
+    return _batch(np.stack([cols["s1"], cols["s2"], cols["n"].astype(np.int64), cols["side"].astype(np.int64), zero, zero], 1), cols["key"])
 
-    sided: only pairs of side 0 (a) with side 1 (b); else a < b.  ratio: least quotient of the smaller and the
-    larger n.  max_diff: most differing sketch bits.  parity: the sketches are parity bits of sets of n members, which
-    differ in at most as many bits as the sets may differ in members at the Jaccard similarity ``ratio``; no pair is
-    lost by it.  Copies of (key, ck) count once.  Keys are not 0 (callers move it).  refine: of the members (ck) of hot
-    runs, rows with finer keys, whose runs are compared instead; without it a hot run is compared in pairs of blocks.
+
+def candidates(rows: DataFrame, name: str, near: Filter, *, sided: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Different pairs (a1, a2, an, b1, b2, bn) of sketches and sizes that share a key and pass ``near``; written to the shared folder.
+
+    sided: only pairs of side 0 (a) with side 1 (b); else different sketches or sizes, a < b.  Repeated rows
+    count once.  Keys are not 0 (callers move it).  refine: of the members (s1, s2, n) of hot runs, rows with finer
+    keys, whose runs are compared instead; without it a hot run is compared in pairs of blocks.
     """
-    use = rows.select("key", "ck", *(c for c in ("n", "side", "s1", "s2") if c in rows.columns))
-    close = Closeness(ratio, max_diff, parity)
+    use = rows.select("key", "s1", "s2", "n", F.col("side").cast("byte").alias("side") if sided else F.lit(0).cast("byte").alias("side"))
+
+    def tidy(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        order = np.lexsort((cols["n"], cols["s2"], cols["s1"], cols["side"], cols["key"]))
+        cols = {c: v[order] for c, v in cols.items()}
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in cols.values()], axis=0)
+        return {c: v[fresh] for c, v in cols.items()}
 
     def compare(cols: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Pairs of the whole runs in ``cols``; the members of hot ones."""
-        by = [cols["ck"], cols["side"], cols["key"]] if sided else [cols["ck"], cols["key"]]
-        cols = {c: v[order] for order in [np.lexsort(by)] for c, v in cols.items()}
-        fresh = np.r_[True, np.any([c[1:] != c[:-1] for c in (cols["key"], cols["ck"], *([cols["side"]] if sided else []))], axis=0)]
-        cols = {c: v[fresh] for c, v in cols.items()}
-        key, ck = cols["key"], cols["ck"]
+        cols = tidy(cols)
+        key = cols["key"]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         ends = np.r_[starts[1:], len(key)]
-        first = starts + np.add.reduceat((cols["side"] == 0).astype(np.int64), starts) if sided else None
         hot = ends - starts > HOT
         for lo, hi in zip(starts[hot].tolist(), ends[hot].tolist()):
-            part = {c: v[lo:hi] for c, v in cols.items()}
-            yield _row(part["ck"], part["side"].astype(np.int64) if sided else np.zeros(hi - lo, np.int64), part["key"], part)
-        keep = ~hot & (ends - starts > 1)
-        if sided:  # runs with both sides only
-            keep &= (first > starts) & (first < ends)
-            first = first[keep]
-        if not sided:  # positions of the other runs give no pairs
-            take = np.repeat(keep, ends - starts)
-            cols = {c: v[take] for c, v in cols.items()}
-            ck, length = cols["ck"], (ends - starts)[keep]
-            ends = np.cumsum(length)
-            starts = ends - length
-        else:
-            starts, ends = starts[keep], ends[keep]
-        if not len(starts):
+            yield _members({c: v[lo:hi] for c, v in cols.items()})
+        first = starts + np.add.reduceat((cols["side"] == 0).astype(np.int64), starts)
+        keep = ~hot & ((first > starts) & (first < ends) if sided else ends - starts > 1)
+        take, length = np.repeat(keep, ends - starts), (ends - starts)[keep]
+        if not len(length):
             return
-        out_a, out_b, size = [], [], 0
-        for x, y in run_pairs(starts, ends, first):
-            x, y = close(cols, x, y)
-            out_a.append(ck[x])
-            out_b.append(ck[y])
-            size += len(x)
-            if size > 1 << 20:
-                p = _unique(out_a, out_b)
-                yield _row(p[:, 0], p[:, 1], np.zeros(len(p), np.int64))
-                out_a, out_b, size = [], [], 0
-        p = _unique(out_a, out_b)
-        if len(p):
-            yield _row(p[:, 0], p[:, 1], np.zeros(len(p), np.int64))
+        cols = {c: v[take] for c, v in cols.items()}
+        first = (first - starts)[keep]
+        ends = np.cumsum(length)
+        starts = ends - length
+        out, size = [], 0
+        for x, y in run_pairs(starts, ends, starts + first if sided else None):
+            ok = near(cols, x, y)
+            if ok.any():
+                out.append(_pairs(cols, x[ok], y[ok]))
+                size += len(out[-1])
+            if size > 1 << 19:
+                yield _batch(np.unique(np.concatenate(out), axis=0))
+                out, size = [], 0
+        if out:
+            yield _batch(np.unique(np.concatenate(out), axis=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -218,22 +211,19 @@ def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float
             if hot:  # the run goes on
                 n = int(np.searchsorted(cols["key"], hot, side="right"))
                 if n:
-                    part = {c: v[:n] for c, v in cols.items()}
-                    yield _row(part["ck"], part["side"].astype(np.int64) if sided else np.zeros(n, np.int64), part["key"], part)
+                    yield _members({c: v[:n] for c, v in cols.items()})
                     cols = {c: v[n:] for c, v in cols.items()}
                 if not len(cols["key"]):
                     return
                 hot = 0
             cut = len(cols["key"]) if last else int(np.searchsorted(cols["key"], cols["key"][-1]))
-            tail = {c: v[cut:] for c, v in cols.items()}
-            if len(tail["key"]):
-                _, at = np.unique(tail["ck"] if not sided else np.stack([tail["ck"], tail["side"].astype(np.int64)], 1), axis=0, return_index=True)
-                tail = {c: v[at] for c, v in tail.items()}
-                if len(at) > HOT:
+            if cut < len(cols["key"]):
+                tail = tidy({c: v[cut:] for c, v in cols.items()})
+                if len(tail["key"]) > HOT:
                     hot = int(tail["key"][0])
-                    yield _row(tail["ck"], tail["side"].astype(np.int64) if sided else np.zeros(len(at), np.int64), tail["key"], tail)
+                    yield _members(tail)
                 else:
-                    held, size = [tail], len(at)
+                    held, size = [tail], len(tail["key"])
             if cut:
                 yield from compare({c: v[:cut] for c, v in cols.items()})
 
@@ -247,42 +237,64 @@ def candidates(rows: DataFrame, name: str, *, sided: bool = False, ratio: float
             yield from flush(True)
 
     raw = save(use.repartition("key").sortWithinPartitions("key").mapInArrow(run, PAIRS), name)
-    pairs = raw.filter(F.col("key") == 0).select("a", "b")
-    hot = raw.filter(F.col("key") != 0)
+    pairs = raw.filter(F.col("key") == 0).select(*ENDS)
+    hot = raw.filter(F.col("key") != 0).select("key", F.col("a1").alias("s1"), F.col("a2").alias("s2"), F.col("an").alias("n"), F.col("b1").cast("byte").alias("side"))
     if hot.isEmpty():
         return pairs.distinct()
     if refine is not None:
-        more = candidates(refine(hot.select(F.col("a").alias("ck")).distinct()), f"{name}-finer", sided=sided, ratio=ratio, max_diff=max_diff, parity=parity)
+        more = candidates(refine(hot.select("s1", "s2", "n").distinct()), f"{name}-finer", near, sided=sided)
     else:
-        more = _in_blocks(hot, close, sided, [c for c in ("n", "s1", "s2") if c in rows.columns])
+        more = _in_blocks(hot, near, sided)
     return pairs.unionByName(more).distinct()
 
 
-def _in_blocks(hot: DataFrame, close: Closeness, sided: bool, attrs: list[str]) -> DataFrame:
-    """Pairs (a, b) of hot runs: every run is cut in blocks of about HOT members and each pair of blocks is one group."""
-    sizes = hot.groupBy("key").agg(F.count_if(F.col("b") == 0).alias("n0"), F.count_if(F.col("b") == 1).alias("n1"))
-    blocks = sizes.select("key", F.greatest(F.lit(1), F.ceil(F.col("n0") / HOT)).cast("int").alias("b0"), F.greatest(F.lit(1), F.ceil(F.col("n1") / HOT)).cast("int").alias("b1"))
-    each = hot.join(blocks, "key").select("key", F.col("a").alias("ck"), F.col("b").alias("side"), *attrs, F.pmod(F.xxhash64("a"), F.when(F.col("b") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int").alias("own"), "b0", "b1")
+def _in_blocks(hot: DataFrame, near: Filter, sided: bool) -> DataFrame:
+    """Pairs of hot runs: every run is cut in blocks of about HOT members and each pair of blocks is one group."""
+    sizes = hot.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    blocks = sizes.select("key", F.greatest(F.lit(1), F.ceil(F.col("n0") / HOT)).cast("int").alias("c0"), F.greatest(F.lit(1), F.ceil(F.col("n1") / HOT)).cast("int").alias("c1"))
+    own = F.pmod(F.xxhash64("s1", "s2", "n"), F.when(F.col("side") == 0, F.col("c0")).otherwise(F.col("c1"))).cast("int")
+    each = hot.distinct().join(blocks, "key").withColumn("own", own)
     if sided:
-        other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b0")) - 1))
+        other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("c1")).otherwise(F.col("c0")) - 1))
         placed = each.withColumn("other", other).withColumn("i", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")))
     else:
-        placed = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b0") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+        placed = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c0") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
     def compare(t: pa.Table) -> pa.Table:
-        cols = {c: t.column(c).to_numpy() for c in ("ck", "side", "own", *attrs)}
-        second = cols["side"] if sided else (cols["own"] != t.column("i")[0].as_py()).astype(np.int64)
-        order = np.lexsort((cols["ck"], second))
-        cols = {c: v[order] for c, v in cols.items()}
-        n, cut = len(order), int((second == 0).sum())
-        same = not sided and t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        out_a, out_b = [], []
-        for x, y in run_pairs(np.array([0]), np.array([n]), None if same else np.array([cut])):
-            x, y = close(cols, x, y)
-            out_a.append(cols["ck"][x] if sided else np.minimum(cols["ck"][x], cols["ck"][y]))
-            out_b.append(cols["ck"][y] if sided else np.maximum(cols["ck"][x], cols["ck"][y]))
-        p = _unique(out_a, out_b)
-        p = p if sided else p[p[:, 0] != p[:, 1]]
-        return pa.table({"a": pa.array(p[:, 0], pa.int64()), "b": pa.array(p[:, 1], pa.int64())})
-
-    return placed.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        cols = {c: t.column(c).to_numpy() for c in ("s1", "s2", "n", "side", "own")}
+        second = cols["side"] if sided else (cols["own"] != i).astype(np.int64)
+        order = np.lexsort((cols["n"], cols["s2"], cols["s1"], second))
+        cols, cut = {c: v[order] for c, v in cols.items()}, int((second == 0).sum())
+        out = []
+        for x, y in run_pairs(np.array([0]), np.array([len(order)]), np.array([cut]) if sided or i != j else None):
+            ok = near(cols, x, y)
+            if ok.any():
+                x, y = x[ok], y[ok]
+                if not sided:
+                    turn = np.array([a > b for a, b in zip(zip(*(cols[c][x].tolist() for c in ("s1", "s2", "n"))), zip(*(cols[c][y].tolist() for c in ("s1", "s2", "n"))))])
+                    x, y = np.where(turn, y, x), np.where(turn, x, y)
+                out.append(_pairs(cols, x, y))
+        b = _batch(np.concatenate(out) if out else np.zeros((0, 6), np.int64))
+        return pa.Table.from_batches([b]).drop_columns(["key"])
+
+    return placed.groupBy("key", "i", "j").applyInArrow(compare, PAIRS.removeprefix("key long, "))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """Different (s1, s2, n) of the pairs."""
+    return pairs.select(F.explode(F.array(*(F.struct(F.col(f"{e}1").alias("s1"), F.col(f"{e}2").alias("s2"), F.col(f"{e}n").alias("n")) for e in "ab"))).alias("e")).select("e.*").distinct()
+
+
+def named(records: DataFrame, end: str) -> DataFrame:
+    """Records with s1, s2, n as those of one end of a pair."""
+    return records.withColumnsRenamed({"s1": f"{end}1", "s2": f"{end}2", "n": f"{end}n"})
+
+
+#: Sketches up to which a list of them is broadcast (about 40 MB); beyond it the join shuffles.
+BROADCAST_SKETCHES = 1 << 19
+
+
+def records_of(records: DataFrame, used: DataFrame) -> DataFrame:
+    """The records whose sketch and size are in ``used`` (s1, s2, n)."""
+    return records.join(F.broadcast(used) if used.limit(BROADCAST_SKETCHES + 1).count() <= BROADCAST_SKETCHES else used, ["s1", "s2", "n"], "left_semi")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import save
-from .buckets import band_keys, candidates, minhash, one_bit_sketch
+from .buckets import ENDS, AlikeSets, band_keys, candidates, ends, minhash, named, records_of, sketches
 from .common import flat_longs, word_set
 from .components import components
 
@@ -20,48 +20,52 @@ ROWS, BANDS = 5, 30
 FINE_ROWS, FINE_BANDS = 8, 116
 #: Members of a class that one task joins at most.
 CLASS_BLOCK = 4096
-SKETCH_BITS = 64
-#: Bits of two sketches that may differ: at similarity 0.7 the mean is 9.6 and the deviation 2.9, so 2 pairs in 10,000 differ more.
-SKETCH_SLACK = 20
-#: Classes up to which a list of them is broadcast (8 MB); beyond it the join shuffles.
-BROADCAST_CLASSES = 1 << 20
+
+
+def sketched(rows: DataFrame, members: str, keep: str) -> DataFrame:
+    """Rows (``keep``, as names and types) with s1, s2 and n, the sketch and size of the set in the array<bigint> ``members``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s, n = sketches(*flat_longs(b.column(members)))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(n.astype(np.int32))], names=[*names, "s1", "s2", "n"])
+
+    names = [c.split()[0] for c in keep.split(", ")]
+    return rows.select(*dict.fromkeys([*names, members])).mapInArrow(run, f"{keep}, s1 long, s2 long, n int")
 
 
 def word_sets(docs: DataFrame, min_words: int, name: str = "word-sets") -> DataFrame:
-    """(id, ck, n, words) of the texts with ``min_words`` different words, written to the shared folder.
+    """(id, ck, words, s1, s2, n) of the texts with ``min_words`` different words, written to the shared folder.
 
     ck is a 64-bit hash of the sorted word set: texts of the same set are one class.  Null texts and texts of
     fewer words have no row.  A row delivered twice is there twice; readers take distinct (id, ck).
     """
     sets = docs.select(F.col("id").cast("string").alias("id"), word_set(F.col("text")).alias("words")).filter((F.size("words") >= min_words) & F.col("id").isNotNull())
-    return save(sets.select("id", F.xxhash64("words").alias("ck"), F.size("words").alias("n"), F.transform("words", lambda w: (w % 2147483647).cast("int")).alias("words")), name)
+    return save(sketched(sets.select("id", F.xxhash64("words").alias("ck"), "words"), "words", "id string, ck long, words array<long>"), name)
 
 
 def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, ck, s1) for every band of every class, s1 the one-bit sketch of its minima; a task sends a class once."""
+    """(key, s1, s2, n) for every band of every set; a task sends a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            ck = b.column("ck").to_numpy()
-            new = np.zeros(len(ck), bool)
-            for i, c in enumerate(ck.tolist()):
+            new = np.zeros(b.num_rows, bool)
+            for i, c in enumerate(b.column("ck").to_pylist()):
                 if c not in seen:
                     seen.add(c)
                     new[i] = True
             if new.any():
                 b = b.filter(pa.array(new))
-                flat, off = flat_longs(b.column("words"))
-                minima = minhash(flat, off, bands * rows, 0)
-                keys = band_keys(minima, bands, rows)
+                keys = band_keys(minhash(*flat_longs(b.column("words")), bands * rows, 0), bands, rows)
                 keys[keys == 0] = 1
-                sketch = one_bit_sketch(minima[:, :SKETCH_BITS])[:, 0]
                 for j in range(0, bands, 10):
                     part = keys[:, j : j + 10]
                     wide = part.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.repeat(b.column("ck").to_numpy(), wide)), pa.array(np.repeat(sketch, wide))], names=["key", "ck", "s1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), *(pa.array(np.repeat(b.column(c).to_numpy(), wide)) for c in ("s1", "s2", "n"))], names=["key", "s1", "s2", "n"])
 
-    return sets.select("ck", "words").mapInArrow(run, "key long, ck long, s1 long")
+    return sets.select("ck", "words", "s1", "s2", "n").mapInArrow(run, "key long, s1 long, s2 long, n int")
 
 
 def class_links(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, name: str = "links") -> DataFrame:
@@ -71,21 +75,22 @@ def class_links(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int
     """
 
     def finer(hot: DataFrame) -> DataFrame:
-        return band_rows(sets.join(hot, "ck", "left_semi"), FINE_BANDS, FINE_ROWS)
+        return band_rows(records_of(sets, hot), FINE_BANDS, FINE_ROWS)
 
-    near = save(candidates(band_rows(sets, bands, rows), f"{name}-candidates", max_diff=SKETCH_SLACK, refine=finer), f"{name}-near")
+    near = save(candidates(band_rows(sets, bands, rows), f"{name}-candidates", AlikeSets(threshold), refine=finer), f"{name}-near")
     return save(verify(near, sets, threshold), name)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose full word sets reach the threshold, with their Jaccard similarity."""
-    used = pairs.select(F.explode(F.array("a", "b")).alias("ck")).distinct()
-    if used.count() <= BROADCAST_CLASSES:
-        used = F.broadcast(used)
-    w = sets.select("ck", "words").join(used, "ck", "left_semi").dropDuplicates(["ck"])
-    both = pairs.join(w.select(F.col("ck").alias("a"), F.col("words").alias("wa")), "a").join(w.select(F.col("ck").alias("b"), F.col("words").alias("wb")), "b")
+    """The classes of the pairs of sketches, and the different classes of one sketch, whose full word sets reach the threshold."""
+    shared = sets.groupBy("s1", "s2", "n").agg(F.min("ck").alias("least"), F.max("ck").alias("most")).filter("least < most").select("s1", "s2", "n")
+    alone = shared.select(*(F.col(c).alias(f"{e}{k}") for e in "ab" for c, k in (("s1", "1"), ("s2", "2"), ("n", "n"))))
+    every = save(pairs.select(*ENDS).unionByName(alone), "links-sketches")
+    w = save(records_of(sets, ends(every)).select("s1", "s2", "n", "ck", "words").dropDuplicates(["ck"]), "links-words")
+    side = lambda e: named(w.withColumnsRenamed({"ck": e, "words": f"w{e}"}), e)
+    both = every.join(side("a"), ["a1", "a2", "an"]).join(side("b"), ["b1", "b2", "bn"]).filter((F.col("a") < F.col("b")) | (F.struct("a1", "a2", "an") != F.struct("b1", "b2", "bn")) & (F.col("a") != F.col("b")))
     common = F.size(F.array_intersect("wa", "wb")).cast("double")
-    both = both.select("a", "b", (common / (F.size("wa") + F.size("wb") - common)).alias("similarity"))
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (common / (F.size("wa") + F.size("wb") - common)).alias("similarity"))
     return both.filter(F.col("similarity") >= threshold - 1e-12)
 
 

@@ -1,4 +1,4 @@
-"""Same or near-same records across splits: rolling-hash minima joined across splits for texts, hyperplane bands for vectors."""
+"""Same or near-same records across splits: winnowed fingerprints and banded minima for texts, hyperplane bands for vectors."""
 
 from __future__ import annotations
 
@@ -11,23 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import save
-from .buckets import candidates, parity_bits, rare_pairs
+from .buckets import AlikeSets, AlikeSigns, band_keys, candidates, ends, minhash, named, records_of
 from .common import flat_longs, mix, valid_vector, vectors, word_hashes
+from .near_duplicates import BANDS, FINE_BANDS, FINE_ROWS, ROWS, sketched
 
-#: Words of a seed of the alignment, and of a fingerprint.
-GRAM, PRINT = 3, 2
-#: Fingerprints of a text beyond those that edits within the threshold can destroy: one moved passage destroys three.
-SPARE = 3
-#: A pair of which one text has fewer different words is found by pairs of rare words, in any word order.
-SHORT = 24
-#: Counters of the frequencies of words and fingerprints; the table is of this size (1 MB) at every scale.
-COUNTERS, SLICES = 1 << 20, 64
+#: Words of a seed of the alignment; words of a fingerprint and fingerprints of a window: a shared run of PRINT + WINDOW - 1 words is never missed.
+GRAM, PRINT, WINDOW = 3, 8, 8
 #: Hyperplane bands: at cosine 0.95 a pair meets with probability 0.98, at 0.97 with 0.998.
-BITS, VECTOR_BANDS, VECTOR_SKETCH = 16, 20, 64
+BITS, VECTOR_BANDS, SIGNS = 16, 20, 128
 #: Members of a class that one task joins at most.
 CLASS_BLOCK = 4096
-#: Of 64 signs at cosine 0.95 6.5 differ on average, with a deviation of 2.4.
-VECTOR_SLACK = 16
+#: Of 128 signs at cosine 0.95 12.9 differ on average, with a deviation of 3.4.
+SIGN_SLACK = 27
 
 
 def grams(flat: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,63 +66,21 @@ def winnow(h: np.ndarray, inside: np.ndarray, doc: np.ndarray, rank: np.ndarray
 
 
 def _tables(records: DataFrame, sides: dict[str, int]) -> DataFrame:
-    """(id, role, kind, side, ck, n, seq) of the records of both sides, written to the shared folder."""
+    """(id, side, ck, seq, s1, s2, n) of the records of both sides, written to the shared folder."""
     side = F.create_map(*(x for k, v in sides.items() for x in (F.lit(k), F.lit(v))))[F.col("role")]
-    rows = records.select("id", "role", "kind", side.cast("int").alias("side"), word_hashes(F.col("text")).alias("seq")).filter(F.col("side").isNotNull() & (F.size("seq") > 0) & F.col("id").isNotNull())
-    return save(rows.select("id", "role", "kind", "side", F.xxhash64("seq").alias("ck"), F.size(F.array_distinct("seq")).alias("n"), "seq"), "overlap-texts")
+    rows = records.select("id", side.cast("int").alias("side"), word_hashes(F.col("text")).alias("seq")).filter(F.col("side").isNotNull() & (F.size("seq") > 0) & F.col("id").isNotNull())
+    return save(sketched(rows.withColumn("ck", F.xxhash64("seq")), "seq", "id string, side int, ck long, seq array<long>"), "overlap-texts")
 
 
-def frequencies(texts: DataFrame) -> np.ndarray:
-    """Per hash counter the binary magnitude (in eighths) of how often its words and fingerprints occur over all texts."""
+PRINTS = "key long, s1 long, s2 long, n int, side int"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            if b.num_rows:
-                flat, off = flat_longs(b.column("seq"))
-                h, inside = grams(flat, off, PRINT)
-                for x in (flat.view(np.uint64), h[inside]):
-                    total += np.bincount((x % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.astype("<i4").tobytes() for x in np.split(np.minimum(total, 2**31 - 1), SLICES)], pa.binary())], names=["slice", "n"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(COUNTERS // SLICES, np.int64)
-        for x in t.column("n"):
-            total += np.frombuffer(x.as_py(), "<i4")
-        rank = np.minimum(np.log2(np.maximum(total, 1)) * 8, 255).astype(np.uint8)
-        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "rank": pa.array([rank.tobytes()], pa.binary())})
-
-    ranks = texts.select("seq").mapInArrow(count, "slice int, n binary").groupBy("slice").applyInArrow(add, "slice int, rank binary").toArrow()
-    out = np.zeros((SLICES, COUNTERS // SLICES), np.uint8)
-    for k, r in zip(ranks.column("slice").to_pylist(), ranks.column("rank").to_pylist()):
-        out[k] = np.frombuffer(r, np.uint8)
-    return out.ravel()
-
-
-def minima(flat: np.ndarray, off: np.ndarray, rank: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The selected rolling hashes of every text and the texts: its least ones by (frequency, hash).
-
-    A winnowing whose window is the whole text.  Of m words, the edits that leave two texts at the similarity destroy
-    at most PRINT * (1 - threshold) * m fingerprints (words deleted, inserted or replaced); so many and SPARE more are
-    selected, so that the least fingerprint which both texts have is selected in both.
+
+def fingerprints(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, winnowed: bool = True) -> DataFrame:
+    """(key, s1, s2, n, side): the winnowed rolling hashes of every text and its bands of minima; a task sends a class once.
+
+    Winnowing alone meets for certain only at a long shared run.  Texts that are alike without one (edits all over,
+    moved sentences, few words) share a band of the minima over their words.
     """
-    h, inside = grams(flat, off, PRINT)
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(h)][inside]
-    h = h[inside]
-    order = np.lexsort((h, rank[(h % np.uint64(len(rank))).astype(np.int64)], doc))
-    h, doc = h[order], doc[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[fresh], doc[fresh]
-    n = np.bincount(doc, minlength=len(off) - 1)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    keep = place < np.floor(PRINT * (1 - threshold) * np.diff(off) + 1e-9)[doc] + SPARE
-    return h[keep].view(np.int64), doc[keep]
-
-
-def fingerprints(texts: DataFrame, threshold: float) -> DataFrame:
-    """(key, ck, n, side, s1, s2): the selected fingerprints of every text; pairs of rare words of the short ones."""
-    rank = frequencies(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -141,18 +94,18 @@ def fingerprints(texts: DataFrame, threshold: float) -> DataFrame:
             if not b.num_rows:
                 continue
             flat, off = flat_longs(b.column("seq"))
-            n, bits = b.column("n").to_numpy(), parity_bits(flat, off)
-            for own, keys in ((n >= SHORT, minima), (n < SHORT / threshold, rare_pairs)):
-                at = np.flatnonzero(own)
-                if not len(at):
-                    continue
-                part = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat)).take(pa.array(at))
-                key, d = keys(*flat_longs(part), rank, threshold)
+            least = minhash(flat, off, bands * rows, 0)
+            found = [(band_keys(least, bands, rows).ravel(), np.repeat(np.arange(len(least)), bands))]
+            if winnowed:
+                h, inside = grams(flat, off, PRINT)
+                doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(h)]
+                at = winnow(h, inside, doc, None, WINDOW)
+                found.append((h[at].view(np.int64), doc[at]))
+            for key, d in found:
                 key = np.where(key == 0, 1, key)
-                d = at[d]
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(b.column(c).to_numpy()[d]) for c in ("ck", "n", "side")), pa.array(bits[d, 0]), pa.array(bits[d, 1])], names=["key", "ck", "n", "side", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(b.column(c).to_numpy()[d]) for c in ("s1", "s2", "n", "side"))], names=["key", "s1", "s2", "n", "side"])
 
-    return texts.select("seq", "ck", "n", "side").mapInArrow(run, "key long, ck long, n int, side int, s1 long, s2 long")
+    return texts.select("seq", "ck", "s1", "s2", "n", "side").mapInArrow(run, PRINTS)
 
 
 def _hits(a: np.ndarray, b: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,11 +166,15 @@ def align(a: np.ndarray, b: np.ndarray, gram: int) -> tuple[int, int, int]:
 
 def text_overlaps(texts: DataFrame, threshold: float, min_words: int, gram: int = GRAM) -> DataFrame:
     """(a, b, common, coverage_a, coverage_b, longest_run) for classes of equal texts a (side 0) and b (side 1)."""
-    near = candidates(fingerprints(texts.filter(F.col("n") >= min_words), threshold), "overlap-prints", sided=True, ratio=threshold, parity=True)
-    near = save(near, "overlap-near")
-    used = near.select(F.explode(F.array("a", "b")).alias("ck")).distinct()
-    w = texts.select("ck", "seq").join(used, "ck", "left_semi").dropDuplicates(["ck"])
-    both = near.join(w.select(F.col("ck").alias("a"), F.col("seq").alias("wa")), "a").join(w.select(F.col("ck").alias("b"), F.col("seq").alias("wb")), "b")
+    long = texts.filter(F.col("n") >= min_words)
+
+    def finer(hot: DataFrame) -> DataFrame:
+        return fingerprints(records_of(long, hot), FINE_BANDS, FINE_ROWS, False)
+
+    near = save(candidates(fingerprints(long), "overlap-prints", AlikeSets(threshold), sided=True, refine=finer), "overlap-near")
+    w = save(records_of(long, ends(near)).select("s1", "s2", "n", "side", "ck", "seq").dropDuplicates(["side", "ck"]), "overlap-sequences")
+    side = lambda k, e: named(w.filter(F.col("side") == k).drop("side").withColumnsRenamed({"ck": e, "seq": f"w{e}"}), e)
+    both = near.join(side(0, "a"), ["a1", "a2", "an"]).join(side(1, "b"), ["b1", "b2", "bn"]).select("a", "b", "wa", "wb")
     shared = F.size(F.array_intersect("wa", "wb")).cast("double")
     both = both.withColumn("common", shared / (F.size(F.array_distinct("wa")) + F.size(F.array_distinct("wb")) - shared)).filter(F.col("common") >= threshold - 1e-12)
 
@@ -238,35 +195,47 @@ def planes(width: int, count: int, seed: int) -> np.ndarray:
     return np.concatenate(parts, axis=1)[:, :count].astype(np.float32)
 
 
-def vector_bands(rows: DataFrame, width: int, bits: int = BITS, bands: int = VECTOR_BANDS, sided: bool = True) -> DataFrame:
-    """(key, ck, n, side, s1) of every valid vector: ``bands`` keys of ``bits`` signs each and a sketch of 64 signs."""
+def signed(rows: DataFrame, width: int) -> DataFrame:
+    """Rows (id, side, ck, embedding) of valid vectors with s1 and s2, the signs towards 128 hyperplanes, and n = 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = planes(width, SIGNS, 12)
+        for b in batches:
+            x, at = vectors(b.column("embedding"), width)
+            if len(x):
+                b = b.take(pa.array(at))
+                s = np.packbits((x @ p > 0).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "side", "ck", "embedding")), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(np.ones(len(x), np.int32))], names=["id", "side", "ck", "embedding", "s1", "s2", "n"])
+
+    return rows.select("id", "side", "ck", "embedding").mapInArrow(run, "id string, side int, ck long, embedding array<float>, s1 long, s2 long, n int")
+
+
+def vector_bands(rows: DataFrame, width: int, bits: int = BITS, bands: int = VECTOR_BANDS) -> DataFrame:
+    """(key, s1, s2, n, side) of every vector of ``signed`` rows: ``bands`` keys of ``bits`` signs each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = planes(width, bits * bands + VECTOR_SKETCH, 11)
+        p = planes(width, bits * bands, 11)
         for b in batches:
             x, at = vectors(b.column("embedding"), width)
             if len(x):
-                sign = (x @ p > 0).astype(np.uint8)
-                sketch = np.packbits(sign[:, -VECTOR_SKETCH:], axis=1, bitorder="little").view(np.int64)[:, 0]
-                code = sign[:, : bits * bands].reshape(len(x), bands, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                code = (x @ p > 0).astype(np.uint8).reshape(len(x), bands, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
                 key = code + 1 + (np.arange(bands, dtype=np.int64) << (bits + 1))
-                cols = [np.repeat(c, bands) for c in (b.column("ck").to_numpy()[at], np.ones(len(x), np.int32), b.column("side").to_numpy()[at], sketch)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *map(pa.array, cols)], names=["key", "ck", "n", "side", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(b.column(c).to_numpy()[at], bands)) for c in ("s1", "s2", "n", "side"))], names=["key", "s1", "s2", "n", "side"])
 
-    return rows.select("embedding", "ck", "side").mapInArrow(run, "key long, ck long, n int, side int, s1 long")
+    return rows.select("embedding", "s1", "s2", "n", "side").mapInArrow(run, PRINTS)
 
 
 def vector_overlaps(rows: DataFrame, width: int, least: float) -> DataFrame:
     """(a, b, cosine) for classes of equal vectors, a of side 0 and b of side 1, with at least the cosine.
 
-    ``rows``: (ck, side, embedding) of valid vectors.
+    ``rows``: (ck, side, embedding, s1, s2, n) of ``signed`` vectors.
     """
-    near = save(candidates(vector_bands(rows, width), "overlap-vectors", sided=True, max_diff=VECTOR_SLACK), "overlap-vectors-near")
-    used = near.select(F.explode(F.array("a", "b")).alias("ck")).distinct()
-    v = rows.select("ck", "embedding").join(used, "ck", "left_semi").dropDuplicates(["ck"])
-    unit = F.transform("embedding", lambda x: x.cast("double"))
-    v = v.withColumn("e", unit).withColumn("len", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))).drop("embedding")
-    both = near.join(v.select(F.col("ck").alias("a"), F.col("e").alias("ea"), F.col("len").alias("la")), "a").join(v.select(F.col("ck").alias("b"), F.col("e").alias("eb"), F.col("len").alias("lb")), "b")
+    near = save(candidates(vector_bands(rows, width), "overlap-signs", AlikeSigns(SIGN_SLACK), sided=True), "overlap-signs-near")
+    v = records_of(rows, ends(near)).select("s1", "s2", "n", "side", "ck", "embedding").dropDuplicates(["side", "ck"])
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    v = v.withColumn("e", e).withColumn("l", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))).drop("embedding")
+    side = lambda k, end: named(v.filter(F.col("side") == k).drop("side").withColumnsRenamed({"ck": end, "e": f"e{end}", "l": f"l{end}"}), end)
+    both = near.join(side(0, "a"), ["a1", "a2", "an"]).join(side(1, "b"), ["b1", "b2", "bn"])
     dot = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return both.select("a", "b", (dot / (F.col("la") * F.col("lb"))).alias("cosine")).filter(F.col("cosine") >= least)
 
@@ -304,7 +273,7 @@ def split_overlaps(
     side = F.create_map(*(x for k, v in sides.items() for x in (F.lit(k), F.lit(v))))[F.col("role")]
     sided = use.select("id", side.cast("int").alias("side")).filter("side is not null").distinct()
     vec = embedded.select(F.col("id").cast("string").alias("id"), "embedding").filter(valid_vector(F.col("embedding"), width))
-    vec = save(vec.join(sided, "id").select("id", "side", F.xxhash64("embedding").alias("ck"), "embedding"), "overlap-embedded")
+    vec = save(signed(vec.join(sided, "id").withColumn("ck", F.xxhash64("embedding")), width), "overlap-embedded")
     vm = vec.select("id", "side", "ck").distinct()
     v = of_members(vector_overlaps(vec, width, least_cosine), vm).groupBy("id_0", "id_1").agg(F.max("cosine").alias("cosine"))
 
