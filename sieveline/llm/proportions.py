@@ -29,34 +29,33 @@ def in_strata(items: DataFrame, strata: DataFrame) -> DataFrame:
     return both.filter((F.col("band_lower") <= F.col("score")) & (F.col("score") < F.col("band_upper"))).select("design_id", "stratum", "item_id", "group_key").distinct()
 
 
-def repair(member: np.ndarray, have: np.ndarray, target: np.ndarray, floor: np.ndarray, size: int, seed: int) -> np.ndarray:
+def repair(member: np.ndarray, have: np.ndarray, target: np.ndarray, floor: np.ndarray, seed: int) -> np.ndarray:
     """How many records of each signature to take.
 
-    member: (signatures, categories) 0/1; have: records per signature; target and floor per category; size: of the sample.
-    Starts from ``size`` random records that satisfy the floors where the records suffice, then swaps records of one
-    signature for as many of another (in steps halving from the largest useful) as long as the squared deviation from
-    the targets falls and no floor is broken more than before.  The number of records stays ``size``.  The swaps of best
-    gradient are tried first, all others before a step ends, so no single swap improves the result.
+    member: (signatures, categories) 0/1; have: records per signature; target and floor per category.  Targets beyond the
+    records there are count as these, so what one category lacks isn't drawn from others.  Starts from random records
+    that satisfy the floors where the records suffice; then records are swapped, added or dropped (an exchange with
+    nothing), in steps halving from the largest useful, as long as the squared deviation from the targets falls and no
+    floor is broken more than before.  Moves of best gradient are tried first, all others before a step ends, so no
+    single swap, addition or removal improves the result.
     """
     rng = np.random.default_rng(seed)
+    m = np.concatenate([member, np.zeros((1, member.shape[1]))]).astype(np.int64)  # the last signature is nothing
+    most = m[:-1].T @ have
+    target, least = np.minimum(target, most), np.minimum(floor, most)
+    spare = 1 << 40
+    have = np.r_[have, 2 * spare]
     take = np.zeros(len(have), np.int64)
-    size = int(min(size, have.sum()))
-    m = member.astype(np.int64)
-    for c in np.argsort(m.T @ have, kind="stable"):  # scarce categories first
-        lack = int(min(floor[c], (m[:, c] * have).sum()) - (m[:, c] * take).sum())
+    for c in np.argsort(most, kind="stable"):  # scarce categories first
+        lack = int(least[c] - (m[:, c] * take).sum())
         own = np.flatnonzero(m[:, c])
-        while lack > 0 and len(own):
-            room = have[own] - take[own]
-            draw = rng.multivariate_hypergeometric(room, min(lack, int(room.sum())))
-            take[own] += draw
-            lack -= int(draw.sum())
-            if not draw.sum():
-                break
-    rest = size - int(take.sum())
-    if rest > 0:
-        take += rng.multivariate_hypergeometric(have - take, rest)
-
-    least = np.minimum(floor, m.T @ have)
+        if lack > 0 and len(own):
+            take[own] += rng.multivariate_hypergeometric((have - take)[own], lack)
+    wide = m[:-1].sum(1)
+    size = int(min((have - take)[:-1].sum(), max(0.0, target.sum() / max(1.0, np.average(wide, weights=have[:-1]) if have[:-1].sum() else 1.0) - take.sum())))
+    if size:
+        take[:-1] += rng.multivariate_hypergeometric((have - take)[:-1], size)
+    take[-1] = spare
 
     def cost(got: np.ndarray) -> np.ndarray:
         """Missing floors first, then the squared deviation, as one number per row of counts."""
@@ -64,10 +63,10 @@ def repair(member: np.ndarray, have: np.ndarray, target: np.ndarray, floor: np.n
 
     got = m.T @ take
     best = float(cost(got))
-    step = 1 << int(np.log2(max(1, take.max(initial=1))))
+    step = 1 << int(np.log2(max(1, have[:-1].max(initial=1))))
 
     def cheapest(room: np.ndarray, free: np.ndarray) -> tuple[float, int, int]:
-        """(cost, from, to) of the best swap of ``step`` records of one of ``room`` for one of ``free``."""
+        """(cost, from, to) of the best exchange of ``step`` records of one of ``room`` for one of ``free``."""
         least_cost, at = np.inf, (0, 0)
         if not len(free):
             return least_cost, *at
@@ -94,15 +93,16 @@ def repair(member: np.ndarray, have: np.ndarray, target: np.ndarray, floor: np.n
             take[j] += step
             got, best = got + step * (m[j] - m[i]), found
         step //= 2
-    return take
+    return take[:-1]
 
 
 def proportional_sample(items: DataFrame, strata: DataFrame, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """(sample, report).
+    """(sample, report); the report holds each stratum's deviation from what the frame can give of its target.
 
     sample: (design_id, stratum, group_key, item_id): the drawn groups with one random item each and every stratum the
-    group counts in.  report: (design_id, stratum, frame_groups, n_sample, min_sample, drawn, floor_met, reachable): per
-    stratum, drawn the groups counted in the sample, reachable whether the frame holds n_sample different groups.
+    group counts in.  report: (design_id, stratum, frame_groups, n_sample, min_sample, drawn, deviation,
+    floor_met, reachable): per stratum, drawn the groups counted in the sample, deviation drawn less the target or, if
+    that is more, the groups of the frame; floor_met whether drawn has the least number or all there is; reachable whether the frame holds n_sample different groups.
     A group is drawn at most once and counts in every stratum that its items meet (its signature).  Null targets and
     floors count as 0.  Strata without any item are reported with 0; designs without strata have no rows.
     """
@@ -125,7 +125,7 @@ def proportional_sample(items: DataFrame, strata: DataFrame, seed: int = 7) -> t
         target = np.array([c["n_sample"] for c in cats], np.int64)
         floor = np.array([c["min_sample"] for c in cats], np.int64)
         have = np.array([n for _, n in rows], np.int64)
-        take = repair(member, have, target, floor, int(target.sum()), seed)
+        take = repair(member, have, target, floor, seed)
         return pa.table({"design_id": pa.array([t.column("design_id")[0].as_py()] * len(rows), pa.string()), "signature": pa.array([s for s, _ in rows], pa.list_(pa.string())), "_take": pa.array(take)})
 
     quota = save(counts.join(lists, "design_id").repartition(tasks, "design_id").groupBy("design_id").applyInArrow(solve, "design_id string, signature array<string>, _take long"), "strata-quotas")
@@ -134,7 +134,7 @@ def proportional_sample(items: DataFrame, strata: DataFrame, seed: int = 7) -> t
     got = drawn.select("design_id", F.explode("signature").alias("stratum")).groupBy("design_id", "stratum").agg(F.count(F.lit(1)).alias("drawn"))
     frame = groups.groupBy("design_id", "stratum").agg(F.count(F.lit(1)).alias("frame_groups"))
     report = wanted.join(frame, ["design_id", "stratum"], "left").join(got, ["design_id", "stratum"], "left").fillna(0, ["frame_groups", "drawn"])
-    report = report.select("design_id", "stratum", "frame_groups", "n_sample", "min_sample", "drawn", (F.col("drawn") >= F.col("min_sample")).alias("floor_met"), (F.col("frame_groups") >= F.col("n_sample")).alias("reachable"))
+    report = report.select("design_id", "stratum", "frame_groups", "n_sample", "min_sample", "drawn", (F.col("drawn") - F.least("n_sample", "frame_groups")).alias("deviation"), (F.col("drawn") >= F.least("min_sample", "frame_groups")).alias("floor_met"), (F.col("frame_groups") >= F.col("n_sample")).alias("reachable"))
     item = cells.groupBy("design_id", "group_key").agg(F.min_by("item_id", F.struct(F.xxhash64("item_id", F.lit(seed)), "item_id")).alias("item_id"))
     sample = drawn.join(item, ["design_id", "group_key"]).select("design_id", F.explode("signature").alias("stratum"), "group_key", "item_id")
     return sample, report
