@@ -31,8 +31,11 @@ ENDS = ("a1", "a2", "an", "b1", "b2", "bn")
 PAIRS = "key long, a1 long, a2 long, an int, b1 long, b2 long, bn int"
 
 
-def minhash(flat: np.ndarray, off: np.ndarray, count: int, seed: int, chunk: int = 1 << 16) -> np.ndarray:
-    """(sets, count) uint32 minima of ``count`` hash functions; sets are non-empty slices of ``flat``."""
+def minhash(flat: np.ndarray, off: np.ndarray, count: int, seed: int, chunk: int = 1 << 12) -> np.ndarray:
+    """(sets, count) uint32 minima of ``count`` hash functions; sets are non-empty slices of ``flat``.
+
+    ``chunk`` members are looked up at a time, so that they and their minima stay in the processor's cache.
+    """
     vocab, inv = np.unique(flat, return_inverse=True)
     table = np.empty((len(vocab), count), np.uint32)
     for j in range(count):
@@ -46,15 +49,19 @@ def minhash(flat: np.ndarray, off: np.ndarray, count: int, seed: int, chunk: int
     return out
 
 
+#: The bits of a key that are used: different buckets of 10^11 rows then seldom share one, and near() sorts those out.
+KEY_BITS = np.uint64(0xFFFFFFFFFF000000)
+
+
 def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(sets, bands) int64 keys, each of ``rows`` minima and the band's number."""
+    """(sets, bands) int64 keys, not 0, each of ``rows`` minima and the band's number; the low 24 bits are 0 and cost no bytes in a shuffle."""
     keys = np.empty((len(minima), bands), np.uint64)
     for b in range(bands):
         acc = np.full(len(minima), b + 1, np.uint64)
         for c in range(b * rows, (b + 1) * rows):
             acc = mix(acc ^ minima[:, c].astype(np.uint64), 77)
-        keys[:, b] = acc
-    return keys.view(np.int64)
+        keys[:, b] = acc & KEY_BITS
+    return np.where(keys == 0, np.uint64(1 << 24), keys).view(np.int64)
 
 
 def sketches(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,12 +70,13 @@ def sketches(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     Up to LONG members: per one of 128 hash values whether an odd number of members has it; two sets differ in at
     least as many members as these bits differ.  Above: the lowest bits of 128 minima, of which (1 + Jaccard) / 2 agree.
     """
-    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    order = np.lexsort((flat, doc))
-    f, d = flat[order], doc[order]
-    fresh = np.ones(len(f), bool)
-    fresh[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
-    f, d = f[fresh], d[fresh]
+    f, d = flat, np.repeat(np.arange(len(off) - 1), np.diff(off))
+    if not ((f[1:] > f[:-1]) | (d[1:] != d[:-1])).all():
+        order = np.lexsort((f, d))
+        f, d = f[order], d[order]
+        fresh = np.ones(len(f), bool)
+        fresh[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
+        f, d = f[fresh], d[fresh]
     n = np.bincount(d, minlength=len(off) - 1)
     bits = (np.bincount(d * 128 + (mix(f, 3) >> np.uint64(57)).astype(np.int64), minlength=(len(off) - 1) * 128) & 1).astype(np.uint8).reshape(-1, 128)
     long = np.flatnonzero(n > LONG)
@@ -161,7 +169,7 @@ def candidates(rows: DataFrame, name: str, near: Filter, *, sided: bool = False,
     count once.  Keys are not 0 (callers move it).  refine: of the members (s1, s2, n) of hot runs, rows with finer
     keys, whose runs are compared instead; without it a hot run is compared in pairs of blocks.
     """
-    use = rows.select("key", "s1", "s2", "n", F.col("side").cast("byte").alias("side") if sided else F.lit(0).cast("byte").alias("side"))
+    use = rows.select("key", "s1", "s2", "n", *([F.col("side").cast("byte").alias("side")] if sided else []))
 
     def tidy(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         order = np.lexsort((cols["n"], cols["s2"], cols["s1"], cols["side"], cols["key"]))
@@ -229,7 +237,7 @@ def candidates(rows: DataFrame, name: str, near: Filter, *, sided: bool = False,
 
         for b in batches:
             if b.num_rows:
-                held.append({c: b.column(c).to_numpy() for c in b.schema.names})
+                held.append({"side": np.zeros(b.num_rows, np.int8)} | {c: b.column(c).to_numpy() for c in b.schema.names})
                 size += b.num_rows
                 if size >= CHUNK:
                     yield from flush(False)

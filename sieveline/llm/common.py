@@ -20,7 +20,7 @@ def word_hashes(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Sorted hashes of the different words."""
-    return F.array_sort(F.array_distinct(word_hashes(text)))
+    return F.sort_array(F.array_distinct(word_hashes(text)))
 
 
 def flat_longs(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:

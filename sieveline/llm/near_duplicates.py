@@ -59,7 +59,6 @@ def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
             if new.any():
                 b = b.filter(pa.array(new))
                 keys = band_keys(minhash(*flat_longs(b.column("words")), bands * rows, 0), bands, rows)
-                keys[keys == 0] = 1
                 for j in range(0, bands, 10):
                     part = keys[:, j : j + 10]
                     wide = part.shape[1]
