@@ -254,6 +254,50 @@ def design_precision_threshold(scores, y, stratum, size: dict, candidates: Seque
     return best
 
 
+def ratio_from_sums(strata: list[tuple]) -> dict:
+    """estimate, se, effective_n and ci95 from (n, N, sum a, sum b, sum a2, sum b2, sum ab) per stratum; b counts rows 0/1."""
+    total = sum(N / n * b for n, N, _, b, *_ in strata)
+    if total <= 0:
+        return {"estimate": math.nan, "se": math.nan, "effective_n": 0.0, "ci95": (math.nan, math.nan)}
+    r = sum(N / n * a for n, N, a, *_ in strata) / total
+    var, spare = 0.0, []
+    for s in sorted(strata, key=lambda s: -s[0]):
+        spare.append(s)
+        n = sum(x[0] for x in spare)
+        if n < 2:
+            continue
+        N = sum(x[1] for x in spare)
+        e = sum(x[2] - r * x[3] for x in spare) / total
+        ee = sum(x[4] - 2 * r * x[6] + r * r * x[5] for x in spare) / total**2
+        s2 = max(0.0, (ee - e * e / n) / (n - 1))
+        var += N * N * (1 - n / N if N > n else 0.0) * s2 / n
+        spare = []
+    se = math.sqrt(var)
+    w1, w2 = sum(N / n * b for n, N, _, b, *_ in strata), sum((N / n) ** 2 * b for n, N, _, b, *_ in strata)
+    eff = w1 * w1 / w2 if w2 > 0 else 0.0
+    return {"estimate": r, "se": se, "effective_n": eff, "ci95": interval(r, se, eff)}
+
+
+def share_bound(below: dict, strata: dict, delta: float) -> float:
+    """Upper bound of a frame's share from counts per stratum: ``below`` of the n sampled of N, by (n, N).
+
+    The larger of ratio + z * se and the exact bound at the rounded Kish size.
+    """
+    total = sum(N for _, N in strata.values())
+    r = sum(N * below[k] / n for k, (n, N) in strata.items()) / total
+    var, kept = 0.0, []
+    for k in sorted(strata, key=lambda k: (-strata[k][0], str(k))):
+        kept.append(k)
+        n, N = (sum(strata[x][i] for x in kept) for i in (0, 1))
+        if n > 1:  # a stratum of one sampled row shares its variance with the next
+            p = sum(below[x] for x in kept) / n
+            var += N * N * max(0.0, 1 - n / N) * p * (1 - p) / (n - 1)
+            kept = []
+    eff = total**2 / sum(N * N / n for n, N in strata.values())
+    m = max(1, round_half_up(eff))
+    return max(r + normal_quantile(1 - delta) * math.sqrt(var) / total, clopper_pearson_upper(min(m, round_half_up(r * m)), m, 1 - delta))
+
+
 # --- fits -----------------------------------------------------------------------------------------------
 
 
@@ -450,9 +494,10 @@ def canonical_digest(doc: object) -> str:
     return hashlib.sha256(json.dumps(doc, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()).hexdigest()
 
 
-def stable_id(value: object) -> str:
-    """64-bit FNV-1a of the JSON, folded to 52 bits, in hexadecimal."""
+def stable_id(value: object, prefix: str = "") -> str:
+    """The low 52 bits of the 64-bit FNV-1a over the UTF-16 units of the JSON, in hexadecimal, after the prefix and an underscore."""
+    raw = json.dumps(value, separators=(",", ":"), ensure_ascii=False).encode("utf-16-le")
     h = 0xCBF29CE484222325
-    for b in json.dumps(value, separators=(",", ":"), ensure_ascii=False).encode():
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return format((h ^ (h >> 52)) & 0xFFFFFFFFFFFFF, "013x")
+    for low, high in zip(raw[::2], raw[1::2]):
+        h = ((h ^ (low | high << 8)) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+    return (f"{prefix}_" if prefix else "") + format(h & 0xFFFFFFFFFFFFF, "013x")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -46,6 +48,28 @@ def mean_vector(vectors: Column, width: int) -> Column:
     return F.transform(F.aggregate(vectors, zero, lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double"))), lambda x: x / n)
 
 
+def _hasher(dimensions: int):
+    """A function from text to its bag of words in hash buckets; words seen before are looked up."""
+    from hashlib import sha256
+
+    known: dict[str, tuple[int, float]] = {}
+
+    def embed(t: str) -> np.ndarray:
+        v = np.zeros(dimensions)
+        for w in t.lower().split():
+            at = known.get(w)
+            if at is None:
+                h = sha256(w.encode()).digest()
+                at = int.from_bytes(h[:4], "big") % dimensions, 1.0 if h[4] % 2 == 0 else -1.0
+                if len(known) < 1 << 18:
+                    known[w] = at
+            v[at[0]] += at[1]
+        n = float(np.sqrt((v * v).sum()))
+        return v / n if n else v
+
+    return embed
+
+
 def hash_embedding(text: Column, dimensions: int) -> Column:
     """Bag of words in hash buckets: +-1 at SHA-256(word) mod ``dimensions``, by the parity of its fifth byte; unit length.
 
@@ -54,29 +78,32 @@ def hash_embedding(text: Column, dimensions: int) -> Column:
     """
 
     @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        from hashlib import sha256
-
-        known: dict[str, tuple[int, float]] = {}
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            v = np.zeros(dimensions)
-            for w in t.lower().split():
-                at = known.get(w)
-                if at is None:
-                    h = sha256(w.encode()).digest()
-                    at = known[w] = int.from_bytes(h[:4], "big") % dimensions, 1.0 if h[4] % 2 == 0 else -1.0
-                v[at[0]] += at[1]
-            n = float(np.sqrt((v * v).sum()))
-            out.append(v / n if n else v)
-        return pd.Series(out)
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = _hasher(dimensions)
+        for texts in batches:
+            yield pd.Series([None if t is None else one(t) for t in texts])
 
     return embed(text)
 
 
+def mean_embedding(texts: Column, dimensions: int) -> Column:
+    """Mean of the hash embeddings of an array of texts, in its order; null for null and empty arrays."""
+
+    @F.pandas_udf("array<double>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = _hasher(dimensions)
+        for lists in batches:
+            out = []
+            for ts in lists:
+                total = np.zeros(dimensions)
+                for t in ts if ts is not None else ():
+                    total = total + one(t)
+                out.append(total / len(ts) if ts is not None and len(ts) else None)
+            yield pd.Series(out)
+
+    return embed(texts)
+
+
 def int8(a: Column) -> Column:
     """(scale, q): values rounded half up to -127..127 at scale = greatest magnitude / 127, or 1."""
     top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))

@@ -9,13 +9,16 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import random_rank
 from ..functions.stats import round_half_up
+from .ranks import hex_bucket, ranked
 
 ROLES = ("train", "calibration", "test")
+#: Positions of a queue that one task ranks.
+RANGE = 4096
 
 
 @dataclass
@@ -169,9 +172,9 @@ def design_samples(frames: DataFrame, total: int, *, quantiles: Sequence[float]
     spark = frames.sparkSession
     table = spark.createDataFrame(placing, "_design string, _r boolean, _b int, _slice string, stratum string, stratum_size long, _n int, _cal int, _test int")
     placed = base.join(F.broadcast(table), (base["design_id"] == table["_design"]) & (base["_rule"] == table["_r"]) & (base["_band"] == table["_b"]) & base["slice"].eqNullSafe(table["_slice"])).drop("_design", "_r", "_b", "_slice")
-    w = Window.partitionBy("design_id", "stratum")
-    drawn = placed.withColumn("_r", F.row_number().over(w.orderBy(random_rank(F.col("id"), seed + 1), "id"))).filter(F.col("_r") <= F.col("_n"))
-    drawn = drawn.withColumn("_q", F.row_number().over(w.orderBy(random_rank(F.col("id"), seed + 2), "id")))
+    keys, first, second = ["design_id", "stratum"], random_rank(F.col("id"), seed + 1), random_rank(F.col("id"), seed + 2)
+    drawn = ranked(placed, keys, [first, "id"], hex_bucket(first)).filter(F.col("_r") <= F.col("_n"))
+    drawn = ranked(drawn, keys, [second, "id"], hex_bucket(second), "_q")
     role = F.when(F.col("_q") <= F.col("_cal"), "calibration").when(F.col("_q") <= F.col("_cal") + F.col("_test"), "test").otherwise("train")
     count = F.when(F.col("role") == "calibration", F.col("_cal")).when(F.col("role") == "test", F.col("_test")).otherwise(F.col("_n") - F.col("_cal") - F.col("_test"))
     sample = drawn.withColumn("role", role).withColumn("inclusion_prob", count / F.col("stratum_size")).drop("_rule", "_band", "_n", "_cal", "_test", "_r", "_q")
@@ -198,12 +201,13 @@ def label_queue(items: DataFrame, budgets: dict[str, int], seed: int = 0) -> tup
     """
     some = items.filter(F.size("heads") > 0)
     place = F.when(F.col("mechanism") == "sampled", random_rank(F.col("id"), seed)).otherwise(F.lpad(F.col("position").cast("string"), 20, "0"))
-    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("mechanism").orderBy(place, "id")))
+    bucket = F.when(F.col("mechanism") == "sampled", hex_bucket(random_rank(F.col("id"), seed))).otherwise(F.floor(F.col("position") / RANGE))
+    placed = ranked(some, ["mechanism"], [place, "id"], bucket)
     kept = None
     for m, n in budgets.items():
-        part = ranked.filter((F.col("mechanism") == m) & (F.col("_r") <= n))
+        part = placed.filter((F.col("mechanism") == m) & (F.col("_r") <= n))
         kept = part if kept is None else kept.unionByName(part)
-    rest = ranked.filter(~F.col("mechanism").isin(list(budgets))) if budgets else ranked
+    rest = placed.filter(~F.col("mechanism").isin(list(budgets))) if budgets else placed
     kept = rest if kept is None else kept.unionByName(rest)
     blind = F.substring(random_rank(F.col("id"), seed + 1), 1, 16)
     keyed = kept.withColumn("item_id", blind).drop("_r")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import hash_embedding, norm
+from ..functions.vectors import hash_embedding, mean_embedding, mean_vector, norm
 from ..sources.shared import spread
 
 MAX_CHUNKS = 64
@@ -17,10 +17,15 @@ def chunks(documents: DataFrame, max_words: int = 60, key: str = "doc_id") -> Da
 
     Null and empty texts have no chunk.
     """
+    return documents.filter(F.col("text").isNotNull()).select(key, F.posexplode(packed(max_words)).alias("pos", "chunk"))
+
+
+def packed(max_words: int) -> Column:
+    """The chunks of ``text`` as an array."""
     sentences = F.filter(F.split(F.trim(F.col("text")), r"(?<=[.!?])\s+|\n+"), lambda s: F.length(F.trim(s)) > 0)
     counted = F.transform(sentences, lambda s: F.struct(s.alias("s"), F.size(F.split(F.trim(s), r"\s+")).alias("n")))
     start = F.struct(F.lit(0).alias("fill"), F.array().cast("array<string>").alias("out"))
-    packed = F.aggregate(
+    return F.aggregate(
         counted,
         start,
         lambda a, x: F.when(
@@ -29,7 +34,6 @@ def chunks(documents: DataFrame, max_words: int = 60, key: str = "doc_id") -> Da
         ).otherwise(F.struct(x["n"].alias("fill"), F.concat(a["out"], F.array(x["s"])).alias("out"))),
         lambda a: a["out"],
     )
-    return documents.filter(F.col("text").isNotNull()).select(key, F.posexplode(packed).alias("pos", "chunk"))
 
 
 def embed_chunks(chunked: DataFrame, dimensions: int = 64) -> DataFrame:
@@ -38,12 +42,21 @@ def embed_chunks(chunked: DataFrame, dimensions: int = 64) -> DataFrame:
     return chunked.join(once, "chunk")
 
 
-def pool(vectors: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
-    """(key, chunks, embedding): mean per position over the chunks, never renormalised; sums per position are pre-aggregated."""
-    each = vectors.select(key, F.posexplode("embedding").alias("i", "v"))
-    mean = each.groupBy(key, "i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.count(F.lit(1)).alias("n"))
-    out = mean.groupBy(key).agg(F.max("n").cast("int").alias("chunks"), F.sort_array(F.collect_list(F.struct("i", "m"))).alias("_v"))
-    return out.select(key, "chunks", F.col("_v.m").alias("embedding")).filter(F.size("embedding") == width)
+def pool(vectors: DataFrame, width: int, key: str = "doc_id", max_chunks: int = MAX_CHUNKS) -> DataFrame:
+    """(key, chunks, embedding): mean of the chunk vectors in their order, never renormalised.
+
+    Documents of other widths or more than ``max_chunks`` chunks have no row; a document's chunks come together once,
+    at most ``max_chunks`` of them.
+    """
+    order = "pos" if "pos" in vectors.columns else "embedding"
+    counted = vectors.join(_within(vectors, key, max_chunks), key, "left_semi")
+    g = counted.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("embedding").alias("v")))), lambda c: c["v"]).alias("_v"))
+    g = g.filter(F.forall("_v", lambda v: F.size(v) == width))
+    return g.select(key, F.size("_v").alias("chunks"), mean_vector(F.col("_v"), width).alias("embedding"))
+
+
+def _within(vectors: DataFrame, key: str, most: int) -> DataFrame:
+    return vectors.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select(key)
 
 
 def problems(vectors: DataFrame, width: int, *, max_chunks: int = MAX_CHUNKS, unit_length: bool = False, key: str = "doc_id") -> DataFrame:
@@ -58,10 +71,13 @@ def problems(vectors: DataFrame, width: int, *, max_chunks: int = MAX_CHUNKS, un
 
 
 def document_features(documents: DataFrame, dimensions: int = 64, *, max_words: int = 60, max_chunks: int = MAX_CHUNKS, key: str = "doc_id") -> DataFrame:
-    """(key, chunks, embedding, text_digest) of the documents without a problem; no raw text comes out."""
-    v = embed_chunks(chunks(documents, max_words, key), dimensions)
-    good = v.join(problems(v, dimensions, max_chunks=max_chunks, key=key), key, "left_anti")
-    return pool(good, dimensions, key).join(documents.select(key, F.sha2("text", 256).alias("text_digest")).dropDuplicates([key]), key)
+    """(key, chunks, embedding, text_digest) of the documents without a problem; no raw text comes out.
+
+    Chunks, their hash embeddings and the mean stay within the document's row: nothing is shuffled but repeated keys.
+    """
+    rows = documents.filter(F.col("text").isNotNull() & F.col(key).isNotNull()).select(key, "text").dropDuplicates([key])
+    cut = spread(rows).select(key, F.sha2("text", 256).alias("text_digest"), packed(max_words).alias("_c")).filter(F.size("_c").between(1, max_chunks))
+    return cut.select(key, F.size("_c").alias("chunks"), mean_embedding(F.col("_c"), dimensions).alias("embedding"), "text_digest")
 
 
 def divided_groups(rows: DataFrame, group: str = "group_id", split: str = "split") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import random_rank
-from ..functions.stats import kish, minimum_samples
+from ..functions.stats import minimum_samples
+from .ranks import hex_bucket, ranked
 
 REAL = ("sampled", "traffic", "retrieved")
 ORDER = ("P1", "P2", "P3", "P4", "P7")
@@ -103,9 +104,10 @@ def real_hard_negatives(records: DataFrame, head: str, rule: str) -> DataFrame:
 
 def select_for_review(batch: DataFrame, share: float = 0.2, least: int = 100, seed: int = 0) -> DataFrame:
     """A random part of each batch: the greater of share and ``least`` records, by md5 rank."""
-    w = Window.partitionBy("batch_id")
-    ranked = batch.withColumn("_r", F.row_number().over(w.orderBy(random_rank(F.col("id"), seed), "id"))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("_r") <= F.greatest(F.ceil(F.col("_n") * share - 1e-9), F.lit(least))).drop("_r", "_n")
+    order = random_rank(F.col("id"), seed)
+    sizes = batch.groupBy(F.col("batch_id").alias("_batch")).agg(F.greatest(F.ceil(F.count(F.lit(1)) * share - 1e-9), F.lit(least)).alias("_n"))
+    placed = ranked(batch, ["batch_id"], [order, "id"], hex_bucket(order))
+    return placed.join(sizes, F.col("batch_id").eqNullSafe(F.col("_batch"))).filter(F.col("_r") <= F.col("_n")).drop("_r", "_n", "_batch")
 
 
 def wilson_lower(k: Column, n: Column, z: float = 1.959963984540054) -> Column:
@@ -176,5 +178,3 @@ def coverage_slices(records: DataFrame, head: str, axes: dict[str, Sequence[str]
             out.append({"axis": a, "value": v, "needed": need, "available": have, "shortfall": max(0, -int(-(need - have) // 1))})
     return out
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["kish"]

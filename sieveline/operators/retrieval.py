@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, unit
+from ..functions.vectors import unit
+from ..sources.shared import save
 
 #: Rows of the small side (seeds, evaluation vectors) that are sent to all tasks at a time.
 SIDE_ROWS = 1 << 14
@@ -62,15 +66,10 @@ def retrieve_from_seeds(seeds: DataFrame, pool: DataFrame, *, candidates: int =
     able = pool if reserved is None else pool.join(reserved.select("group_id"), "group_id", "left_anti")
     if evaluation is not None:
         able = able.join(near_any(able, evaluation, near_duplicate), "id", "left_anti")
-    p = able.select("id", unit(F.col("embedding")).alias("v"))
-    n, parts = active.count(), None
-    blocks = max(1, -(-n // SIDE_ROWS))
-    for b in range(blocks):
-        s = active.select(F.col("id").alias("seed_id"), unit(F.col("embedding")).alias("s"))
-        s = s if blocks == 1 else s.filter(F.pmod(F.xxhash64("seed_id"), F.lit(blocks)) == b)
-        hits = p.join(F.broadcast(s), dot(F.col("v"), F.col("s")) >= floor).select("seed_id", "id", "v", dot(F.col("v"), F.col("s")).alias("sim"))
-        parts = hits if parts is None else parts.unionByName(hits)
-    top = parts.withColumn("_r", F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("sim"), "id"))).filter(F.col("_r") <= candidates)
+    near = save(nearest_seeds(active, able, candidates, floor), "retrieval-near")
+    w = Window.partitionBy("seed_id").orderBy(F.desc("sim"), "id")
+    top = near.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= candidates)
+    top = top.join(able.select("id", unit(F.col("embedding")).alias("v")).dropDuplicates(["id"]), "id")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_r")
@@ -81,6 +80,43 @@ def retrieve_from_seeds(seeds: DataFrame, pool: DataFrame, *, candidates: int =
     return chosen.groupBy("id").agg(F.sort_array(F.collect_set("seed_id")).alias("seed_ids"), F.max("sim").alias("similarity")).withColumn("round", F.lit(round_no))
 
 
+def nearest_seeds(seeds: DataFrame, pool: DataFrame, most: int, floor: float) -> DataFrame:
+    """(seed_id, id, sim): pool rows within ``floor`` of a seed, of every seed at least the ``most`` nearest.
+
+    Blocks of seeds are sent to all tasks; an Arrow batch is one matrix product and sends, per seed, no more than its
+    own ``most`` best, so neither a row without a near seed nor a vector is shuffled.  Ties at the end go to the least ids.
+    """
+    kinds = f"seed_id {seeds.schema['id'].dataType.simpleString()}, id {pool.schema['id'].dataType.simpleString()}, sim double"
+    s = seeds.filter(F.col("embedding").isNotNull()).select("id", unit(F.col("embedding")).alias("v"))
+    blocks, out = max(1, -(-s.count() // SIDE_ROWS)), None
+    rows = pool.filter(F.col("embedding").isNotNull()).select("id", unit(F.col("embedding")).alias("v"))
+    for b in range(blocks):
+        t = (s if blocks == 1 else s.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).orderBy("id").toArrow()
+        side = np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1) if t.num_rows else None
+        sent = seeds.sparkSession.sparkContext.broadcast((side, t.column("id").combine_chunks()))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            side, names = sent.value
+            for batch in batches if side is not None else ():
+                if not batch.num_rows:
+                    continue
+                batch = batch.sort_by("id")
+                sims = np.asarray(batch.column("v").flatten()).reshape(batch.num_rows, -1) @ side.T
+                seed, at, sim = [], [], []
+                for j in np.flatnonzero((sims >= floor).any(0)):
+                    own = np.flatnonzero(sims[:, j] >= floor)
+                    own = own[np.argsort(-sims[own, j], kind="stable")][:most]
+                    seed.append(np.full(len(own), j))
+                    at.append(own)
+                    sim.append(sims[own, j])
+                if seed:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.concatenate(seed))), batch.column("id").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(sim))], names=["seed_id", "id", "sim"])
+
+        part = rows.mapInArrow(run, kinds)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def drop_near_evaluation(records: DataFrame, embeddings: DataFrame, least: float = 0.95) -> DataFrame:
     """P5: (id) of retrieved or generated train records within the cosine of a calibration or test record."""
     v = embeddings.select("id", "embedding").filter(F.col("embedding").isNotNull())

@@ -79,9 +79,16 @@ def score_many(rows: DataFrame, heads: Sequence[Head], key: str, vector: str = "
     def run(batches):
         w, bias, cal, names = sent.value
         for b in batches:
-            vs = b.column(vector).to_pylist()
-            ok = [v is not None and len(v) == w.shape[1] and all(x is not None for x in v) for v in vs]
-            x = np.array([v for v, o in zip(vs, ok) if o], dtype=np.float64).reshape(-1, w.shape[1])
+            if not b.num_rows:
+                continue
+            col = b.column(vector)
+            at = np.asarray(col.offsets, dtype=np.int64)
+            ok = np.asarray(col.is_valid()) & (np.diff(at) == w.shape[1])
+            flat = np.asarray(col.values.cast(pa.float64()).fill_null(float("nan")))
+            x = flat[at[:-1][ok][:, None] + np.arange(w.shape[1])]
+            whole = ~np.isnan(x).any(1) if col.values.null_count else np.ones(len(x), bool)
+            ok[np.flatnonzero(ok)[~whole]] = False
+            x = x[whole]
             z = x @ w.T + bias
             p = np.empty_like(z)
             for j, c in enumerate(cal):

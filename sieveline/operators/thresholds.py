@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import conformal_rank, minimum_samples, next_up
+from ..functions.stats import clopper_pearson_lower, clopper_pearson_upper, conformal_rank, minimum_samples, next_up, normal_quantile, ratio_from_sums, share_bound
 
 BINS = 4096
 
@@ -35,6 +37,21 @@ def kth(scores: DataFrame, k: int, score: str = "p", descending: bool = True) ->
     return inside.filter(F.col("upto") >= left).orderBy(order).first().s
 
 
+def running_sums(rows: DataFrame, score: str, sums: dict[str, Column]) -> DataFrame:
+    """(s, <sums>): per different score the sums over all rows at or above it.
+
+    Sums go by score bin first; only a bin's different scores are ordered in one task.
+    """
+    use = rows.select(F.col(score).cast("double").alias("s"), *(v.cast("double").alias(k) for k, v in sums.items())).filter(F.col("s").isNotNull() & ~F.isnan("s"))
+    lo, hi = use.agg(F.min("s"), F.max("s")).first()
+    lo, hi = (0.0, 1.0) if lo is None else (lo, hi)
+    each = use.groupBy("s").agg(*(F.sum(k).alias(k) for k in sums)).withColumn("b", F.least(F.lit(BINS - 1), F.floor((F.col("s") - lo) / ((hi - lo) or 1.0) * BINS)).cast("int"))
+    above = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)  # BINS rows
+    bins = each.groupBy("b").agg(*(F.sum(k).alias(k) for k in sums)).select("b", *(F.coalesce(F.sum(k).over(above), F.lit(0.0)).alias(f"{k}_above") for k in sums))
+    w = Window.partitionBy("b").orderBy(F.desc("s"))
+    return each.join(bins, "b").select("s", *((F.col(f"{k}_above") + F.sum(k).over(w)).alias(k) for k in sums))
+
+
 def running_share(scores: DataFrame, score: str, weight: Column) -> DataFrame:
     """(s, share, before): per different score, the share of all weight at or above it and strictly above it.
 
@@ -172,3 +189,79 @@ def review_floor(threshold: float, ratio: float = 0.5, positives: DataFrame | No
         return threshold * ratio
     limit, _ = conformal_limit(positives, epsilon, None, True, score)
     return min(threshold, limit or 0.0)
+
+
+def background_upper(background: DataFrame, threshold: float, rate: float, confidence: float, score: str = "p") -> float:
+    """Upper bound of the background's firing rate at a threshold.
+
+    Where no more than the budget's whole number of rows fires, the bound is that of the budget, whatever the scores
+    were that the threshold was chosen on; else that of the count.
+    """
+    n, fired = background.agg(F.count(score), F.count_if(F.col(score) >= threshold)).first()
+    return clopper_pearson_upper(max(fired, math.floor(rate * n)), n, confidence)
+
+
+def risk_threshold(rows: DataFrame, alpha: float, delta: float) -> float | None:
+    """Highest score (of s, h, N) such that the share of the frame below it is at most alpha with confidence 1 - delta.
+
+    Bounds are looked at from below on the edges of score bins, then on the different scores of the bin where they
+    first exceed alpha; the bound is taken to rise within a bin.
+    """
+    strata = {r.h: (r.n, r.N if r.N is not None else r.n * 1e9) for r in rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("N").alias("N")).collect()}
+    if not strata:
+        return None
+    lo, hi = rows.agg(F.min("s"), F.max("s")).first()
+    binned = rows.withColumn("b", F.least(F.lit(BINS - 1), F.floor((F.col("s") - lo) / ((hi - lo) or 1.0) * BINS)).cast("int"))
+    below, risky = dict.fromkeys(strata, 0), None
+    for b, counts in _in_order(binned, "b"):
+        nxt = {k: below[k] + counts.get(k, 0) for k in below}
+        if share_bound(nxt, strata, delta) > alpha:
+            risky = b
+            break
+        below = nxt
+    if risky is None:
+        return float(hi)
+    best, last = None, binned.filter(F.col("b") < risky).agg(F.max("s")).first()[0]
+    for s, counts in _in_order(binned.filter(F.col("b") == risky), "s"):
+        if share_bound(below, strata, delta) > alpha:
+            break
+        best = s
+        below = {k: below[k] + counts.get(k, 0) for k in below}
+    return best if best is not None else last
+
+
+def _in_order(rows: DataFrame, key: str) -> Iterator[tuple[float, dict]]:
+    """(key, rows per stratum) in rising order, counted before they are sent."""
+    counts = rows.groupBy(key, "h").agg(F.count(F.lit(1)).alias("n")).orderBy(key)
+    for k, own in groupby(counts.collect(), lambda r: r[key]):
+        yield k, {r.h: r.n for r in own}
+
+
+def design_precision(rows: DataFrame, candidates: Sequence[float], target: float, delta: float) -> float | None:
+    """Lowest of the candidates, from the strictest until one fails, whose precision in the frame is at least target with confidence 1 - delta.
+
+    rows: s, y, h (stratum), N (its frame size).  Rows are counted per stratum and gap between candidates in one pass.
+    """
+    steps = sorted(set(candidates))
+    place = F.lit(0)
+    for i, t in enumerate(steps):
+        place = F.when(F.col("s") >= F.lit(float(t)), i + 1).otherwise(place)
+    cells = rows.groupBy(F.col("h").cast("string").alias("h"), place.alias("i")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"), F.max("N").alias("N")).collect()
+    frame: dict[str, tuple[int, float]] = {}
+    for r in cells:
+        n, big = frame.get(r.h, (0, 0.0))
+        frame[r.h] = (n + r.n, max(big, float(r.N)))
+    best, fired, hit = None, dict.fromkeys(frame, 0), dict.fromkeys(frame, 0)
+    for i in range(len(steps), 0, -1):
+        for r in cells:
+            if r.i == i:
+                fired[r.h] += r.n
+                hit[r.h] += r.y
+        if not any(fired.values()):
+            continue
+        e = ratio_from_sums([(n, big, hit[h], fired[h], hit[h], fired[h], hit[h]) for h, (n, big) in frame.items()])
+        m = max(1, math.floor(e["effective_n"] + 0.5))
+        if min(e["estimate"] - normal_quantile(1 - delta) * e["se"], clopper_pearson_lower(min(m, math.floor(e["estimate"] * m + 1e-9)), m, 1 - delta)) < target:
+            break
+        best = steps[i - 1]
+    return best

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.feature import HashingTF
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.folds import fnv_fold
 from ..functions.text import words
-from .thresholds import kth
+from .thresholds import kth, risk_threshold
 
 PIN = 1e9
 TOLERANCE = {"relative": 1.1, "absolute": 0.001}
 EXTRA_DISMISSAL, MIDDLE_MAX_FALSE_ALARMS, EDGE_MAX_FALSE_ALARMS = 0.25, 0.01, 0.005
 BITS = 18
+#: Highest recall that a choice of tiers is judged at.
+MOST_RECALL = 0.99
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -63,35 +66,44 @@ def cross_fit(rows: DataFrame, fit, apply, key: str = "id", folds: int = 5) -> D
     return out
 
 
+@dataclass(frozen=True)
+class Tier:
+    """A cheap score and its budgets over all rows so far: share of the negatives fired, share of the positives dismissed."""
+
+    score: str
+    fire: float
+    dismiss: float
+
+
+def _place(rows: DataFrame, cls: int, share: float, spent: int, total: int, score: str, highest: bool) -> float | None:
+    """The score that a budget of ``share`` of ``total`` rows of a class, less what is spent, leaves outside; None where it leaves all or none."""
+    return kth(rows.filter(F.col("y") == cls), math.floor(share * total) + 1 - spent, score, descending=highest)
+
+
 def fire_at(rows: DataFrame, max_rate: float, score: str = "s", label: str = "y") -> float | None:
     """The lowest score strictly above which at most the rate of the negatives lies."""
-    neg = rows.filter(F.col(label) == 0)
-    n = neg.count()
-    return kth(neg, math.floor(max_rate * n) + 1, score) if n else None
+    own = rows.select(F.col(score).alias("s"), F.col(label).alias("y"))
+    return _place(own, 0, max_rate, 0, own.filter("y = 0").count(), "s", True)
 
 
 def dismiss_at(rows: DataFrame, max_share: float, score: str = "s", label: str = "y") -> float | None:
     """The highest score strictly below which at most the share of the positives lies; None where none may."""
-    pos = rows.filter(F.col(label) == 1)
-    allowed = math.floor(max_share * pos.count())
-    return kth(pos, allowed + 1, score, descending=False) if allowed > 0 else None
+    own = rows.select(F.col(score).alias("s"), F.col(label).alias("y"))
+    n = own.filter("y = 1").count()
+    return _place(own, 1, max_share, 0, n, "s", False) if max_share * n >= 1 else None
 
 
 def certify(rows: DataFrame, max_false_alarms: float, max_dismissed: float, delta: float, *, score: str = "s", label: str = "y", stratum: str | None = None, size: str | None = None) -> tuple[float | None, float | None]:
     """(fire, dismiss) thresholds with confidence 1 - delta each: fire strictly above, dismiss strictly below, dismiss <= fire.
 
-    The scores of the calibration split (score, label, stratum) are decided on the driver.
+    Without strata the frame is taken as infinite.  Only counts per stratum and score bin reach the driver.
     """
-    cols = [F.col(score).alias("s"), F.col(label).alias("y"), (F.col(stratum) if stratum else F.lit("all")).alias("h"), (F.col(size) if size else F.lit(None)).cast("double").alias("N")]
-    t = rows.select(*cols).filter("s is not null and y is not null").toPandas()
-    big = {k: float(g.N.max()) if g.N.notna().any() else len(g) * 1e9 for k, g in t.groupby("h")}
-    neg, pos = t[t.y == 0], t[t.y == 1]
-    fire = stats.design_risk_threshold(-neg.s.to_numpy(), neg.h.to_numpy(), big, max_false_alarms, delta, min_stratum=0) if len(neg) else None
-    dismiss = stats.design_risk_threshold(pos.s.to_numpy(), pos.h.to_numpy(), big, max_dismissed, delta, min_stratum=0) if len(pos) else None
+    h = F.col(stratum).cast("string") if stratum else F.lit("all")
+    own = rows.select(F.col(score).cast("double").alias("s"), F.col(label).alias("y"), h.alias("h"), (F.col(size) if size else F.lit(None)).cast("double").alias("N")).filter("s is not null and y is not null")
+    dismiss = risk_threshold(own.filter("y = 1"), max_dismissed, delta)
+    fire = risk_threshold(own.filter("y = 0").withColumn("s", -F.col("s")), max_false_alarms, delta)
     fire = None if fire is None else -fire
-    if fire is not None and dismiss is not None:
-        dismiss = min(dismiss, fire)
-    return fire, dismiss
+    return fire, dismiss if fire is None or dismiss is None else min(dismiss, fire)
 
 
 def tier_decision(score: Column, fire: float | None, dismiss: float | None) -> Column:
@@ -104,18 +116,42 @@ def pin(decision: Column, score: Column) -> Column:
     return F.when(decision == "fire", PIN).when(decision == "dismiss", -PIN).otherwise(score)
 
 
-def unpinned(t: float | None) -> float | None:
-    """A threshold that lands on a pinned row decides nothing."""
-    return t if t is not None and abs(t) < PIN / 2 else None
-
+def settle(rows: DataFrame, tiers: Sequence[Tier]) -> tuple[DataFrame, list[tuple[float | None, float | None]]]:
+    """Rows with ``settled`` ('fire', 'dismiss', null) after all tiers in turn, and the thresholds of each.
 
-def cascade_cost(rows: DataFrame, target: float, score: str = "s", label: str = "y") -> float:
-    """False-alarm rate at the least recall of the target, tied scores together; 1 where it can't be reached."""
-    g = rows.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
-    w = Window.orderBy(F.desc(score)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    c = g.select(F.col(score), F.sum("_pos").over(w).alias("tp"), F.sum("_neg").over(w).alias("fp"), F.sum("_pos").over(Window.partitionBy()).alias("_allpos"), F.sum("_neg").over(Window.partitionBy()).alias("_allneg"))
-    r = c.filter((F.col("_allpos") > 0) & (F.col("_allneg") > 0) & (F.col("tp") / F.col("_allpos") >= target)).agg(F.min(F.col("fp") / F.col("_allneg"))).first()[0]
-    return 1.0 if r is None else float(r)
+    A tier only sees the rows that the tiers before left open, and its budgets cover their decisions too: what they have
+    fired or dismissed wrongly is spent.  A tier without a larger firing budget than the one before fires nothing.
+    """
+    out, cuts, before = rows.withColumn("settled", F.lit(None).cast("string")), [], 0.0
+    neg, pos = rows.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+    for t in tiers:
+        fired, dismissed = out.agg(F.count_if((F.col("settled") == "fire") & (F.col("y") == 0)), F.count_if((F.col("settled") == "dismiss") & (F.col("y") == 1))).first()
+        left = out.filter(F.col("settled").isNull())
+        fire = _place(left, 0, t.fire, fired, neg, t.score, True) if t.fire > before else None
+        dismiss = _place(left, 1, t.dismiss, dismissed, pos, t.score, False) if t.dismiss * pos >= 1 else None
+        out = out.withColumn("settled", F.coalesce("settled", tier_decision(F.col(t.score), fire, dismiss)))
+        cuts.append((fire, dismiss))
+        before = t.fire
+    return out, cuts
+
+
+def cascade_cost(rows: DataFrame, target: float, score: str = "s", label: str = "y", settled: str | None = None) -> float:
+    """False-alarm rate at the least recall of the target, tied scores together; 1 where it can't be reached.
+
+    Rows that tiers settled come first (fired) or last (dismissed).  The head's threshold is the score of the positive
+    that completes the recall, so one order statistic and one count suffice.
+    """
+    done = F.col(settled) if settled else F.lit(None).cast("string")
+    own = rows.select(F.col(score).cast("double").alias("s"), F.col(label).alias("y"), done.alias("d"))
+    pos, neg, hit, false = own.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0), F.count_if((F.col("y") == 1) & (F.col("d") == "fire")), F.count_if((F.col("y") == 0) & (F.col("d") == "fire"))).first()
+    if not pos or not neg:
+        return 1.0
+    need = next(k for k in range(max(0, math.floor(target * pos) - 1), pos + 2) if k / pos >= target) if target <= 1 else pos + 1
+    if hit >= need > 0 or not need:
+        return false / neg
+    left = own.filter("d is null")
+    t = kth(left.filter("y = 1"), need - hit, "s")
+    return 1.0 if t is None else (false + left.filter((F.col("y") == 0) & (F.col("s") >= t)).count()) / neg
 
 
 def choose_cascade(rows: DataFrame, budgets: dict[str, float], target_recall: float, reserve: float = 0.0) -> dict:
@@ -123,15 +159,10 @@ def choose_cascade(rows: DataFrame, budgets: dict[str, float], target_recall: fl
 
     budgets: edge_fire, edge_dismiss, and the cumulative middle_fire, middle_dismiss.
     """
-    etf, etd = fire_at(rows, budgets["edge_fire"], "edge"), dismiss_at(rows, budgets["edge_dismiss"], "edge")
-    e = rows.withColumn("_e", tier_decision(F.col("edge"), etf, etd)).withColumn("_m", pin(F.col("_e"), F.col("middle")))
-    mtf = unpinned(fire_at(e, budgets["middle_fire"], "_m")) if budgets["middle_fire"] > budgets["edge_fire"] else None
-    mtd = unpinned(dismiss_at(e, budgets["middle_dismiss"], "_m"))
-    e = e.withColumn("_md", F.when(F.col("_e").isNull(), tier_decision(F.col("middle"), mtf, mtd)))
-    target = min(0.99, target_recall + reserve)
-    two = cascade_cost(e.withColumn("_s", pin(F.col("_e"), F.col("head"))), target, "_s")
-    three = cascade_cost(e.withColumn("_s", pin(F.coalesce("_e", "_md"), F.col("head"))), target, "_s")
-    return {"cascade": three <= TOLERANCE["relative"] * two + TOLERANCE["absolute"], "two_tier": two, "three_tier": three}
+    edge, middle = (Tier(t, budgets[f"{t}_fire"], budgets[f"{t}_dismiss"]) for t in ("edge", "middle"))
+    goal = min(MOST_RECALL, target_recall + reserve)
+    cost = {name: cascade_cost(settle(rows, own)[0], goal, "head", settled="settled") for name, own in (("two_tier", [edge]), ("three_tier", [edge, middle]))}
+    return {"cascade": cost["three_tier"] <= TOLERANCE["relative"] * cost["two_tier"] + TOLERANCE["absolute"], **cost}
 
 
 def edge_ladder(shares: Sequence[float], target_recall: float) -> list[dict]:

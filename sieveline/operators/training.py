@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.folds import poly31
-from ..sources.shared import spread
-from . import evaluation, thresholds
-from .scoring import Head, calibrate, score
+from ..functions.vectors import dot, literal
+from ..sources.shared import save, spread
+from . import calibration as cals
+from . import evaluation, gates, thresholds, tiers
+from .scoring import Head, calibrate
 
 KNN_K, PCA_K, FOLDS, AUTO_MARGIN = 10, 50, 3, 0.2
+#: Thresholds that a certified precision is tried at, and partitions beyond which sums are added in groups first.
+CANDIDATES, WIDE = 150, 64
 #: References that a task holds at a time.
 REFERENCE_ROWS = 1 << 14
 
@@ -28,7 +31,8 @@ def _matrix(b: pa.RecordBatch, vector: str) -> np.ndarray:
 
 
 def _sums(rows: DataFrame, job, size: int) -> np.ndarray:
-    """Sum over all partitions of a vector that ``job`` gives per batch; each task sends one row."""
+    """Sum over all partitions of a vector that ``job`` gives per batch; of many tasks groups are added up before the driver."""
+    parts = rows.rdd.getNumPartitions()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
@@ -37,10 +41,17 @@ def _sums(rows: DataFrame, job, size: int) -> np.ndarray:
                 total += job(b)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
 
-    out = np.zeros(size)
-    for r in rows.mapInArrow(run, "v array<double>").toLocalIterator():
-        out += np.array(r.v)
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            total += np.asarray(b.column("v").flatten()).reshape(-1, size).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    each = rows.mapInArrow(run, "v array<double>")
+    if parts > WIDE:
+        each = each.repartition(int(parts**0.5)).mapInArrow(add, "v array<double>")
+    t = each.toArrow()
+    return np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, size).sum(0) if t.num_rows else np.zeros(size)
 
 
 def fit_linear(rows: DataFrame, width: int, *, c: float = 1.0, balance: bool = True, vector: str = "x", label: str = "y", weight: str | None = None, rounds: int = 30) -> tuple[np.ndarray, float, bool]:
@@ -51,6 +62,7 @@ def fit_linear(rows: DataFrame, width: int, *, c: float = 1.0, balance: bool = T
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     use = rows.select(F.transform(vector, lambda v: v.cast("double")).alias("x"), F.col(label).cast("double").alias("y"), w.alias("w")).filter((F.size("x") == width) & F.col("y").isNotNull())
+    use = save(use, "fit-rows")  # read once per round
     pos, total = use.agg(F.sum(F.col("w") * F.col("y")), F.sum("w")).first()
     if not total or not pos or pos >= total:
         raise ValueError("both classes are needed")
@@ -157,14 +169,12 @@ def route_rates(labels: DataFrame) -> DataFrame:
 
 def guarantee_cost(rows: DataFrame, target: float, kind: str = "recall", score_col: str = "s", label: str = "y") -> float:
     """False alarms at the target recall, or 1 - the best recall at the target precision; tied scores stay together."""
-    g = rows.groupBy(score_col).agg(F.sum(label).alias("_pos"), F.count(F.lit(1)).alias("_all"))
-    w = Window.orderBy(F.desc(score_col))
-    c = g.select(F.sum("_pos").over(w).alias("tp"), F.sum("_all").over(w).alias("fired"), F.sum("_pos").over(Window.partitionBy()).alias("_allpos"), F.sum("_all").over(Window.partitionBy()).alias("_allneg"))
     if kind == "recall":
-        r = c.filter(F.col("tp") >= target * F.col("_allpos") - 1e-12).agg(F.min((F.col("fired") - F.col("tp")) / (F.col("_allneg") - F.col("_allpos")))).first()[0]
-        return 1.0 if r is None else float(r)
-    r = c.filter(F.col("tp") >= target * F.col("fired") - 1e-12).agg(F.max(F.col("tp") / F.col("_allpos"))).first()[0]
-    return 1.0 - float(r or 0.0)
+        return tiers.cascade_cost(rows.withColumnsRenamed({score_col: "s", label: "y"}) if (score_col, label) != ("s", "y") else rows, target)
+    c = thresholds.running_sums(rows, score_col, {"tp": F.col(label), "fired": F.lit(1.0)})
+    total = rows.agg(F.sum(label)).first()[0] or 0
+    r = c.filter(F.col("tp") >= target * F.col("fired") - 1e-12).agg(F.max("tp")).first()[0]
+    return 1.0 - float(r or 0.0) / total if total else 1.0
 
 
 def choose_type(costs: dict[str, float], margin: float = AUTO_MARGIN) -> str:
@@ -173,85 +183,186 @@ def choose_type(costs: dict[str, float], margin: float = AUTO_MARGIN) -> str:
     return min(rest, key=lambda k: (rest[k], k)) if rest else "linear"
 
 
-def cross_validated(rows: DataFrame, width: int, *, key: str = "id", folds: int = FOLDS, **fit) -> DataFrame:
+def cross_validated(rows: DataFrame, width: int, *, key: str = "id", folds: int = FOLDS, vector: str = "x", **fit) -> DataFrame:
     """Rows with s, the raw score of a head trained on the other folds (folds by key hash)."""
     f = rows.withColumn("_fold", poly31(F.col(key).cast("string"), folds))
     out = None
     for k in range(folds):
-        w, b, _ = fit_linear(f.filter(F.col("_fold") != k), width, **fit)
-        part = score(f.filter(F.col("_fold") == k), [Head("cv", tuple(w), b)], "x").withColumn("s", F.log(F.col("p_cv") / (1 - F.col("p_cv")))).drop("p_cv", "_fold")
+        w, b, _ = fit_linear(f.filter(F.col("_fold") != k), width, vector=vector, **fit)
+        part = f.filter(F.col("_fold") == k).withColumn("s", raw_score(F.col(vector), w, b)).drop("_fold")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def train_heads(rows: DataFrame, policies: dict[str, dict], width: int, *, c: float = 1.0, delta: float = 0.05, review_ratio: float = 0.5, calibration: str = "platt-firth", max_ece: float = 0.05) -> dict[str, dict]:
-    """Per head: spec, guarantee, evaluation, failures and warnings.
-
-    rows: id, x, split (train, calibration, test), group and label columns y_<head> (null: not labelled).  The test split
-    chooses nothing.  A recall policy {'kind': 'recall', 'target_recall', 'mode', 'max_false_alarm'?, 'design_recall'?} goes
-    through the conformal selection; a precision policy {'kind': 'precision', 'target_precision'} fires at the target.
-    Scores of the calibration split reach the driver only for the two-parameter calibrator (one float pair per row).
-    """
-    out = {}
-    for name, policy in policies.items():
-        own = rows.withColumn("y", F.col(f"y_{name}")).filter("y is not null")
-        w, b, ok = fit_linear(own.filter("split = 'train'"), width, c=c)
-        raw = Head(name, tuple(float(v) for v in w), b)
-        cal = own.filter("split = 'calibration'")
-        pairs = score(cal, [raw], "x").select(F.col(f"p_{name}").alias("p"), "y").toArrow()
-        z, y = stats.logit(pairs.column("p").to_numpy()), pairs.column("y").to_numpy().astype(float)
-        if not len(y) or y.min() == y.max():
-            raise ValueError(f"head {name}: the calibration split needs both classes")
-        if calibration == "isotonic":
-            fit = ("isotonic", *map(tuple, stats.fit_isotonic(stats.sigmoid(z), y)))
-        else:
-            fit = ("platt", *stats.fit_platt(z, y, firth=calibration == "platt-firth"))
-        head = replace(raw, calibration=fit)
-        p = own.withColumn("p", calibrate_of(head))
-        pc = p.filter("split = 'calibration'")
-        warnings = [] if ok else ["the fit did not converge"]
-        failures: list[str] = []
-        if policy["kind"] == "recall":
-            pos = thresholds.group_scores(pc.filter("y = 1"), "group", "p", True)
-            neg = thresholds.group_scores(pc.filter("y = 0"), "group", "p", False)
-            limits = [("false_alarm", neg, policy["max_false_alarm"])] if policy.get("max_false_alarm") is not None else []
-            sel = thresholds.conformal_threshold(policy.get("mode", "auto"), policy["target_recall"], pos, limits, delta=delta, heuristic_available=policy.get("design_recall") is not None, allow_heuristic=policy.get("allow_heuristic", False))
-            t = sel.threshold if sel.threshold is not None else thresholds.pick_threshold(pc.filter("y = 1"), pc.filter("y = 0"), policy["design_recall"], policy.get("max_false_alarm"))
-            guarantee = {"kind": sel.kind, "mode": sel.mode, "alpha": sel.alpha, "delta": sel.delta, **sel.budgets}
-            failures += sel.failures
-            warnings += sel.warnings
-            if fit[0] == "platt" and fit[1] <= 0 and sel.kind != "none":
-                guarantee["kind"] = "none"
-                failures.append("the calibrator's slope is not positive, which voids the guarantee")
-        else:
-            t, guarantee = policy["target_precision"], {"kind": "none", "mode": "heuristic"}
-        if t <= 0:
-            failures.append("threshold of zero")
-            t = stats.next_up(1.0)
-        floor = t * review_ratio if policy.get("review_epsilon") is None else thresholds.review_floor(t, positives=pc.filter("y = 1"), epsilon=policy["review_epsilon"])
-        head = replace(head, threshold=float(t), review_floor=float(floor))
-        ev = evaluation.evaluate_head(p.filter("split = 'test'"), t, group="group", guarantee=guarantee, delta=delta)
-        bad, warn = evaluation.gate_head(policy, ev, max_ece=max_ece)
-        out[name] = {"spec": head, "guarantee": guarantee, "evaluation": ev, "failures": failures + bad, "warnings": warnings + warn}
-    return out
-
-
-def calibrate_of(head: Head):
-    from .scoring import head_probability
+def raw_score(vector: Column, w: np.ndarray, b: float) -> Column:
+    return dot(vector, literal(w)) + F.lit(float(b))
 
-    return head_probability(F.col("x"), head)
 
+def with_weak(train: DataFrame, weak: DataFrame, held: DataFrame, share: float = 0.5) -> tuple[DataFrame, dict]:
+    """Training rows with weak positives (id, x, weight, rule_id), and a summary per rule.
 
-def pooled_refit(z: Sequence[float], y: Sequence[float], old: tuple[float, float], levels: Sequence[float]) -> tuple[tuple[float, float], list[float]]:
-    """Refit Platt on calibration and test together; thresholds move so that no decision changes: each level keeps its raw score."""
-    a, c = stats.fit_platt(z, y, firth=True)
-    raw = [(math.log(min(max(t, 1e-300), 1 - 1e-16) / (1 - min(max(t, 1e-300), 1 - 1e-16))) - old[1]) / old[0] for t in levels]
-    zs = np.sort(np.asarray(z, float))
+    Weak rows carry a weight in [0, 1] and are scaled together to at most ``share`` of the gold positives' weight.  A weak
+    vector that a held row (calibration or test) also has is refused.
+    """
+    bad = weak.filter(~F.coalesce(F.col("weight").between(0, 1), F.lit(False))).limit(1).count()
+    if bad:
+        raise ValueError("weak weights must lie in [0, 1]")
+    v = F.transform("x", lambda e: e.cast("double"))
+    leak = weak.select("id", v.alias("x")).join(held.select(v.alias("x")).distinct(), "x", "left_semi").count()
+    if leak:
+        raise ValueError(f"{leak} weak rows have the vector of a calibration or test row")
+    gold = train.filter("y = 1").agg(F.sum("w")).first()[0] or 0.0
+    rules = {r.rule_id: {"rows": r.n, "weight": r.w} for r in weak.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).collect()}
+    total = sum(r["weight"] for r in rules.values())
+    scale = min(1.0, share * gold / total) if total else 1.0
+    more = weak.select(F.col("id").cast(train.schema["id"].dataType).alias("id"), v.alias("x"), F.lit(1).alias("y"), (F.col("weight") * scale).alias("w"), F.concat(F.lit("weak "), F.col("id").cast("string")).alias("key"))
+    return train.unionByName(more, allowMissingColumns=True), {"scale": scale, "rules": rules}
+
+
+class CalibrationRemainderError(ValueError):
+    """Rules and tiers decide every calibration row, so nothing is left to calibrate the head on."""
+
+
+def _recall(policy: dict, p: DataFrame, delta: float, background: DataFrame | None) -> dict:
+    """Threshold, guarantee, failures and warnings of a recall policy, by its mode."""
+    pos, neg = p.filter("y = 1"), p.filter("y = 0")
+    cap, rate = policy.get("max_false_alarm"), policy.get("background_rate") if background is not None else None
+    out = {"failures": [], "warnings": []}
+    if policy.get("mode", "auto") == "design":
+        goal = policy["target_recall"] + policy.get("reserve", 0.0)
+        t = thresholds.risk_threshold(pos.select(F.col("p").alias("s"), F.col("stratum").alias("h"), F.col("stratum_size").cast("double").alias("N")), 1 - goal, delta)
+        kind = "design"
+        if t is None:
+            out["failures" if not policy.get("allow_heuristic") else "warnings"].append(f"recall {goal} can't be held with the calibration sample")
+            t, kind = (thresholds.pick_threshold(pos, neg, policy["design_recall"]) if policy.get("allow_heuristic") else stats.next_up(1.0)), "none"
+        limits = [thresholds.false_alarm_cap(neg, cap)] if cap is not None else []
+        limits += [thresholds.false_alarm_cap(background, rate)] if rate is not None else []
+        if limits and max(limits) > t:
+            out["failures"].append(f"the false-alarm limits raise the threshold to {max(limits):.4g}, which voids the guarantee of {t:.4g}")
+            t, kind = max(limits), "none"
+        return out | {"threshold": t, "guarantee": {"kind": kind, "mode": "design", "alpha": 1 - policy["target_recall"], "delta": delta}}
+    per = thresholds.group_scores(pos, "group", "p", True), thresholds.group_scores(neg, "group", "p", False)
+    limits = [("false_alarm", per[1], cap)] if cap is not None else []
+    limits += [("background_rate", background, rate)] if rate is not None else []
+    sel = thresholds.conformal_threshold(policy.get("mode", "auto"), policy["target_recall"], per[0], limits, delta=delta, heuristic_available=policy.get("design_recall") is not None, allow_heuristic=policy.get("allow_heuristic", False))
+    t = sel.threshold if sel.threshold is not None else thresholds.pick_threshold(pos, neg, policy["design_recall"], cap)
+    g = {"kind": sel.kind, "mode": sel.mode, "alpha": sel.alpha, "delta": sel.delta, "sufficiency": sel.sufficiency, **sel.budgets}
+    if policy.get("slices"):
+        need = stats.minimum_samples(sel.alpha, sel.delta)
+        for r in evaluation.slices(pos, t, policy["slices"]).filter(F.col("positives") < need).orderBy("slice").collect():
+            out["warnings"].append(f"slice {r.slice}: {r.positives} calibration positives of {need} that a guarantee of its own would need")
+    return {"threshold": t, "guarantee": g, "failures": out["failures"] + sel.failures, "warnings": out["warnings"] + sel.warnings}
+
+
+def _precision(policy: dict, p: DataFrame, delta: float, reference: DataFrame | None) -> dict:
+    """Threshold of a precision policy: the target itself, or certified on a sampled calibration split."""
+    goal = policy["target_precision"]
+    if policy.get("mode") != "design":
+        return {"threshold": goal, "guarantee": {"kind": "none", "mode": "heuristic"}, "failures": [], "warnings": []}
+    qs = F.percentile_approx("p", [i / CANDIDATES for i in range(CANDIDATES)], 10 * CANDIDATES)
+    steps = (reference if reference is not None else p).agg(qs.alias("q")).first().q
+    rows = p.select(F.col("p").alias("s"), "y", F.col("stratum").alias("h"), F.col("stratum_size").cast("double").alias("N"))
+    most = thresholds.kth(p, max(1, policy.get("min_fired", gates.MIN_SUPPORT)), "p")  # fewer fired rows certify nothing
+    t = thresholds.design_precision(rows, [s for s in steps if most is None or s <= most], goal, delta)
+    fine = t is not None
+    return {"threshold": t if fine else stats.next_up(1.0), "guarantee": {"kind": "design" if fine else "none", "mode": "design", "metric": "precision", "alpha": 1 - goal, "delta": delta}, "failures": [] if fine else [f"no threshold holds precision {goal}"], "warnings": []}
+
+
+def train_heads(rows: DataFrame, policies: dict[str, dict], width: int, *, c: float = 1.0, delta: float = 0.05, review_ratio: float = 0.5, calibration: str = "platt-firth", max_ece: float = 0.05, calibration_alpha: float | None = None, calibration_gate: str = "cox-corrected", weak: dict[str, DataFrame] | None = None, max_weak_share: float = 0.5, background: DataFrame | None = None, refit: str = "none") -> dict[str, dict]:
+    """Per head: spec, features, guarantee, evaluation, failures and warnings.
+
+    rows: id, x, split (train, calibration, test), group and label columns y_<head> (null: not labelled); optional w
+    (training weight), finer (finer label), stratum and stratum_size (design modes), fired_<head> and dismissed_<head>
+    (decided by rules or tiers before).  The test split chooses nothing.  A policy names its ``type`` (linear, knn, stack,
+    finer, or auto among ``types``).  A recall policy {'kind': 'recall', 'target_recall', 'mode', 'max_false_alarm'?,
+    'design_recall'?} goes through the conformal selection or, in mode design, through the survey bounds; a precision
+    policy {'kind': 'precision', 'target_precision'} fires at the target, in mode design at a certified threshold.
+    Decided rows count with score 1 or 0 for recall, false alarms and precision and not for calibration.  refit 'pooled'
+    fits the calibrator again on calibration and test together; no decision changes.  No rows of a split reach the driver.
+    """
+    return {name: _train_head(rows, name, policy, width, c, delta, review_ratio, calibration, max_ece, calibration_alpha, calibration_gate, (weak or {}).get(name), max_weak_share, background, refit) for name, policy in policies.items()}
+
+
+def _train_head(rows, name, policy, width, c, delta, review_ratio, method, max_ece, alpha, gate, weak, max_weak_share, background, refit) -> dict:
+    from . import features as feats
+
+    warnings: list[str] = []
+    fired, dismissed = (F.coalesce(F.col(f"{k}_{name}"), F.lit(False)) if f"{k}_{name}" in rows.columns else F.lit(False) for k in ("fired", "dismissed"))
+    own = rows.withColumn("y", F.col(f"y_{name}")).withColumn("preset", F.when(fired & dismissed, -1.0).when(fired, 1.0).when(dismissed, 0.0)).filter("y is not null")
+    if own.filter("preset < 0").limit(1).count():
+        raise ValueError(f"head {name}: rows are both fired and dismissed")
+    key = F.coalesce(F.col("group").cast("string"), F.col("id").cast("string"))
+    more = ["finer"] if "finer" in rows.columns else []
+    train = own.filter("split = 'train'").select("id", F.transform("x", lambda v: v.cast("double")).alias("x"), "y", (F.col("w").cast("double") if "w" in rows.columns else F.lit(1.0)).alias("w"), key.alias("key"), *more)
+    held = own.filter("split in ('calibration', 'test')")
+    summary = None
+    if weak is not None:
+        train, summary = with_weak(train, weak, held, max_weak_share)
+    train = save(train, "training-rows")
+    kinds = policy.get("types", ("linear", "knn", "stack")) if policy.get("type") == "auto" else (policy.get("type", "linear"),)
+    fits, costs = {}, {}
+    for kind in kinds:
+        model, f = feats.fit_features(train, kind, width, c=c)
+        f = save(train.join(f, "id").select("id", "key", "f", "y", "w"), "training-features")
+        fits[kind] = model, f
+        if len(kinds) > 1:
+            scores = cross_validated(f, feats.feature_width(kind, width), key="key", vector="f", c=c, weight="w")
+            costs[kind] = guarantee_cost(scores, policy.get("target_recall", policy.get("target_precision")), policy["kind"])
+    kind = choose_type(costs) if len(kinds) > 1 else kinds[0]
+    model, f = fits[kind]
+    w, b, ok = fit_linear(f, feats.feature_width(kind, width), c=c, vector="f", weight="w")
+    if not ok:
+        warnings.append("the fit did not converge")
+    vectors = held.select("id", "x").dropDuplicates(["id"])
+    scored = held.drop("x", "f").join(model.apply(vectors), "id").withColumn("z", raw_score(F.col("f"), w, b)).drop("f")
+    scored = save(scored, "head-scores")
+    cal = scored.filter("split = 'calibration' and preset is null")
+    n, pos = cal.agg(F.count(F.lit(1)), F.sum("y")).first()
+    if not n:
+        raise CalibrationRemainderError(f"head {name}: no calibration row is left undecided")
+    if not 0 < pos < n:
+        raise ValueError(f"head {name}: the calibration split needs both classes")
+    pair = None
+    if method == "isotonic":
+        fit = ("isotonic", *map(tuple, cals.fit_isotonic(cal.withColumn("p", 1 / (1 + F.exp(-F.col("z")))))))
+    else:
+        pair = cals.fit_pair(cal, firth=method == "platt-firth")
+        fit = ("platt", pair.a, pair.c)
+    head = Head(name, tuple(float(v) for v in w), b, fit, features=None if kind == "linear" else kind)
+    p = scored.withColumn("p", F.coalesce("preset", calibrate(F.col("z"), fit)))
+    apply = lambda d: model.apply(d.select("id", "x")).select("id", calibrate(raw_score(F.col("f"), w, b), fit).alias("p"))
+    back = save(apply(background), "head-background") if background is not None and policy.get("background_rate") is not None else None
+    pc = p.filter("split = 'calibration'")
+    chosen = _recall(policy, pc, delta, back) if policy["kind"] == "recall" else _precision(policy, pc, delta, back)
+    t, guarantee, failures = chosen["threshold"], chosen["guarantee"], list(chosen["failures"])
+    warnings += chosen["warnings"]
+    if fit[0] == "platt" and fit[1] <= 0 and guarantee["kind"] != "none":
+        guarantee["kind"] = "none"
+        failures.append("the calibrator's slope is not positive, which voids the guarantee")
+    if t <= 0:
+        failures.append("threshold of zero")
+        t = stats.next_up(1.0)
+    if back is not None:
+        guarantee["background_upper"] = thresholds.background_upper(back, t, policy["background_rate"], 1 - delta)
+    floor = t * review_ratio if policy.get("review_epsilon") is None else thresholds.review_floor(t, positives=pc.filter("y = 1"), epsilon=policy["review_epsilon"])
+    test = p.filter("split = 'test'").withColumn("decided", F.col("preset").isNotNull())
+    ev = evaluation.evaluate_head(test, t, group="group", decided="decided", fields=policy.get("slices", ()), guarantee=guarantee, delta=delta, gate=gate if alpha is not None else None, calibrator=pair, floor=floor, alpha=alpha)
+    if "stratum_size" in rows.columns:
+        ev["design"] = evaluation.design_estimates(test.filter("stratum_size is not null"), t)
+    bad, warn = gates.gate_head(policy, ev, max_ece=max_ece, calibration_alpha=alpha, calibration=ev.get("calibration_test"))
+    if refit == "pooled" and pair is not None and pair.a > 0 and t <= 1:
+        again, levels = pooled_refit(scored.filter("preset is null"), (pair.a, pair.c), [t, floor])
+        head, t, floor = replace(head, calibration=("platt", again.a, again.c)), *levels
+    head = replace(head, threshold=float(t), review_floor=float(floor))
+    return {"spec": head, "type": kind, "costs": costs, "features": model, "weak": summary, "guarantee": guarantee, "evaluation": ev, "failures": failures + bad, "warnings": warnings + warn}
+
+
+def pooled_refit(rows: DataFrame, old: tuple[float, float], levels: Sequence[float]) -> tuple[cals.Pair, list[float]]:
+    """The pair fitted on all rows (z, y), and the levels moved so that no row changes sides: each goes to the least score that reached it."""
+    new = cals.fit_pair(rows, firth=True)
     out = []
-    for r in raw:
-        i = int(np.searchsorted(zs, r - 1e-12))
-        out.append(float(stats.sigmoid(a * (zs[i] if i < len(zs) else r) + c)))
-    return (a, c), out
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["calibrate"]
+    for t in levels:
+        z = (float(stats.logit(t)) - old[1]) / old[0]
+        least = rows.filter(F.col("z") >= z - 1e-12).agg(F.min("z")).first()[0]
+        out.append(float(stats.sigmoid(new.a * (z if least is None else least) + new.c)))
+    return new, out

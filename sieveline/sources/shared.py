@@ -1,11 +1,15 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests, notebooks)
-a temporary folder of this machine is used and entered into the session.
+The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset and the session is local (tests,
+notebooks) a temporary folder of this machine is used, entered into the session and removed at its end; on a cluster an
+unset folder is an error.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -15,10 +19,14 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; set to a temporary one where the session names none."""
+    """The shared folder; set to a temporary one where a local session names none."""
     at = spark.sparkContext.getConf().get(KEY) or spark.conf.get(KEY, None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sieveline-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"set {KEY} to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sieveline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = "file://" + folder
         spark.conf.set(KEY, at)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -47,3 +55,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session's runs; no result that reads them may be in use."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sieveline")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import vectors
 from sieveline.functions.text import group_key, truncate_text
-from sieveline.operators import artifact, design, documents, evaluation, records, retrieval, scoring, thresholds, tiers, training
+from sieveline.operators import artifact, design, documents, evaluation, gates, records, retrieval, scoring, thresholds, tiers, training
 from sieveline.operators.scoring import Head, Policy
 from sieveline.sources.cache import EmbeddingCache, read_binary, text_key, write_binary
 from sieveline.streaming import monitor
@@ -86,11 +86,11 @@ def test_evaluate_and_gate(spark):
     assert (e["caught"], e["false_alarms"], e["positive_groups"]) == (2, 1, 2)
     assert e["vs_baseline"] == {"both": 1, "classifier_only": 1, "baseline_only": 0, "neither": 1}
     assert e["slices"] == {"web=x": {"positives": 3, "recall": pytest.approx(2 / 3)}}
-    bad, warn = evaluation.gate_head({"kind": "recall", "target_recall": 0.9}, e)
+    bad, warn = gates.gate_head({"kind": "recall", "target_recall": 0.9}, e)
     assert any("recall" in x for x in bad) and any("positives" in x for x in warn)
-    assert evaluation.gate_head({"kind": "recall", "target_recall": 0.9}, e | {"threshold": math.nextafter(1, 2)})[0][0].startswith("disabled")
+    assert gates.gate_head({"kind": "recall", "target_recall": 0.9}, e | {"threshold": math.nextafter(1, 2)})[0][0].startswith("disabled")
     never = evaluation.evaluate_head(df, 0.99)
-    assert math.isnan(never["precision"]) and "never fires" in evaluation.gate_head({"kind": "precision", "target_precision": 0.5}, never)[0][0]
+    assert math.isnan(never["precision"]) and "never fires" in gates.gate_head({"kind": "precision", "target_precision": 0.5}, never)[0][0]
     assert "| head |" in evaluation.report_markdown({"h": {"evaluation": e, "failures": bad, "warnings": warn}})
 
 
@@ -193,9 +193,13 @@ def test_artifact_validation_and_round_trip(spark):
     back = artifact.decode_reference(artifact.encode_reference(rows, "int8"))
     assert back[0] == pytest.approx(rows[0], abs=0.5 / 127) and back[1] == rows[1]
     assert artifact.check_pairing({"a": "1", "b": "2"}, {"a": "1", "b": "3", "c": "4"}) == ["b", "c"]
-    assert artifact.publish_plan(True, promote=True, generated=True) == (None, "generated training data needs evidence from a shadow evaluation")
-    assert artifact.publish_plan(True, promote=True) == ("promoted", None) and artifact.publish_plan(False)[1] == "gates failed"
-    assert artifact.load_order("shadow", "p", "c")[0] == ("c", "shadow-candidate") and artifact.load_order("enforce", "p", "c") == [("p", "promoted")]
+    good, bad = {"gates": {"passed": True}}, {"gates": {"passed": False}}
+    assert artifact.publication(good, {"promoted"}, generated=True) == (None, ["evidence"]) and artifact.publication(good, {"promoted"}, blocked=True)[1] == ["unblocked"]
+    assert artifact.publication(good, {"promoted"}) == ("promoted", []) and artifact.publication(bad, set()) == (None, ["gates or leave"])
+    assert artifact.publication(bad, {"shadow-candidate"})[0] == "shadow-candidate" and artifact.publication(good, {"promoted", "shadow-candidate"})[1] == ["one role"]
+    places = {"promoted": "p", "shadow-candidate": "c"}
+    assert artifact.load_order("shadow", places)[0] == ("c", "shadow-candidate") and artifact.load_order("enforce", places) == [("p", "promoted")]
+    assert not artifact.servable("enforce", bad) and artifact.servable("shadow", bad)
 
 
 def test_document_chunks_keep_all_sentences(spark):
