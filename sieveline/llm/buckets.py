@@ -21,6 +21,8 @@ from .common import mix
 
 #: Members of a run that one task compares at most; rows that it takes at a time.
 HOT, CHUNK = 4096, 1 << 18
+#: Bytes of a row in a shuffle.
+ROW_BYTES = 24
 #: Sets of more members are sketched by the lowest bits of minima instead of by parities.
 LONG = 128
 #: Of the 128 bits of two such sketches at Jaccard similarity 0.7 19.2 differ on average, with a deviation of 4.0.
@@ -162,12 +164,13 @@ def _members(cols: dict[str, np.ndarray]) -> pa.RecordBatch:
     return _batch(np.stack([cols["s1"], cols["s2"], cols["n"].astype(np.int64), cols["side"].astype(np.int64), zero, zero], 1), cols["key"])
 
 
-def candidates(rows: DataFrame, name: str, near: Filter, *, sided: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def candidates(rows: DataFrame, name: str, near: Filter, *, sided: bool = False, refine: Callable[[DataFrame], DataFrame] | None = None, expected: int = 0) -> DataFrame:
     """Different pairs (a1, a2, an, b1, b2, bn) of sketches and sizes that share a key and pass ``near``; written to the shared folder.
 
     sided: only pairs of side 0 (a) with side 1 (b); else different sketches or sizes, a < b.  Repeated rows
     count once.  Keys are not 0 (callers move it).  refine: of the members (s1, s2, n) of hot runs, rows with finer
-    keys, whose runs are compared instead; without it a hot run is compared in pairs of blocks.
+    keys, whose runs are compared instead; without it a hot run is compared in pairs of blocks.  expected: about how
+    many rows there are, for the number of partitions where the session's is too small.
     """
     use = rows.select("key", "s1", "s2", "n", *([F.col("side").cast("byte").alias("side")] if sided else []))
 
@@ -244,7 +247,9 @@ def candidates(rows: DataFrame, name: str, near: Filter, *, sided: bool = False,
         if held:
             yield from flush(True)
 
-    raw = save(use.repartition("key").sortWithinPartitions("key").mapInArrow(run, PAIRS), name)
+    parts = expected * ROW_BYTES >> 26  # of 64 MB
+    few = parts <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    raw = save((use.repartition("key") if few else use.repartition(parts, "key")).sortWithinPartitions("key").mapInArrow(run, PAIRS), name)
     pairs = raw.filter(F.col("key") == 0).select(*ENDS)
     hot = raw.filter(F.col("key") != 0).select("key", F.col("a1").alias("s1"), F.col("a2").alias("s2"), F.col("an").alias("n"), F.col("b1").cast("byte").alias("side"))
     if hot.isEmpty():

@@ -76,7 +76,7 @@ def class_links(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int
     def finer(hot: DataFrame) -> DataFrame:
         return band_rows(records_of(sets, hot), FINE_BANDS, FINE_ROWS)
 
-    near = save(candidates(band_rows(sets, bands, rows), f"{name}-candidates", AlikeSets(threshold), refine=finer), f"{name}-near")
+    near = save(candidates(band_rows(sets, bands, rows), f"{name}-candidates", AlikeSets(threshold), refine=finer, expected=sets.count() * bands), f"{name}-near")
     return save(verify(near, sets, threshold), name)
 
 

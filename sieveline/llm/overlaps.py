@@ -171,7 +171,7 @@ def text_overlaps(texts: DataFrame, threshold: float, min_words: int, gram: int
     def finer(hot: DataFrame) -> DataFrame:
         return fingerprints(records_of(long, hot), FINE_BANDS, FINE_ROWS, False)
 
-    near = save(candidates(fingerprints(long), "overlap-prints", AlikeSets(threshold), sided=True, refine=finer), "overlap-near")
+    near = save(candidates(fingerprints(long), "overlap-prints", AlikeSets(threshold), sided=True, refine=finer, expected=texts.count() * 2 * BANDS), "overlap-near")
     w = save(records_of(long, ends(near)).select("s1", "s2", "n", "side", "ck", "seq").dropDuplicates(["side", "ck"]), "overlap-sequences")
     side = lambda k, e: named(w.filter(F.col("side") == k).drop("side").withColumnsRenamed({"ck": e, "seq": f"w{e}"}), e)
     both = near.join(side(0, "a"), ["a1", "a2", "an"]).join(side(1, "b"), ["b1", "b2", "bn"]).select("a", "b", "wa", "wb")
