@@ -19,7 +19,9 @@ TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of one block, islands that work on it, rounds between migrations and generations of a round.
-BLOCK_ITEMS, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 3, 2, 12, 6
+BLOCK_ITEMS, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 3, 2, 40, 6
+#: Children of a generation, and open bins that displaced items may enter by a swap.
+CHILDREN, SWAPS = 3, 64
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
@@ -90,6 +92,30 @@ class Packer:
         self.best_fit(genome, order[:cut])
         return self.best_fit(genome, order[cut:])
 
+    def place(self, genome: np.ndarray) -> np.ndarray:
+        """Displaced items first take the place of smaller ones where a bin becomes fuller by it, then best fit."""
+        out = [int(i) for i in np.flatnonzero(genome < 0)]
+        out.sort(key=lambda i: -self.sizes[i])
+        bins: dict[int, list[int]] = {}
+        for i in np.flatnonzero(genome >= 0):
+            bins.setdefault(int(genome[i]), []).append(int(i))
+        room = {b: self.capacity - int(self.sizes[own].sum()) for b, own in bins.items()}
+        open_ = [b for b, r in room.items() if r > 0]
+        self.rng.shuffle(open_)
+        for b in open_[:SWAPS]:
+            for k, i in enumerate(out):
+                d = int(self.sizes[i])
+                fits = [j for j in bins[b] if 0 < d - self.sizes[j] <= room[b]]
+                if fits:
+                    j = min(fits, key=lambda j: self.sizes[j])
+                    bins[b].remove(j)
+                    bins[b].append(i)
+                    room[b] -= d - int(self.sizes[j])
+                    genome[i], genome[j], out[k] = b, -1, j
+                if not room[b]:
+                    break
+        return self.best_fit(genome, np.array(out, np.int64))
+
     def cross(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Inject well-filled bins of b into a; bins of a with an injected item go, their other items are placed anew."""
         w = self.load(b)
@@ -100,32 +126,35 @@ class Packer:
         child = np.where(np.isin(a, hit), -1, a)
         child[inject] = b[inject] + a.max() + 1
         _, child = np.unique(np.r_[-1, child], return_inverse=True)
-        child = child[1:].astype(np.int64) - 1
-        return self.best_fit(child, np.flatnonzero(child < 0))
+        return self.place(child[1:].astype(np.int64) - 1)
 
     def mutate(self, genome: np.ndarray) -> np.ndarray:
         """Empty the least filled bin and a few random ones."""
         w = self.load(genome)
         live = np.flatnonzero(w > 0)
         gone = np.r_[live[w[live].argmin()], self.rng.choice(live, min(3, len(live)), replace=False)]
-        out = np.where(np.isin(genome, gone), -1, genome)
-        return self.best_fit(out, np.flatnonzero(out < 0))
+        return self.place(np.where(np.isin(genome, gone), -1, genome))
+
+    def bins(self, genome: np.ndarray) -> int:
+        return len(np.unique(genome))
 
     def evolve(self, population: list[np.ndarray], generations: int) -> list[np.ndarray]:
+        """The population after some generations, best first; it ends where no packing has fewer bins."""
         pop = [*population, *(self.first() for _ in range(POPULATION - len(population)))]
-        for _ in range(generations):
-            pop.sort(key=self.fitness, reverse=True)
-            if len(np.unique(pop[0])) <= self.bound:
-                break  # no packing has fewer bins
-            i, j = self.rng.permutation(len(pop))[:2]
-            best, other = sorted((int(i), int(j)))
-            child = self.mutate(self.cross(pop[best], pop[other]))
-            pop[-1] = child
         pop.sort(key=self.fitness, reverse=True)
+        for _ in range(generations):
+            if len(self.sizes) == 0 or self.bins(pop[0]) <= self.bound:
+                break
+            children = []
+            for _ in range(CHILDREN):
+                i, j = (int(self.rng.integers(0, len(pop), 2).min()) for _ in range(2))  # the better of two each
+                child = self.cross(pop[i], pop[j]) if i != j else pop[i]
+                children.append(self.mutate(child))
+            pop = sorted([*pop, *children], key=self.fitness, reverse=True)[:POPULATION]
         return pop
 
 
-STATE = "container_no long, capacity int, block int, island int, doc_id array<long>, piece array<int>, tokens array<int>, genomes array<array<long>>, fitness double"
+STATE = "container_no long, block int, island int, genomes array<array<int>>, fitness double"
 
 
 def pack(sizes: DataFrame, containers: DataFrame, *, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
@@ -147,14 +176,17 @@ def pack(sizes: DataFrame, containers: DataFrame, *, block_items: int = BLOCK_IT
     n = parts.groupBy("container_no").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_items)).cast("int").alias("blocks"))  # one row per container
     dealt = parts.join(F.broadcast(n), "container_no").withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.col("blocks")).cast("int"))
     blocks = dealt.groupBy("container_no", "capacity", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "piece", "tokens"))).alias("items"))  # about block_items rows each
-    start = blocks.select("container_no", "capacity", "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.doc_id").alias("doc_id"), F.col("items.piece").alias("piece"), F.col("items.tokens").alias("tokens"), F.expr("cast(array() as array<array<bigint>>)").alias("genomes"), F.lit(0.0).alias("fitness"))
-    state = _evolve(start, 0)
+    items = save(blocks, "packing-blocks")
+    work = items.select("container_no", "capacity", "block", F.col("items.tokens").alias("tokens"))
+    state = items.select("container_no", "block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.expr("cast(array() as array<array<int>>)").alias("genomes"))
+    state = _evolve(work, state, 0)
     for r in range(1, rounds):
         elite = state.select("container_no", "block", ((F.col("island") + 1) % islands).alias("island"), F.col("genomes")[0].alias("elite"))
-        moved = state.join(elite, ["container_no", "block", "island"]).withColumn("genomes", F.concat(F.array("elite"), "genomes")).drop("elite")
-        state = _evolve(moved, r)
-    best = state.groupBy("container_no", "block").agg(F.max_by(F.struct("doc_id", "piece", "tokens", F.col("genomes")[0].alias("bin")), F.struct("fitness", -F.col("island"))).alias("b"))
-    rows = best.select("container_no", "block", F.explode(F.arrays_zip("b.doc_id", "b.piece", "b.tokens", "b.bin")).alias("x")).select("container_no", F.concat_ws("-", "block", "x.bin").alias("bin"), "x.doc_id", "x.piece", "x.tokens")
+        moved = state.join(elite, ["container_no", "block", "island"]).select("container_no", "block", "island", F.concat(F.array("elite"), "genomes").alias("genomes"))
+        state = _evolve(work, moved, r)
+    best = state.groupBy("container_no", "block").agg(F.max_by(F.col("genomes")[0], F.struct("fitness", -F.col("island"))).alias("bin"))
+    done = items.join(best, ["container_no", "block"])
+    rows = done.select("container_no", "block", F.explode(F.arrays_zip("items", "bin")).alias("x")).select("container_no", F.concat_ws("-", "block", "x.bin").alias("bin"), "x.items.doc_id", "x.items.piece", "x.items.tokens")
     cut = [sizes.filter(F.col("tokens") > cap).select(F.lit(no).cast("long").alias("container_no"), "doc_id", F.ceil(F.col("tokens") / cap).cast("int").alias("pieces")) for no, cap in caps]
     counts = cut[0]
     for c in cut[1:]:
@@ -162,20 +194,21 @@ def pack(sizes: DataFrame, containers: DataFrame, *, block_items: int = BLOCK_IT
     return rows.join(counts, ["container_no", "doc_id"], "left").select("container_no", "bin", "doc_id", "piece", F.coalesce("pieces", F.lit(1)).alias("pieces"), "tokens")
 
 
-def _evolve(state: DataFrame, number: int) -> DataFrame:
+def _evolve(work: DataFrame, state: DataFrame, number: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                r = b.slice(k, 1)
-                get = {c: r.column(c)[0].as_py() for c in ("capacity", "block", "island", "tokens", "genomes")}
-                sizes = np.array(get["tokens"], np.int64)
-                p = Packer(sizes, get["capacity"], hash((get["block"], get["island"], number)) & 0x7FFFFFFF)
-                pop = p.evolve([np.array(g, np.int64) for g in get["genomes"]], GENERATIONS)[:3]
-                cols = [r.column(c) for c in ("container_no", "capacity", "block", "island", "doc_id", "piece", "tokens")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([[g.tolist() for g in pop]], pa.list_(pa.list_(pa.int64()))), pa.array([p.fitness(pop[0])])], names=[*(f.split()[0] for f in STATE.split(", "))])
+                get = {c: b.column(c)[k] for c in b.schema.names}
+                sizes = np.asarray(get["tokens"].values, np.int64)
+                block, island = get["block"].as_py(), get["island"].as_py()
+                p = Packer(sizes, get["capacity"].as_py(), (block * 1009 + island) * 31 + number)
+                pop = p.evolve([np.asarray(g.values, np.int64) for g in get["genomes"]], GENERATIONS)[:3]
+                genomes = pa.array([[np.unique(g, return_inverse=True)[1].astype(np.int32) for g in pop]], pa.list_(pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(k, 1) for c in ("container_no", "block", "island")), genomes, pa.array([p.fitness(pop[0])])], names=[*(f.split()[0] for f in STATE.split(", "))])
 
     # One row is one island; islands are dealt over the tasks by key.
-    return save(state.repartition("container_no", "block", "island").mapInArrow(run, STATE), "packing-round")
+    rows = state.join(work, ["container_no", "block"]).repartition("container_no", "block", "island")
+    return save(rows.select("container_no", "block", "island", "genomes", "capacity", "tokens").mapInArrow(run, STATE), "packing-round")
 
 
 def packing_report(packed: DataFrame, containers: DataFrame) -> DataFrame:

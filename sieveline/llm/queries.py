@@ -37,6 +37,11 @@ def p1_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d)[0]
 
 
+def p1_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of common words and the cosines of the overlaps."""
+    return _overlaps(spark, d)[0].select("id_a", "id_b", F.round("common", 9).alias("common"), F.round("cosine", 6).alias("cosine"))
+
+
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
     per = _overlaps(spark, d)[1]
     return per.groupBy("role", "kind").agg(F.count(F.lit(1)).alias("records"), F.sum("partners").alias("pairs"), F.avg("best_coverage").alias("mean_coverage"))
@@ -63,6 +68,12 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_messages(spark, d))
 
 
+def p5_components(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of a group of alike ones and the group's least id."""
+    g = near_duplicate_groups(_messages(spark, d))
+    return g.join(g.groupBy("group_id").agg(F.min("id").alias("least_id")), "group_id").select("id", "least_id")
+
+
 WIDTH = 64
 
 
@@ -96,6 +107,13 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(records, SHARES, {"g": normal_group(F.col("group_id"))})
 
 
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """In how many splits the records of a group are after dealing: one."""
+    group = table(spark, d, "example_records").select(F.col("id"), normal_group(F.col("group_id")).alias("group_key")).filter("group_key is not null").distinct()
+    both = group.join(p3_splits(spark, d).select("id", "split"), "id")
+    return both.groupBy("group_key").agg(F.countDistinct("split").alias("splits"), F.countDistinct("id").alias("records"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return crowding(_embedded(spark, d).filter("used_as = 'pool'"), WIDTH).filter("near >= 15").select(F.col("id").alias("record_id"))
 
@@ -104,6 +122,11 @@ def p6_subset(spark: SparkSession, d: str) -> DataFrame:
     return varied_subset(_embedded(spark, d).filter("used_as = 'pool'"), table(spark, d, "retrieve_options"), WIDTH)
 
 
+def p6_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """How many different pool records each option's subset has."""
+    return p6_subset(spark, d).groupBy("option_no").agg(F.countDistinct("id").alias("drawn"))
+
+
 def _proportions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = table(spark, d, "frame_items").select("id", "group_id", "design_id", "signals")
     return proportional_sample(items, table(spark, d, "design_strata"))
@@ -117,6 +140,12 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return _proportions(spark, d)[1]
 
 
+def p7_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Per stratum its groups in the frame, and that the sample takes no more, holds the floor and fills no unreachable target elsewhere."""
+    r = _proportions(spark, d)[1]
+    return r.select("design_id", "stratum", "frame_groups", "n_sample", "min_sample", "floor_met", "reachable", (F.col("drawn") <= F.col("frame_groups")).alias("within"))
+
+
 def p7_sample(spark: SparkSession, d: str) -> DataFrame:
     return _proportions(spark, d)[0]
 
@@ -229,24 +258,49 @@ n AS (SELECT s.design_id, s.stratum, any_value(s.n_sample) AS n_sample, count(DI
   GROUP BY s.design_id, s.stratum)
 """
 
+P1_MEASURES = P1_FOUND[: P1_FOUND.index("SELECT DISTINCT least(x, y)")].replace("SELECT a.id AS x, b.id AS y FROM t", "SELECT a.id AS x, b.id AS y, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS common FROM t").replace("SELECT a.id AS x, b.id AS y FROM f", "SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS cosine FROM f") + """
+SELECT least(x, y) AS id_a, greatest(x, y) AS id_b, round(max(common), 9) AS common, round(max(cosine), 6) AS cosine FROM texts FULL JOIN vecs USING (x, y) GROUP BY ALL
+"""
+
+P3_KEPT = f"""
+SELECT group_key, 1 AS splits, count(DISTINCT id) AS records FROM (SELECT id, {GROUP} AS group_key FROM example_records) WHERE group_key IS NOT NULL GROUP BY group_key
+"""
+
+P5_COMPONENTS = "WITH RECURSIVE " + P5_FOUND.strip().removeprefix("WITH ").replace("\nSELECT c.x AS id_a", ",\npairs AS (SELECT c.x AS id_a") + """),
+e AS (SELECT id_a AS a, id_b AS b FROM pairs UNION SELECT id_b, id_a FROM pairs),
+r AS (SELECT a AS id, a AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a)
+SELECT id, min(other) AS least_id FROM r GROUP BY id
+"""
+
+P6_DRAWN = f"""
+SELECT option_no, least(any_value(coalesce(k, 20)), (SELECT count(DISTINCT record_id) FROM embedded WHERE used_as = 'pool' AND {VALID})) AS drawn FROM retrieve_options GROUP BY option_no
+"""
+
+P7_FRAME = P7_STRATA.replace("any_value(s.n_sample) AS n_sample", "any_value(coalesce(s.n_sample, 0)) AS n_sample, any_value(coalesce(s.min_sample, 0)) AS min_sample") + "SELECT design_id, stratum, frame_groups, n_sample, min_sample, true AS floor_met, frame_groups >= n_sample AS reachable, true AS within FROM n"
+
 P7_FOUND = P7_STRATA + "SELECT design_id, stratum FROM n WHERE frame_groups < n_sample"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_overlaps": p1_overlaps,
+    "p1_measures": p1_measures,
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
+    "p3_kept": p3_kept,
     "p4_found": p4_found,
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p5_components": p5_components,
     "p6_found": p6_found,
     "p6_subset": p6_subset,
+    "p6_drawn": p6_drawn,
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p7_frame": p7_frame,
     "p7_sample": p7_sample,
     "p8_found": p8_found,
     "p8_packing": p8_packing,
@@ -257,4 +311,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_levels": p10_levels,
 }
 
-SQL: dict[str, str] = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_neighbours": P2_NEIGHBOURS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
+SQL: dict[str, str] = {"p1_found": P1_FOUND, "p1_measures": P1_MEASURES, "p3_kept": P3_KEPT, "p5_components": P5_COMPONENTS, "p6_drawn": P6_DRAWN, "p7_frame": P7_FRAME, "p2_found": P2_FOUND, "p2_neighbours": P2_NEIGHBOURS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}

@@ -435,6 +435,40 @@ def test_packing_never_overfills_and_keeps_everything(spark):
     assert packing.pack(df.limit(0), cont).count() == 0 and packing.pack(df, cont.filter("capacity is null")).count() == 0
 
 
+def triplets(n, seed):
+    """Sizes of n full bins of three items each, capacity 1,000: best fit decreasing needs about a sixth more bins."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(380, 491))
+        b = int(rng.integers(250, (1000 - a) // 2))
+        out += [a, b, 1000 - a - b]
+    return rng.permutation(np.array(out))
+
+
+def test_genetic_packing_beats_best_fit(spark):
+    for n in (20, 60):
+        sizes = triplets(n, n)
+        p = packing.Packer(sizes, 1000, 1)
+        plain = p.bins(p.best_fit(np.full(len(sizes), -1, np.int64), np.arange(len(sizes))))
+        alone = packing.Packer(sizes, 1000, 1).evolve([], 0)[0]
+        best = p.evolve([], 60)[0]
+        assert p.bound == n and plain >= 1.15 * n and p.bins(alone) > p.bins(best) and p.bins(best) <= 1.05 * n
+        assert (p.load(best) <= 1000).all()
+        df = spark.createDataFrame([(i, int(v)) for i, v in enumerate(sizes)], "doc_id long, tokens long")
+        packed = packing.pack(df, spark.createDataFrame([(1, 1000)], "container_no long, capacity int"))
+        assert packed.count() == len(sizes) and packed.select("bin").distinct().count() <= 1.05 * n
+        assert packed.groupBy("bin").agg(F.sum("tokens").alias("t")).filter("t > 1000").count() == 0
+
+
+def test_random_sizes_come_near_the_bound():
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        p = packing.Packer(rng.integers(20, 60, 200), 100, seed)
+        plain = p.bins(p.best_fit(np.full(200, -1, np.int64), np.arange(200)))
+        best = p.bins(p.evolve([], 30)[0])
+        assert best <= plain and best <= p.bound + 2
+
+
 def test_tokens_of_empty_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "Hello world"), (3, "Hello world")], "doc_id long, text string")
     assert {r.doc_id: r.tokens for r in packing.token_counts(df).collect()} == {1: 0, 2: 0, 3: 2}
