@@ -27,14 +27,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it within ``body``: lambdas would evaluate it per element."""
     return F.transform(F.array(value), body)[0]
 
 
 def unit(a: Column) -> Column:
     """Unit length in doubles; an all-zero vector stays as it is."""
-    return _let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
+    return let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def literal(values: list[float]) -> Column:
@@ -108,7 +108,7 @@ def int8(a: Column) -> Column:
     """(scale, q): values rounded half up to -127..127 at scale = greatest magnitude / 127, or 1."""
     top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
     scale = F.when(top > 0, top / 127).otherwise(F.lit(1.0))
-    return _let(scale, lambda k: F.struct(k.alias("scale"), F.transform(a, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x.cast("double") / k + 0.5).cast("int")))).alias("q")))
+    return let(scale, lambda k: F.struct(k.alias("scale"), F.transform(a, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x.cast("double") / k + 0.5).cast("int")))).alias("q")))
 
 
 def from_int8(e: Column) -> Column:

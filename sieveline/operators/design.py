@@ -53,6 +53,17 @@ def band_of(cuts: Sequence[float], score: str = "score"):
     return out
 
 
+def with_bands(items: DataFrame, quantiles: Sequence[float]) -> DataFrame:
+    """Items with _band, by the cuts of their own design_id; null and NaN scores are in the last band."""
+    last = len(quantiles)
+    if not last:
+        return items.withColumn("_band", F.lit(0))
+    valid = F.col("score").isNotNull() & ~F.isnan("score")
+    qs = F.expr("array(" + ", ".join(f"percentile_disc({1 - q}) within group (order by score)" for q in sorted(quantiles)) + ")")
+    cuts = items.filter(valid).groupBy("design_id").agg(qs.alias("_cuts"))
+    return items.join(cuts, "design_id", "left").withColumn("_band", F.when(valid, band_of([F.col("_cuts")[k] for k in range(last)])).otherwise(last)).drop("_cuts")
+
+
 def merge_small(strata: list[Stratum], least: Callable[[int], bool]) -> list[Stratum]:
     """Merge strata that are too small, smallest first, into the adjacent band, the band's other slice, the other rule, or any."""
     live = list(strata)
@@ -146,14 +157,7 @@ def design_samples(frames: DataFrame, total: int, *, quantiles: Sequence[float]
     The driver holds the strata counts of all designs (tens of rows each).
     """
     base = one_per_group(frames, seed=seed, by=["design_id"])
-    last = len(quantiles)
-    valid = F.col("score").isNotNull() & ~F.isnan("score")
-    if last:
-        qs = F.expr("array(" + ", ".join(f"percentile_disc({1 - q}) within group (order by score)" for q in sorted(quantiles)) + ")")
-        cuts = base.filter(valid).groupBy("design_id").agg(qs.alias("_cuts"))
-        base = base.join(F.broadcast(cuts), "design_id", "left").withColumn("_band", F.when(valid, band_of([F.col("_cuts")[k] for k in range(last)])).otherwise(last)).drop("_cuts")
-    else:
-        base = base.withColumn("_band", F.lit(0))
+    base = with_bands(base, quantiles)
     base = base.withColumn("_rule", F.coalesce("rule_fires", F.lit(False)))
     cells: dict[str, list] = {}
     for c in base.groupBy("design_id", "_rule", "_band", "slice").agg(F.count(F.lit(1)).alias("n")).collect():  # designs x rules x bands x slices

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import hash_embedding, mean_embedding, mean_vector, norm
+from ..functions.vectors import hash_embedding, mean_embedding, norm
 from ..sources.shared import spread
 
 MAX_CHUNKS = 64
@@ -42,21 +42,17 @@ def embed_chunks(chunked: DataFrame, dimensions: int = 64) -> DataFrame:
     return chunked.join(once, "chunk")
 
 
-def pool(vectors: DataFrame, width: int, key: str = "doc_id", max_chunks: int = MAX_CHUNKS) -> DataFrame:
-    """(key, chunks, embedding): mean of the chunk vectors in their order, never renormalised.
+def pool(vectors: DataFrame, width: int, key: str = "doc_id", max_chunks: int | None = None) -> DataFrame:
+    """(key, chunks, embedding): mean of the chunk vectors per position, never renormalised.
 
-    Documents of other widths or more than ``max_chunks`` chunks have no row; a document's chunks come together once,
-    at most ``max_chunks`` of them.
+    One aggregate per position, added up before the shuffle.  Documents with a chunk of another width, or of more than
+    ``max_chunks`` chunks, have no row.
     """
-    order = "pos" if "pos" in vectors.columns else "embedding"
-    counted = vectors.join(_within(vectors, key, max_chunks), key, "left_semi")
-    g = counted.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("embedding").alias("v")))), lambda c: c["v"]).alias("_v"))
-    g = g.filter(F.forall("_v", lambda v: F.size(v) == width))
-    return g.select(key, F.size("_v").alias("chunks"), mean_vector(F.col("_v"), width).alias("embedding"))
-
-
-def _within(vectors: DataFrame, key: str, most: int) -> DataFrame:
-    return vectors.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select(key)
+    at = [F.sum(F.get("embedding", F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(width)]
+    wrong = F.count_if(F.coalesce(F.size("embedding") != width, F.lit(True))).alias("_wrong")
+    g = vectors.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), wrong, *at).filter("_wrong = 0")
+    g = g if max_chunks is None else g.filter(F.col("_n") <= max_chunks)
+    return g.select(key, F.col("_n").cast("int").alias("chunks"), F.array(*(F.col(f"_s{i}") / F.col("_n") for i in range(width))).alias("embedding"))
 
 
 def problems(vectors: DataFrame, width: int, *, max_chunks: int = MAX_CHUNKS, unit_length: bool = False, key: str = "doc_id") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.folds import fnv_fold
 from ..functions.text import words
+from ..functions.vectors import let
 from .thresholds import kth, risk_threshold
 
 PIN = 1e9
@@ -24,21 +25,20 @@ MOST_RECALL = 0.99
 
 
 def lexical_tokens(text: Column) -> Column:
-    """Words, word pairs and character 3- to 5-grams of the padded words."""
-    w = words(text)
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>"))
-    grams = F.flatten(
-        F.transform(
-            w,
-            lambda x: F.flatten(
-                F.transform(
-                    F.array(F.lit(3), F.lit(4), F.lit(5)),
-                    lambda n: F.when(F.length(x) + 2 >= n, F.transform(F.sequence(F.lit(1), F.length(x) + 3 - n), lambda i: F.concat(F.lit("#"), F.concat(F.lit("_"), x, F.lit("_")).substr(i, n)))).otherwise(F.array().cast("array<string>")),
-                )
-            ),
-        )
-    )
-    return F.concat(w, pairs, grams)
+    """Words, word pairs and character 3- to 5-grams of the padded words; the words are found once."""
+
+    def of(w: Column) -> Column:
+        pairs = F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda p: p.isNotNull())
+        padded = F.transform(w, lambda x: F.concat(F.lit("_"), x, F.lit("_")))
+        return F.concat(w, pairs, *(F.flatten(F.transform(padded, grams(n))) for n in (3, 4, 5)))
+
+    def grams(n: int):
+        def of_word(x: Column) -> Column:
+            return F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.length(x) - (n - 1)), lambda i: F.concat(F.lit("#"), x.substr(i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+        return of_word
+
+    return let(words(text), of)
 
 
 def lexical_features(rows: DataFrame, text: str = "text", out: str = "lexical", bits: int = BITS) -> DataFrame:

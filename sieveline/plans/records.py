@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import folds, stats, vectors
 from ..functions.text import truncate_text
-from ..operators import design, documents, evaluation, records, retrieval, tiers
+from ..operators import artifact, design, document_heads, documents, evaluation, records, retrieval, scoring, tiers
 from ..sources.shared import save, table
 from ..streaming import monitor
-from .registry import query
+from .registry import query, stats_sql
 
 HEAD = "refund"
 
@@ -39,17 +39,18 @@ def fold_assign(spark, d):
 
 
 HASHED = """
-WITH t AS (SELECT {key} AS id, unnest(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda w: w <> '')) AS w FROM {table}),
-h AS (SELECT id, ('0x' || substr(sha256(w), 1, 8))::BIGINT % {dim} AS b, CASE WHEN ('0x' || substr(sha256(w), 9, 2))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM t),
-g AS (SELECT id, b, sum(s) AS v FROM h GROUP BY id, b), n AS (SELECT id, sqrt(sum(v * v)) AS n FROM g GROUP BY id),
-e AS (SELECT n.id, list(coalesce(g.v, 0) / CASE WHEN n.n > 0 THEN n.n ELSE 1 END ORDER BY i) AS v FROM n CROSS JOIN range({dim}) AS x(i) LEFT JOIN g ON g.id = n.id AND g.b = i GROUP BY n.id)
+WITH t AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[\\s\\p{Z}]+'), lambda w: w <> '')) AS w FROM documents),
+h AS (SELECT id, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 64 AS b, CASE WHEN ('0x' || substr(sha256(w), 9, 2))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM t),
+g AS (SELECT id, b, sum(s) AS v FROM h GROUP BY id, b), n AS (SELECT id, sqrt(sum(v * v)) AS n FROM g GROUP BY id)
+SELECT d.doc_id, CASE WHEN any_value(d.text) IS NOT NULL THEN list(round(coalesce(g.v / nullif(n.n, 0), 0), 9) ORDER BY i) END AS embedding
+FROM documents d CROSS JOIN range(64) AS x(i) LEFT JOIN n ON n.id = d.doc_id LEFT JOIN g ON g.id = d.doc_id AND g.b = i GROUP BY d.doc_id
 """
 
 
-@query(HASHED.format(key="doc_id", text="title", table="documents", dim=16) + "SELECT id AS doc_id, list_transform(v, lambda x: round(x, 9)) AS embedding FROM e")
+@query(HASHED)
 def hash_embedding(spark, d):
-    rows = table(spark, d, "documents").filter(F.trim("title") != "")
-    return rows.select("doc_id", F.transform(vectors.hash_embedding(F.col("title"), 16), lambda x: F.round(x, 9)).alias("embedding"))
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", F.transform(vectors.hash_embedding(F.col("text"), 64), lambda x: F.round(x, 9)).alias("embedding"))
 
 
 @query("SELECT doc_id, left(text, 80) AS short FROM documents")
@@ -200,31 +201,33 @@ def coverage_slices(spark, d):
 # --- sampling and labelling -----------------------------------------------------------------------------
 
 
-def _frame(spark: SparkSession, d: str) -> DataFrame:
-    """The first design's frame: repeated rows once, slices in one spelling."""
-    f = table(spark, d, "frame_items").filter("design_id = 'd00-0000'").dropDuplicates(["id"])
-    return f.select("id", F.col("group_id").alias("group"), F.col("signals.rule_fires").alias("rule_fires"), F.col("signals.score").alias("score"), F.lower(F.trim("signals.slice")).alias("slice"))
-
-
 def _frames(spark: SparkSession, d: str) -> DataFrame:
     """The frames of all designs: repeated rows once, slices in one spelling; items without design are in none."""
     f = table(spark, d, "frame_items").filter("design_id is not null").dropDuplicates(["design_id", "id"])
     return f.select("design_id", "id", F.col("group_id").alias("group"), F.col("signals.rule_fires").alias("rule_fires"), F.col("signals.score").alias("score"), F.lower(F.trim("signals.slice")).alias("slice"))
 
 
-F_ = "WITH f AS (SELECT DISTINCT ON (id) id, group_id AS g, signals.rule_fires AS rule_fires, signals.score AS score, lower(trim(signals.slice)) AS slice FROM frame_items WHERE design_id = 'd00-0000'), o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY coalesce(g, 'item ' || id) ORDER BY md5('0:' || id), id) = 1)"
+F_ = "WITH f AS (SELECT DISTINCT ON (design_id, id) design_id, id, group_id AS g, signals.rule_fires AS rule_fires, signals.score AS score, lower(trim(signals.slice)) AS slice FROM frame_items WHERE design_id IS NOT NULL), o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY design_id, coalesce(g, 'item ' || id) ORDER BY md5('0:' || id), id) = 1)"
 
 
-@query(F_ + "SELECT id FROM o")
+@query(F_ + "SELECT design_id, id FROM o")
 def one_per_group(spark, d):
-    return design.one_per_group(_frame(spark, d)).select("id")
+    return design.one_per_group(_frames(spark, d), by=["design_id"]).select("design_id", "id")
 
 
-@query(F_ + ", c AS (SELECT quantile_disc(score, 0.95) AS a, quantile_disc(score, 0.8) AS b FROM o WHERE score IS NOT NULL AND NOT isnan(score)) SELECT rule_fires, CASE WHEN score >= a THEN 0 WHEN score >= b THEN 1 ELSE 2 END AS band, slice, count(*) AS n FROM o, c WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL")
+@query(F_ + ", c AS (SELECT design_id, quantile_disc(score, 0.95) AS a, quantile_disc(score, 0.8) AS b FROM o WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY design_id) SELECT design_id, rule_fires, CASE WHEN score >= a THEN 0 WHEN score >= b THEN 1 ELSE 2 END AS band, slice, count(*) AS n FROM o JOIN c USING (design_id) WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL")
 def score_bands(spark, d):
-    o = design.one_per_group(_frame(spark, d)).filter(F.col("score").isNotNull() & ~F.isnan("score"))
-    cuts = design.score_cuts(o, [0.05, 0.2])
-    return o.groupBy("rule_fires", design.band_of(cuts).alias("band"), "slice").agg(F.count(F.lit(1)).alias("n"))
+    o = design.one_per_group(_frames(spark, d), by=["design_id"]).filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    o = design.with_bands(o, [0.05, 0.2])
+    return o.groupBy("design_id", "rule_fires", F.col("_band").alias("band"), "slice").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(F_ + "SELECT design_id, least(300, count(*)) AS drawn, count(*)::DOUBLE AS estimated FROM o GROUP BY design_id")
+def design_totals(spark, d):
+    """Per design the items drawn, and the frame's size as its calibration sample estimates it."""
+    s, _ = design.design_samples(_frames(spark, d), 300, floor=10)
+    weight = F.when(F.col("role") == "calibration", 1 / F.col("inclusion_prob"))
+    return s.groupBy("design_id").agg(F.count(F.lit(1)).alias("drawn"), F.round(F.sum(weight), 6).alias("estimated"))
 
 
 @query()
@@ -366,14 +369,46 @@ def context_features(spark, d):
     return out.select("id", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
+LEXICAL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents)
+SELECT doc_id, coalesce(len(w) + greatest(0, len(w) - 1) + coalesce(list_sum(list_transform(w, lambda x: greatest(0, len(x)) + greatest(0, len(x) - 1) + greatest(0, len(x) - 2))), 0), 0)::BIGINT AS tokens FROM w
+"""
+
+
+def _lexical(spark: SparkSession, d: str) -> DataFrame:
+    f = tiers.lexical_features(table(spark, d, "documents").select("doc_id", "text"))
+    return f.select("doc_id", F.unwrap_udt("lexical").alias("v"))
+
+
 @query()
 def lexical_features(spark, d):
-    """Different hashed n-grams per document title."""
-    from pyspark.ml.functions import vector_to_array
+    """Different hashed n-grams of every document's whole text, and all of them; the hash is not SQL."""
+    total = F.aggregate("v.values", F.lit(0.0), lambda s, x: s + x)
+    return _lexical(spark, d).select("doc_id", F.size("v.indices").alias("features"), total.cast("long").alias("tokens"))
+
+
+@query(LEXICAL)
+def lexical_tokens(spark, d):
+    """Words, word pairs and character 3- to 5-grams of every document."""
+    total = F.aggregate("v.values", F.lit(0.0), lambda s, x: s + x)
+    return _lexical(spark, d).select("doc_id", total.cast("long").alias("tokens"))
 
-    f = tiers.lexical_features(table(spark, d, "documents").filter("title is not null").select("doc_id", "title"), "title", bits=12)
-    a = vector_to_array("lexical")
-    return f.select("doc_id", F.size(F.filter(a, lambda x: x > 0)).alias("features"), F.aggregate(a, F.lit(0.0), lambda s, x: s + x).alias("tokens"))
+
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))::BIGINT AS words FROM documents WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 0")
+def document_chunk_words(spark, d):
+    """Words of all chunks of a document: chunking loses none."""
+    c = documents.chunks(table(spark, d, "documents"))
+    return c.groupBy("doc_id").agg(F.sum(F.size(F.split(F.trim("chunk"), r"\s+"))).alias("words"))
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL OR trim(text, E' \\t\\n\\r') = '' THEN 'INVALID_INPUT' END AS error_code, NOT (text IS NULL OR trim(text, E' \\t\\n\\r') = '') AS scored FROM documents")
+def document_scores(spark, d):
+    """Every document is scored whole or has the code of what stopped it."""
+    encoder, pipeline = document_heads.Encoder("words", "1", 64), document_heads.Pipeline(max_chunks=1 << 20, max_bytes=1 << 30)
+    v = document_heads.document_vectors(table(spark, d, "documents"), encoder, pipeline)
+    head = scoring.Head("long", tuple(1.0 if i % 2 else -1.0 for i in range(64)))
+    doc = {"classifier": {"heads": {"long": artifact.head_json(head)}}}
+    return document_heads.score_vectors(v, doc).select("doc_id", "error_code", F.col("p_long").isNotNull().alias("scored"))
 
 
 # --- monitoring -----------------------------------------------------------------------------------------
@@ -394,8 +429,13 @@ def drift_checks(spark, d):
     return monitor.monitor(counts.filter(F.col("window_start") >= F.lit(until)), ref)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE c(n, k) AS (VALUES (30, 15), (30, 27), (65, 32), (65, 62), (100, 50), (100, 97)),
+b AS (SELECT n, k, 0 AS i, 0.0::DOUBLE AS llo, 1.0::DOUBLE AS lhi, 0.0::DOUBLE AS ulo, 1.0::DOUBLE AS uhi FROM c
+UNION ALL SELECT n, k, i + 1, CASE WHEN low < 0.05 THEN (llo + lhi) / 2 ELSE llo END, CASE WHEN low < 0.05 THEN lhi ELSE (llo + lhi) / 2 END, CASE WHEN up > 0.05 THEN (ulo + uhi) / 2 ELSE ulo END, CASE WHEN up > 0.05 THEN uhi ELSE (ulo + uhi) / 2 END
+FROM (SELECT *, 1 - {stats_sql("k - 1", "n", "(llo + lhi) / 2")} AS low, {stats_sql("k", "n", "(ulo + uhi) / 2")} AS up FROM b WHERE i < 60))
+SELECT n, k, round(llo, 9) AS lower, round(ulo, 9) AS upper, round({stats_sql("k", "n", "0.8")}, 9) AS cdf FROM b WHERE i = 60""")
 def numeric_bounds(spark, d):
     """Exact bounds and sizes of the numerics for a few counts."""
-    rows = [(n, k, stats.clopper_pearson_lower(k, n, 0.95), stats.clopper_pearson_upper(k, n, 0.95), stats.binomial_cdf(k, n, 0.8)) for n in (30, 65, 100) for k in (n // 2, n - 3)]
+    rows = [(n, k, *(round(x, 9) for x in (stats.clopper_pearson_lower(k, n, 0.95), stats.clopper_pearson_upper(k, n, 0.95), stats.binomial_cdf(k, n, 0.8)))) for n in (30, 65, 100) for k in (n // 2, n - 3)]
     return spark.createDataFrame(rows, "n int, k int, lower double, upper double, cdf double")

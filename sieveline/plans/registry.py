@@ -22,3 +22,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def stats_sql(k: str, n: str, p: str) -> str:
+    """SQL of P(X <= k) for n draws at p, summed in logs."""
+    return f"coalesce(list_sum(list_transform(range(0, ({k} + 1)::BIGINT), lambda j: exp(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) + j * ln({p}) + ({n} - j) * ln(1 - ({p}))))), 0)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions.folds import split_of
 from ..operators import artifact, evaluation, scoring, thresholds, tiers, training
 from ..operators.scoring import Head, Policy
 from ..sources.shared import save, table
-from .registry import query
+from .registry import query, stats_sql
 
 #: Heads of the test vectors: name and the class they fire on.
 CLASSES = {"urgent": 0, "refund": 1, "spam": 2}
@@ -144,6 +146,12 @@ def conformal_expected(spark, d):
     return _one(spark, thresholds.conformal_limit(pos, 0.2, None, True)[0])
 
 
+@query(SCORES + f", g AS (SELECT min(p_urgent) AS p FROM s WHERE label = 0 GROUP BY grp), r AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS r, count(*) OVER () AS n FROM g) SELECT round(max(p), 9) AS threshold FROM r WHERE {stats_sql('r', 'n', '0.2')} <= 0.05")
+def conformal_pac(spark, d):
+    pos = thresholds.group_scores(_p(scored(spark, d)).filter(POS), "grp")
+    return _one(spark, thresholds.conformal_limit(pos, 0.2, 0.05, True)[0])
+
+
 @query()
 def conformal_selection(spark, d):
     """Guarantee and threshold in every mode; binomial sums are not SQL."""
@@ -193,16 +201,25 @@ def group_outcomes(spark, d):
     return evaluation.group_outcomes(_p(scored(spark, d)), 0.6, "grp")
 
 
-@query()
+CERTIFIED = SCORES.replace("WITH u AS", "WITH RECURSIVE u AS") + f""", g AS (SELECT grp, label = 0 AS y, bool_and(p_urgent >= 0.6) AS a, bool_or(p_urgent >= 0.6) AS o FROM s GROUP BY ALL),
+c AS (SELECT count(*) FILTER (y) AS n, count(*) FILTER (y AND a) AS k, count(*) FILTER (y AND o) AS ko, count(*) FILTER (NOT y) AS m, count(*) FILTER (NOT y AND o) AS f FROM g),
+halving AS (SELECT *, 0 AS i, 0.0::DOUBLE AS l0, 1.0::DOUBLE AS l1, 0.0::DOUBLE AS u0, 1.0::DOUBLE AS u1, 0.0::DOUBLE AS f0, 1.0::DOUBLE AS f1 FROM c
+UNION ALL SELECT n, k, ko, m, f, i + 1, CASE WHEN low < 0.025 THEN (l0 + l1) / 2 ELSE l0 END, CASE WHEN low < 0.025 THEN l1 ELSE (l0 + l1) / 2 END, CASE WHEN up > 0.025 THEN (u0 + u1) / 2 ELSE u0 END, CASE WHEN up > 0.025 THEN u1 ELSE (u0 + u1) / 2 END, CASE WHEN fa > 0.025 THEN (f0 + f1) / 2 ELSE f0 END, CASE WHEN fa > 0.025 THEN f1 ELSE (f0 + f1) / 2 END
+FROM (SELECT *, 1 - {stats_sql("k - 1", "n", "(l0 + l1) / 2")} AS low, {stats_sql("ko", "n", "(u0 + u1) / 2")} AS up, {stats_sql("f", "m", "(f0 + f1) / 2")} AS fa FROM halving WHERE i < 60)),
+r AS (SELECT CASE WHEN k = 0 THEN 0 ELSE l0 END AS lo, CASE WHEN ko = n THEN 1 ELSE u0 END AS up, CASE WHEN f = m THEN 1 ELSE f0 END AS fa, (SELECT avg((label = 0)::INT) FROM s) AS pi FROM halving WHERE i = 60)
+SELECT round(lo, 8) AS recall_lower, round(up, 8) AS recall_upper, round(fa, 8) AS false_alarm_upper, round(pi * lo / (pi * lo + (1 - pi) * fa), 8) AS precision_lower FROM r"""
+
+
+@query(CERTIFIED)
 def certified_bounds(spark, d):
-    """Exact one-sided bounds by group (inverse beta is not SQL)."""
+    """Exact one-sided bounds by group."""
     e = evaluation.evaluate_head(_p(scored(spark, d)), 0.6, group="grp")
-    return spark.createDataFrame([tuple(float(e["certified"][k]) for k in ("recall_lower", "recall_upper", "false_alarm_upper", "precision_lower"))], "recall_lower double, recall_upper double, false_alarm_upper double, precision_lower double")
+    return spark.createDataFrame([tuple(round(float(e["certified"][k]), 8) for k in ("recall_lower", "recall_upper", "false_alarm_upper", "precision_lower"))], "recall_lower double, recall_upper double, false_alarm_upper double, precision_lower double")
 
 
 KNN = """
 WITH q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, vec_id % 3 AS fold FROM embeddings),
-r AS (SELECT vec_id AS rid, embedding::DOUBLE[] AS v, (label = 0)::INT AS y, vec_id % 3 AS fold FROM embeddings WHERE vec_id % 2 = 0),
+r AS (SELECT vec_id AS rid, embedding::DOUBLE[] AS v, (label = 0)::INT AS y, vec_id % 3 AS fold FROM embeddings),
 c AS (SELECT id, rid, y, list_dot_product(q.v, r.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(r.v, r.v))) AS c FROM q JOIN r ON id <> rid %s),
 t AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id, y ORDER BY c DESC, rid) <= 10)
 SELECT id, round(coalesce(avg(c) FILTER (y = 1), 0) - coalesce(avg(c) FILTER (y = 0), 0), 9) AS feature FROM t GROUP BY id
@@ -211,7 +228,7 @@ SELECT id, round(coalesce(avg(c) FILTER (y = 1), 0) - coalesce(avg(c) FILTER (y
 
 def _knn(spark: SparkSession, d: str, oof: bool) -> DataFrame:
     e = table(spark, d, "embeddings").withColumn("fold", F.col("vec_id") % 3)
-    ref = e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("rid"), "embedding", (F.col("label") == 0).cast("int").alias("y"), "fold")
+    ref = e.select(F.col("vec_id").alias("rid"), "embedding", (F.col("label") == 0).cast("int").alias("y"), "fold")
     return training.knn_feature(e.select(F.col("vec_id").alias("id"), "embedding", "fold"), ref, out_of_fold=oof).withColumn("feature", F.round("feature", 9))
 
 
@@ -300,10 +317,24 @@ def train_heads(spark, d):
     return spark.createDataFrame(rows, "head string, threshold double, guarantee string, recall double, false_alarm double, failures int, warnings int")
 
 
-@query(SCORES + "SELECT round(p_urgent, 9) AS p FROM s WHERE false")
+@query(SCORES + "SELECT vec_id, round(p_urgent, 9) AS urgent, round(p_refund, 9) AS refund, true AS same FROM s")
 def artifact_round_trip(spark, d):
-    """Scores that change by writing and reading the artifact: none."""
-    return artifact.round_trip(table(spark, d, "embeddings"), heads(spark, d)).select(F.round("p_urgent", 9).alias("p"))
+    """Scores by the heads as written to JSON and read again, and whether they are the same numbers as before."""
+    before = heads(spark, d)
+    back = [artifact.head_of(h.name, json.loads(json.dumps(artifact.head_json(h)))) for h in before]
+    both = scoring.score(scoring.score(table(spark, d, "embeddings"), before).withColumnsRenamed({f"p_{n}": f"was_{n}" for n in CLASSES}), back)
+    return both.select("vec_id", F.round("p_urgent", 9).alias("urgent"), F.round("p_refund", 9).alias("refund"), F.forall(F.array(*(F.col(f"p_{n}") == F.col(f"was_{n}") for n in CLASSES)), lambda x: x).alias("same"))
+
+
+@query()
+def train_types(spark, d):
+    """A head of each further type; iterative."""
+    e = _training_rows(spark, d).withColumn("finer", (F.col("id") % 5).cast("string"))
+    rows = []
+    for kind in ("knn", "stack", "finer"):
+        r = training.train_heads(e, {"urgent": POLICIES["urgent"] | {"type": kind}}, 64)["urgent"]
+        rows.append((kind, r["spec"].threshold, r["guarantee"]["kind"], float(r["evaluation"]["recall"]), float(r["evaluation"]["false_alarm"]), len(r["spec"].weights)))
+    return spark.createDataFrame(rows, "type string, threshold double, guarantee string, recall double, false_alarm double, weights int")
 
 
 @query()

@@ -13,7 +13,7 @@ def test_query_equals_sql(name, spark, data, duck):
     same(registry.QUERIES[name](spark, data), duck, registry.SQL[name])
 
 
-SLOW = {"report_markdown"}
+SLOW = {"report_markdown", "train_types"}  # tested in test_training.py
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL) - SLOW))
