@@ -69,17 +69,17 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, gram: int
     ``share`` of the item's words stand in it in one stretch and in the item's order; single words within may be
     replaced.  Case, punctuation, spacing and line marks don't count.  stretch counts all words of the stretch, matched
     those that are equal; doc_word and item_word are the 0-based places where it begins.  Null and empty texts hold
-    nothing and stand nowhere; rows of one number count once, with their least text; of one pair the longest stretch
+    nothing and stand nowhere; every different text of a number is looked for; of one pair the longest stretch
     stays.  Seeds are joined in the map stage against the items' seeds, of which at most ITEM_WORDS words are sent at
     a time, so documents are never shuffled and a common phrase can't be hot.
     """
-    test = items.select("item_no", bare_words(F.col("text")).alias("w")).filter((F.size("w") > 0) & F.col("item_no").isNotNull()).groupBy("item_no").agg(F.min("w").alias("w"))
+    test = items.select("item_no", bare_words(F.col("text")).alias("w")).filter((F.size("w") > 0) & F.col("item_no").isNotNull()).distinct()
     words = test.agg(F.sum(F.size("w"))).first()[0] or 0
     passes = max(1, -(-words // ITEM_WORDS))
     docs = spread(documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")).select("doc_id", bare_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     out = None
     for p in range(passes):
-        t = (test if passes == 1 else test.filter(F.pmod(F.xxhash64("item_no"), F.lit(passes)) == p)).orderBy("item_no").toArrow()
+        t = (test if passes == 1 else test.filter(F.pmod(F.xxhash64("item_no"), F.lit(passes)) == p)).orderBy("item_no", "w").toArrow()
         flat, off = flat_longs(t.column("w")) if t.num_rows else (np.zeros(0, np.int64), np.zeros(1, np.int64))
         part = _scan(docs, Items(t.column("item_no").to_numpy(), np.ascontiguousarray(flat), off, gram, window), share, gram, window)
         out = part if out is None else out.unionByName(part)

@@ -33,6 +33,9 @@ NAME_BEFORE = "name is|regards|yours|sincerely|contact|spoke with|signed by|this
 NAME_AFTER = "handled|promised|told|writing|on the phone|called|said|wrote"
 
 WORD = r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*"
+WORDS = re.compile(WORD)
+#: Characters before the sign in which an address begins: the local part has at most 64.
+LOCAL = 80
 EMAIL_SIGN = re.compile(r"\s*@\s*|\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+(?=[\w-]+\s+dot\s)", re.I)
 EMAIL_LEFT = re.compile(r"[\w][\w.+-]*$")
 EMAIL_RIGHT = re.compile(r"[a-z0-9-]+(?:(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)[a-z0-9-]+)+", re.I)
@@ -72,29 +75,12 @@ class Labelers:
 
     def __init__(self, given: list[str], family: list[str]):
         self.given, self.family = frozenset(given), frozenset(family)
-        self.trie = None
 
     def _given_at(self, low: str) -> Iterator[tuple[int, int]]:
         """Places of listed given names."""
-        if self.trie is None:
-            try:
-                import ahocorasick
-
-                self.trie = ahocorasick.Automaton()
-                for g in self.given:
-                    self.trie.add_word(g, len(g))
-                self.trie.make_automaton()
-            except ImportError:
-                self.trie = False
-        if not self.given:
-            return
-        if self.trie:
-            for end, size in self.trie.iter(low):
-                yield end + 1 - size, end + 1
-        else:
-            for m in re.finditer(WORD, low):
-                if m.group() in self.given:
-                    yield m.span()
+        for m in WORDS.finditer(low) if self.given else ():
+            if m.group() in self.given:
+                yield m.span()
 
     def spans(self, text: str) -> list[tuple[str, int, int, str, str]]:
         """(type, start, end, votes, features) with 0-based code points; a span may come for several types."""
@@ -105,7 +91,7 @@ class Labelers:
             low = "".join(c.lower()[:1] or c for c in text)
         if "@" in low or "at)" in low or "at]" in low or " dot " in low:
             for m in EMAIL_SIGN.finditer(text):
-                a, b = EMAIL_LEFT.search(text, max(0, m.start() - 80), m.start()), EMAIL_RIGHT.match(text, m.end())
+                a, b = EMAIL_LEFT.search(text, max(0, m.start() - LOCAL), m.start()), EMAIL_RIGHT.match(text, m.end())
                 if a and b:
                     votes = self._email(text, a.start(), b.end(), m.group())
                     out["email", a.start()] = (b.end(), votes, "d" if "." in b.group() else "w")

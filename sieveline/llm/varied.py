@@ -17,8 +17,8 @@ FIT_ROWS = 1 << 15
 BATCH, PASSES = 1024, 4
 #: Mean rows of a cell and most cells; a larger cell is split into blocks.
 CELL_ROWS, MAX_CELLS = 256, 4096
-#: Cells in which a vector looks for near vectors.
-PROBES = 4
+#: A vector looks for near ones in every cell whose center is at most this much farther (in cosine) than its nearest.
+MARGIN = 0.1
 BLOCK = 4096
 
 
@@ -53,28 +53,28 @@ def minibatch_kmeans(x: np.ndarray, cells: int, seed: int) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def assign(rows: DataFrame, centers: np.ndarray, width: int, probes: int) -> DataFrame:
-    """(id, cell, home, closeness, embedding as bytes): every valid vector at its ``probes`` nearest centers; home marks the nearest."""
+def assign(rows: DataFrame, centers: np.ndarray, width: int, margin: float | None) -> DataFrame:
+    """(id, cell, home, closeness, embedding as bytes): every valid vector at its nearest center (home) and those within ``margin`` of it."""
     sent = rows.sparkSession.sparkContext.broadcast(centers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
-        p = min(probes, len(c))
         for b in batches:
-            x, at = vectors(b.column("embedding"), width)
-            if not len(x):
-                continue
-            cos = x @ c.T
-            near = np.argpartition(-cos, p - 1, axis=1)[:, :p] if p < len(c) else np.broadcast_to(np.arange(len(c)), cos.shape)
-            close = np.take_along_axis(cos, near, 1)
-            home = close == close.max(1, keepdims=True)
-            home &= np.cumsum(home, axis=1) == 1
-            ids = b.column("id").take(pa.array(np.repeat(at, near.shape[1])))
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(near.ravel().astype(np.int32)), pa.array(home.ravel()), pa.array(close.ravel().astype(np.float64)), raw.take(pa.array(np.repeat(np.arange(len(x)), near.shape[1])))],
-                names=["id", "cell", "home", "closeness", "vec"],
-            )
+            for lo in range(0, b.num_rows, 2048):  # rows x centers at a time
+                part = b.slice(lo, 2048)
+                x, at = vectors(part.column("embedding"), width)
+                if not len(x):
+                    continue
+                cos = x @ c.T
+                best = cos.argmax(1)
+                near = np.zeros(cos.shape, bool) if margin is None else cos >= cos.max(1, keepdims=True) - np.float32(margin)
+                near[np.arange(len(x)), best] = True
+                row, cell = np.nonzero(near)
+                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(pa.array(at[row])), pa.array(cell.astype(np.int32)), pa.array(cell == best[row]), pa.array(cos[row, cell].astype(np.float64)), raw.take(pa.array(row))],
+                    names=["id", "cell", "home", "closeness", "vec"],
+                )
 
     return rows.select("id", "embedding").mapInArrow(run, "id string, cell int, home boolean, closeness double, vec binary")
 
@@ -87,17 +87,17 @@ def _clean(rows: DataFrame, width: int) -> DataFrame:
     return rows.select(F.col("id").cast("string").alias("id"), "embedding").filter(F.col("id").isNotNull() & valid_vector(F.col("embedding"), width)).dropDuplicates(["id"])
 
 
-def crowding(rows: DataFrame, width: int, least: float = 0.9, probes: int = PROBES) -> DataFrame:
+def crowding(rows: DataFrame, width: int, least: float = 0.9, margin: float = MARGIN) -> DataFrame:
     """(id, near): for every valid vector how many others have at least the cosine ``least`` to it, where any has.
 
-    Each vector is stored in the cell of its nearest center and asks in its ``probes`` nearest cells: near vectors lie
-    in the same cells but for those at a border of more than ``probes`` cells.  A cell is stored in blocks of at most
+    Each vector is stored in the cell of its nearest center and asks in every cell whose center is within ``margin`` of
+    that: vectors near each other have nearly the same cosines to all centers.  A cell is stored in blocks of at most
     about BLOCK rows and asked in blocks as well, so a third of all rows in one spot is spread over many tasks.
     Invalid vectors take no part; of two rows with one id one is taken.
     """
     clean = save(_clean(rows, width), "crowding-vectors")
     centers = fit_centers(clean, width, cells_for(clean.count()))
-    placed = save(assign(clean, centers, width, probes), "crowding-cells")
+    placed = save(assign(clean, centers, width, margin), "crowding-cells")
     sizes = placed.groupBy("cell").agg(F.count_if("home").alias("stored"), F.count(F.lit(1)).alias("asking"))
     blocks = sizes.select("cell", F.ceil(F.col("stored") / BLOCK).cast("int").alias("sb"), F.ceil(F.col("asking") / (2 * BLOCK)).cast("int").alias("qb")).filter("sb > 0")
     spread = placed.join(F.broadcast(blocks), "cell")  # at most MAX_CELLS rows
@@ -170,7 +170,7 @@ def varied_subset(rows: DataFrame, options: DataFrame, width: int, *, power: flo
     clean = save(_clean(rows, width), "varied-vectors")
     opts = [(r.option_no, r.k or default_k, default_lambda if r.mmr_lambda is None else r.mmr_lambda) for r in options.select("option_no", "k", "mmr_lambda").dropDuplicates(["option_no"]).collect()]
     cells = min(512, max(cells_for(clean.count()), 2 * max((k for _, k, _ in opts), default=1)))
-    placed = save(assign(clean, fit_centers(clean, width, cells), width, 1), "varied-cells")
+    placed = save(assign(clean, fit_centers(clean, width, cells), width, None), "varied-cells")
     sizes = [(r.cell, r.n) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 512 cells
     spark = rows.sparkSession
     plan = [(o, c, q, int(k), float(lam)) for o, k, lam in opts for c, q in quotas(sorted(sizes), int(k) * spare, power).items() if q]
