@@ -3,6 +3,9 @@
 Candidates come from open patterns; regex, gazetteer and context labelers vote +, - or 0 on each.  The votes of all
 candidates are counted per pattern by Spark; expectation-maximisation over these counts estimates the labelers'
 reliabilities, and a logistic model of votes and span features, trained on its posteriors, decides every span.
+
+The name lists and the cues are taken from the texts themselves: names from titles and signatures, cues from the words
+that stand before candidates which the first round of the model took or left; the cue is one more labeler of the second.
 """
 
 from __future__ import annotations
@@ -21,19 +24,22 @@ from .common import ship
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Entries of each name list that are kept at most, and the least count of an entry.
 GAZETTEER, LEAST = 20_000, 2
+#: Cues (the two words before a candidate) of each type that are kept at most, the least count of one, and the log odds from which it votes.
+CUES, CUE_LEAST, CUE_ODDS = 20_000, 20, 1.5
 
 # Words of the labelers.
 TITLES = "mr mrs ms miss dr prof"
 STREETS = "street st road rd avenue ave lane ln drive dr close court ct crescent terrace way place pl square sq boulevard blvd"
 UNITS = "unit flat apt apartment suite"
-PHONE_CUES = "call|phone|text me on|number is|tried from|and from|mobile|tel|reach me|ring|dial|ext"
+PHONE_CUES = "call|phone|number is|mobile|tel|reach me|ring|dial|ext"
 ID_CUES = "ssn|social security|insurance|ni number|passport|identity|id card|tax file|licen[cs]e|national id|personal number"
-THINGS = "tracking|zx|ref|reference|order|ord|ticket|barcode|serial|batch|server|parcel|code|version|invoice|item|sku|article"
+THINGS = "tracking|ref|reference|order|ord|ticket|barcode|serial|batch|server|parcel|code|version|invoice|item|sku|article"
 NAME_BEFORE = "name is|regards|yours|sincerely|contact|spoke with|signed by|this is|card says|attn|ask for|dear"
 NAME_AFTER = "handled|promised|told|writing|on the phone|called|said|wrote"
 
 WORD = r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)*"
 WORDS = re.compile(WORD)
+CUE_WORDS = re.compile(r"[^\W\d_]+")
 #: Characters before the sign in which an address begins: the local part has at most 64.
 LOCAL = 80
 EMAIL_SIGN = re.compile(r"\s*@\s*|\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+(?=[\w-]+\s+dot\s)", re.I)
@@ -159,7 +165,7 @@ class Labelers:
         near = left[cut + 1 :] if cut >= 0 and not re.search(r"no\.\s*$", left[: cut + 2], re.I) else left
         thing = bool(CUE["thing"].search(near[-16:]))
         phone, ident = bool(CUE["phone"].search(near)), bool(CUE["id"].search(near))
-        after = bool(re.match(r"\s*(?:,?\s*(?:ext|thanks|after six|any time|and from|without))|[.,\s]*$|\n", text[b : b + 12], re.I))
+        after = bool(re.match(r"\s*,?\s*ext|[.,\s]*$|\n", text[b : b + 12], re.I))
         bins = f"{digits}{'a' if letters else 'n'}"
         shape = bool(PHONE_SHAPES.fullmatch(span))
         if not letters and 7 <= digits <= 14 and (shape or not ident):
@@ -185,26 +191,27 @@ class Labelers:
 
 
 def candidates(texts: DataFrame, labelers: Labelers) -> DataFrame:
-    """(id, pii_type, start_at, end_at, votes, features) of every candidate of the whole texts; start_at is 1-based."""
+    """(id, pii_type, start_at, end_at, votes, features, cue) of every candidate of the whole texts; start_at is 1-based."""
     get = ship(texts.sparkSession, labelers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = get().spans
         for b in batches:
-            ids, rows = [], []
+            ids, rows, cues = [], [], []
             for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                 if t:
                     got = find(t)
                     rows += got
                     ids += [i] * len(got)
+                    cues += [" ".join(CUE_WORDS.findall(t[max(0, g[1] - 24) : g[1]].lower())[-2:]) for g in got]
             kind, start, end, votes, features = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(kind, pa.string()), pa.array([s + 1 for s in start], pa.int64()), pa.array(end, pa.int64()), pa.array(votes, pa.string()), pa.array(features, pa.string())],
-                names=["id", "pii_type", "start_at", "end_at", "votes", "features"],
+                [pa.array(ids, pa.string()), pa.array(kind, pa.string()), pa.array([s + 1 for s in start], pa.int64()), pa.array(end, pa.int64()), pa.array(votes, pa.string()), pa.array(features, pa.string()), pa.array(cues, pa.string())],
+                names=["id", "pii_type", "start_at", "end_at", "votes", "features", "cue"],
             )
 
     rows = spread(texts.select(F.col("id").cast("string").alias("id"), "text").filter(F.col("id").isNotNull() & F.col("text").isNotNull()))
-    return rows.mapInArrow(run, "id string, pii_type string, start_at long, end_at long, votes string, features string")
+    return rows.mapInArrow(run, "id string, pii_type string, start_at long, end_at long, votes string, features string, cue string")
 
 
 def reliabilities(votes: np.ndarray, count: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, float]:
@@ -263,6 +270,25 @@ def fit(patterns: list[tuple[str, str, str, int]]) -> list[tuple[str, str, str,
     return out
 
 
+def scored(found: DataFrame) -> DataFrame:
+    """Candidates with the probability of their pattern of votes and features."""
+    patterns = found.groupBy("pii_type", "votes", "features").agg(F.count(F.lit(1)).alias("n")).collect()  # votes and bins: bounded by their number
+    model = fit([(r.pii_type, r.votes, r.features, r.n) for r in sorted(patterns)])
+    prob = found.sparkSession.createDataFrame(model, "pii_type string, votes string, features string, probability double")
+    return found.join(F.broadcast(prob), ["pii_type", "votes", "features"])
+
+
+def context_cues(rated: DataFrame) -> DataFrame:
+    """(pii_type, cue, vote): cues whose candidates were taken far more, or far less, often than those of the type; at most CUES of a type."""
+    taken = F.sum("probability")
+    every = rated.groupBy("pii_type").agg((taken / F.count(F.lit(1))).alias("share"))
+    cues = rated.filter("cue <> ''").groupBy("pii_type", "cue").agg(taken.alias("s"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CUE_LEAST)
+    odds = F.log((F.col("s") + F.col("share")) / (F.col("n") - F.col("s") + 1 - F.col("share"))) - F.log((F.col("share") + 1e-6) / (1 - F.col("share") + 1e-6))
+    voted = cues.join(F.broadcast(every), "pii_type").withColumn("vote", F.when(odds > CUE_ODDS, "+").when(odds < -CUE_ODDS, "-")).filter("vote is not null")
+    top = Window.partitionBy("pii_type").orderBy(F.desc("n"), "cue")
+    return voted.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= CUES).select("pii_type", "cue", "vote")
+
+
 def find_personal(texts: DataFrame, least: float = 0.5) -> DataFrame:
     """(id, pii_type, start_at, end_at, probability): the accepted spans, 1-based and inclusive, in code points.
 
@@ -270,10 +296,8 @@ def find_personal(texts: DataFrame, least: float = 0.5) -> DataFrame:
     Of the types of one start the most probable stays.
     """
     found = save(candidates(texts, Labelers(*gazetteers(texts))), "personal-candidates")
-    patterns = found.groupBy("pii_type", "votes", "features").agg(F.count(F.lit(1)).alias("n")).collect()  # votes and bins: bounded by their number
-    model = fit([(r.pii_type, r.votes, r.features, r.n) for r in sorted(patterns)])
-    prob = texts.sparkSession.createDataFrame(model, "pii_type string, votes string, features string, probability double")
-    kept = found.join(F.broadcast(prob), ["pii_type", "votes", "features"]).filter(F.col("probability") >= least)
+    cued = found.join(F.broadcast(context_cues(scored(found))), ["pii_type", "cue"], "left").withColumn("votes", F.concat("votes", F.coalesce("vote", F.lit("0")))).drop("vote")
+    kept = scored(cued).filter(F.col("probability") >= least)
     first = Window.partitionBy("id", "start_at").orderBy(F.desc("probability"), F.desc("end_at"), "pii_type")
     return kept.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("id", "pii_type", "start_at", "end_at", "probability")
 
