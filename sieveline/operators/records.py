@@ -164,13 +164,26 @@ def coverage_gaps(records: DataFrame, head: str, axes: dict[str, Sequence[str]],
     return out
 
 
+def axis_problems(axes: dict[str, Sequence[str]], observable: Sequence[str] = (), slice_fields: Sequence[str] = ()) -> list[str]:
+    """Why axes can't be used: empty or repeated values, observable names that are no axis, slices gated on axes that serving can't observe."""
+    bad = [f"axis {a!r} needs a name" for a in axes if not a or "=" in a]
+    for a, values in axes.items():
+        if not values or any(not isinstance(v, str) or not v for v in values):
+            bad.append(f"axis {a} needs values that are not empty")
+        elif len(set(values)) != len(values):
+            bad.append(f"axis {a} repeats a value")
+    bad += [f"{a} is no axis" for a in [*observable, *slice_fields] if a not in axes]
+    return bad + [f"axis {a} is not observable when serving, so no slice can be gated on it" for a in slice_fields if a in axes and a not in observable]
+
+
 def coverage_slices(records: DataFrame, head: str, axes: dict[str, Sequence[str]], observable: Sequence[str], alpha: float = 0.05, delta: float = 0.05, group: str = "group_id") -> list[dict]:
     """Per value of an observable axis the calibration groups there are and needed; weighted samples count their Kish number."""
     need, out = minimum_samples(alpha, delta), []
     cal = _labelled(records, head).filter((F.col("role") == "calibration") & (F.col("_y") == 1)).withColumn("_iw", 1 / F.col("source.inclusion_prob"))
+    bad = axis_problems(axes, observable)
+    if bad:
+        raise ValueError("; ".join(bad))
     for a in observable:
-        if a not in axes:
-            raise ValueError(f"unknown axis {a}")
         got = {r.v: r for r in cal.groupBy(F.col(a).cast("string").alias("v")).agg(F.countDistinct(group).alias("g"), F.count(F.lit(1)).alias("n"), F.count("_iw").alias("m"), F.sum("_iw").alias("s"), F.sum(F.col("_iw") * F.col("_iw")).alias("ss")).collect()}
         for v in axes[a]:
             r = got.get(v)

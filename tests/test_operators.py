@@ -279,3 +279,20 @@ def test_every_design_is_sampled_like_its_own_frame(spark, tmp_path):
     items.write.parquet(f"{tmp_path}/frame_items.parquet")
     for name in ("design_sample", "design_summary"):
         assert {r.design_id for r in registry.QUERIES[name](spark, str(tmp_path)).collect()} == {"d00-0000", "d00-0001"}
+
+
+def test_axes_are_checked():
+    assert records.axis_problems({"web": ["a", "b"]}, ["web"], ["web"]) == []
+    bad = records.axis_problems({"web": ["a", "a"], "": ["x"], "none": []}, ["other"], ["web"])
+    assert len(bad) == 5 and any("not observable" in b for b in bad)
+
+
+def test_lexical_features_equal_a_plain_count(spark):
+    text = "My card's card, it's 5 a"
+    words = ["my", "card", "s", "card", "it", "s", "5", "a"]
+    want = words + [f"{a} {b}" for a, b in zip(words, words[1:])] + [f"#_{w}_"[0] + f"_{w}_"[i : i + n] for w in words for n in (3, 4, 5) for i in range(len(w) + 3 - n)]
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    got = {r.id: r.t for r in df.select("id", tiers.lexical_tokens(F.col("text")).alias("t")).collect()}
+    assert sorted(got[1]) == sorted(want) and not got[2] and got[3] == []
+    v = {r.id: r.lexical for r in tiers.lexical_features(df).collect()}
+    assert v[1].size == 1 << 18 and v[1].toArray().sum() == len(want) and v[2].toArray().sum() == 0

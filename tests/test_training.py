@@ -264,3 +264,52 @@ def test_scores_of_invalid_vectors_are_null(spark):
     got = {r.id: r.scores for r in scoring.score_many(df, [scoring.Head("h", (1.0, -1.0), 0.5)], "id").collect()}
     assert got[2] is None and got[3] is None and got[4] is None
     assert got[1]["h"] == pytest.approx(stats.sigmoid(-0.5)) and got[5]["h"] == pytest.approx(stats.sigmoid(0.5))
+
+
+def edge_world(n=900):
+    rng = np.random.default_rng(12)
+    words = "parcel order where late card login page price plan thanks hello again".split()
+    rows = []
+    for i in range(n):
+        y = int(rng.random() < 0.25)
+        text = list(rng.choice(words, 8))
+        if rng.random() < (0.85 if y else 0.01):
+            text[int(rng.integers(0, 8))] = str(rng.choice(["stolen", "fraud"]))
+        x = (rng.normal(size=6) + 1.6 * y).tolist()
+        rows.append((i, " ".join(map(str, text)), y, ["train", "train", "calibration", "test"][i % 4], f"g{i}", bool(y and rng.random() < 0.3), x, [v + float(rng.normal()) for v in x[:3]]))
+    return rows
+
+
+def test_edge_and_middle_hold_their_budgets(spark):
+    from sieveline.operators import edge
+
+    df = spark.createDataFrame(edge_world(), "id long, text string, y int, split string, group string, rule boolean, x array<double>, middle array<double>")
+    e = edge.train_edge(df, max_false_alarms=0.05, max_dismissed=(0.2, 0.1, 0.0), bits=10)
+    assert [r.claims["max_dismissed"] for r in e["rungs"]] == [0.2, 0.1, 0.0] and e["rungs"][-1].dismiss is None
+    assert e["train_scores"].count() == 450 and not e["warnings"] and len({r.digest() for r in e["rungs"]}) == 3
+    bold = e["rungs"][0]
+    out = bold.score(df.filter("split = 'calibration'")).collect()
+    neg, pos = [r for r in out if r.y == 0], [r for r in out if r.y == 1]
+    assert 0 < sum(r.edge_decision == "fire" for r in pos) and sum(r.edge_decision == "fire" for r in neg) <= 0.05 * len(neg) and sum(r.edge_decision == "dismiss" for r in pos) <= 0.2 * len(pos)
+    again = edge.EdgeModel(bold.components, bold.parts, bold.blend, bold.fire, 0.0, bold.claims)
+    assert again.digest() != bold.digest() and edge.assemble("edge/1", {"h": bold})["digests"]["h"] == bold.digest() and not tiers.validate_tier(edge.assemble("edge/1", {"h": bold}))
+    m = edge.train_middle(df, bold, 0.8, max_false_alarms=0.1)
+    both = m.score(bold.score(df.filter("split = 'calibration'"))).collect()
+    assert all(r.tier_decision == r.edge_decision for r in both if r.edge_decision) and any(r.middle_decision for r in both)
+    assert sum(r.tier_decision == "fire" for r in both if r.y == 0) <= 0.1 * len(neg)
+    same = edge.train_middle(df, bold, 0.8, max_false_alarms=0.05)
+    assert same is None or same.fire is None
+    none = edge.train_edge(df.drop("rule"), scorers=("rules", "lexical"), bits=10)
+    assert none["warnings"] and list(none["rungs"][0].components) == ["lexical"]
+    with pytest.raises(ValueError):
+        edge.train_edge(df.filter("y = 1"), bits=10)
+
+
+def test_head_behind_an_edge(spark):
+    from sieveline.operators import edge
+
+    df = spark.createDataFrame(edge_world(), "id long, text string, y int, split string, group string, rule boolean, x array<double>, middle array<double>")
+    e = edge.train_edge(df, max_false_alarms=0.05, max_dismissed=(0.1, 0.0), scorers=("rules", "lexical", "middle"), bits=10)
+    r = edge.train_with_edge(df.withColumn("y_h", F.col("y")), "h", {"kind": "recall", "target_recall": 0.7, "mode": "auto"}, 6, e)
+    assert r["guarantee"]["edge"]["digest"] == r["edge"].digest() and 0 < r["guarantee"]["chain"]["joint_delta"] <= 1
+    assert r["evaluation"]["calibration_rows"] < 225 and r["evaluation"]["recall"] > 0.6
