@@ -20,8 +20,8 @@ TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces of one block, islands that work on it, rounds between migrations and generations of a round.
 BLOCK_ITEMS, ISLANDS, ROUNDS, GENERATIONS, POPULATION = 4096, 3, 2, 40, 6
-#: Children of a generation, and open bins that displaced items may enter by a swap.
-CHILDREN, SWAPS = 3, 64
+#: Children of a generation, open bins that displaced items may enter by a swap, and generations without a bin saved after which a round ends.
+CHILDREN, SWAPS, PATIENCE = 3, 64, 12
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
@@ -139,11 +139,14 @@ class Packer:
         return len(np.unique(genome))
 
     def evolve(self, population: list[np.ndarray], generations: int) -> list[np.ndarray]:
-        """The population after some generations, best first; it ends where no packing has fewer bins."""
+        """The population after some generations, best first; it ends where no packing has fewer bins, or none was saved for PATIENCE generations."""
         pop = [*population, *(self.first() for _ in range(POPULATION - len(population)))]
         pop.sort(key=self.fitness, reverse=True)
+        least, stale = len(self.sizes) + 1, 0
         for _ in range(generations):
-            if len(self.sizes) == 0 or self.bins(pop[0]) <= self.bound:
+            now = self.bins(pop[0])
+            stale, least = (0, now) if now < least else (stale + 1, least)
+            if now <= self.bound or stale >= PATIENCE:
                 break
             children = []
             for _ in range(CHILDREN):
