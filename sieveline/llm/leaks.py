@@ -116,10 +116,13 @@ def _scan(docs: DataFrame, items: Items, share: float, gram: int, window: int) -
                 got = []
                 for c0 in range(0, len(cand), 20_000):
                     c, n = cand[c0 : c0 + 20_000], size[c0 : c0 + 20_000]
-                    j = np.arange(int(n.max()))
-                    pos = c[:, 2:] + j
+                    j = np.arange(int(n.max()), dtype=np.int32)
+                    pos = c[:, 2:].astype(np.int32) + j
                     legal = (j < n[:, None]) & (pos >= off[c[:, 0]][:, None]) & (pos < off[c[:, 0] + 1][:, None])
                     same = legal & (flat[np.clip(pos, 0, len(flat) - 1)] == it.flat[np.clip(it.off[c[:, 1]][:, None] + j, 0, len(it.flat) - 1)])
+                    # A stretch has no two misses in a row, so at least half of its words match.
+                    enough = 2 * same.sum(1) >= need[c[:, 1]]
+                    c, n, same = c[enough], n[enough], same[enough]
                     length, matched, first = stretches(same)
                     hit = length >= need[c[:, 1]]
                     got.append(np.stack([c[hit, 0], c[hit, 1], n[hit], length[hit], matched[hit], c[hit, 2] + first[hit] - off[c[hit, 0]], first[hit]], 1))

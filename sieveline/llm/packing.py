@@ -209,8 +209,9 @@ def _evolve(work: DataFrame, state: DataFrame, number: int) -> DataFrame:
                 genomes = pa.array([[np.unique(g, return_inverse=True)[1].astype(np.int32) for g in pop]], pa.list_(pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(k, 1) for c in ("container_no", "block", "island")), genomes, pa.array([p.fitness(pop[0])])], names=[*(f.split()[0] for f in STATE.split(", "))])
 
-    # One row is one island; islands are dealt over the tasks by key.
-    rows = state.join(work, ["container_no", "block"]).repartition("container_no", "block", "island")
+    # One row is one island, of few bytes and much work: dealt over a fixed number of tasks, which isn't made smaller.
+    tasks = max(state.sparkSession.sparkContext.defaultParallelism, int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = state.join(work, ["container_no", "block"]).repartition(tasks, "container_no", "block", "island")
     return save(rows.select("container_no", "block", "island", "genomes", "capacity", "tokens").mapInArrow(run, STATE), "packing-round")
 
 
