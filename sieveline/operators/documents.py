@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,58 @@ def packed(max_words: int) -> Column:
     )
 
 
+def plan_chunks(documents: DataFrame, budget: int, count: Callable[[list[str]], list[int]] | None = None, *, embed: Callable[[list[str]], np.ndarray] | None = None, least_cosine: float | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, pos, chunk, tokens): chunks by a tokenizer of the caller, within ``budget`` tokens each.
+
+    ``count`` gives the tokens of strings (words where None).  Sentences fill a chunk in order; one longer than the budget
+    is cut between words, and a word longer than it stands alone.  With ``embed`` (strings to unit vectors) a chunk also
+    ends where neighbouring sentences are less than ``least_cosine`` alike.  Both work on the sentences of whole documents
+    in Arrow batches.  Null and empty texts have no chunk.
+    """
+    kind = documents.schema[key].dataType.simpleString()
+    size = count or (lambda texts: [len(t.split()) for t in texts])
+
+    def fit(sentence: str) -> list[str]:
+        words, out = sentence.split(), []
+        while words:
+            n = len(words)
+            while n > 1 and size([" ".join(words[:n])])[0] > budget:
+                n //= 2
+            out.append(" ".join(words[:n]))
+            words = words[n:]
+        return out
+
+    def plan(sentences: list[str]) -> list[tuple[str, int]]:
+        pieces = [p for s, n in zip(sentences, size(sentences)) for p in ([s] if n <= budget else fit(s))]
+        like = None
+        if embed is not None and least_cosine is not None and len(pieces) > 1:
+            v = np.asarray(embed(pieces), float)
+            like = (v[1:] * v[:-1]).sum(1)
+        out: list[tuple[str, int]] = []
+        for i, p in enumerate(pieces):
+            both = f"{out[-1][0]} {p}" if out else p
+            n = size([both])[0]
+            if out and n <= budget and (like is None or like[i - 1] >= least_cosine):
+                out[-1] = both, n
+            else:
+                out.append((p, size([p])[0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(i, pos, c, n) for i, s in enumerate(b.column("s").to_pylist()) for pos, (c, n) in enumerate(plan(s))]
+            at, pos, chunk, tokens = zip(*got) if got else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array(chunk, pa.string()), pa.array(tokens, pa.int32())], names=[key, "pos", "chunk", "tokens"])
+
+    rows = documents.filter(F.col("text").isNotNull()).select(key, sentences_of(F.col("text")).alias("s"))
+    return spread(rows.filter(F.size("s") > 0)).mapInArrow(run, f"{key} {kind}, pos int, chunk string, tokens int")
+
+
+def sentences_of(text: Column) -> Column:
+    """Sentences in order, trimmed; a line end also ends one."""
+    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: F.length(s) > 0)
+
+
 def embed_chunks(chunked: DataFrame, dimensions: int = 64) -> DataFrame:
     """Chunk vectors by the deterministic hash embedding, each different text embedded once."""
     once = spread(chunked.select("chunk").distinct()).withColumn("embedding", hash_embedding(F.col("chunk"), dimensions))

@@ -419,14 +419,28 @@ def drift_counts(spark, d):
     return monitor.window_counts(table(spark, d, "events"), 90.0, 60.0, score="value")
 
 
-@query()
+DRIFT = f"""
+WITH RECURSIVE w AS (SELECT date_trunc('day', ts) AS window_start, count(*) AS n, count(*) FILTER (value >= 90) AS firing, count(*) FILTER (value >= 60) AS review FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1),
+u AS (SELECT min(window_start) + INTERVAL 7 DAY AS until FROM w),
+r AS (SELECT sum(n)::BIGINT AS m, sum(firing)::BIGINT AS firing, sum(review)::BIGINT AS review FROM w, u WHERE window_start < until),
+k AS (SELECT 'firing' AS name, m, firing AS k FROM r UNION ALL SELECT 'review', m, review FROM r),
+h AS (SELECT name, m, k, 0 AS i, 0.0::DOUBLE AS l0, 1.0::DOUBLE AS l1, 0.0::DOUBLE AS u0, 1.0::DOUBLE AS u1 FROM k
+UNION ALL SELECT name, m, k, i + 1, CASE WHEN low < 0.00125 THEN (l0 + l1) / 2 ELSE l0 END, CASE WHEN low < 0.00125 THEN l1 ELSE (l0 + l1) / 2 END, CASE WHEN up > 0.00125 THEN (u0 + u1) / 2 ELSE u0 END, CASE WHEN up > 0.00125 THEN u1 ELSE (u0 + u1) / 2 END
+FROM (SELECT *, 1 - {stats_sql("k - 1", "m", "(l0 + l1) / 2")} AS low, {stats_sql("k", "m", "(u0 + u1) / 2")} AS up FROM h WHERE i < 55)),
+v AS (SELECT w.window_start, h.name, CASE h.name WHEN 'firing' THEN w.firing ELSE w.review END AS x, w.n AS rows, l0 AS lo, u0 AS hi FROM w, u, h WHERE h.i = 55 AND w.window_start >= until),
+p AS (SELECT window_start, name || '-up' AS test, x, rows, 1 - {stats_sql("x - 1", "rows", "hi")} AS p FROM v UNION ALL SELECT window_start, name || '-down', x, rows, {stats_sql("x", "rows", "lo")} FROM v)
+SELECT window_start, 'head' AS head, test, x AS live_count, rows AS live_rows, round(p, 7) AS p_value, p <= 0.00125 AS alert FROM p
+"""
+
+
+@query(DRIFT)
 def drift_checks(spark, d):
     """Four exact tests per day against the first week."""
     counts = save(monitor.window_counts(table(spark, d, "events"), 90.0, 60.0, score="value"), "windows")
     first = counts.agg(F.min("window_start")).first()[0]
     until = first + datetime.timedelta(days=7)
     ref = tuple(int(x) for x in counts.filter(F.col("window_start") < F.lit(until)).agg(F.sum("n"), F.sum("firing"), F.sum("review")).first())
-    return monitor.monitor(counts.filter(F.col("window_start") >= F.lit(until)), ref)
+    return monitor.monitor(counts.filter(F.col("window_start") >= F.lit(until)), ref).withColumn("p_value", F.round("p_value", 7))
 
 
 @query(f"""

@@ -296,3 +296,21 @@ def test_lexical_features_equal_a_plain_count(spark):
     assert sorted(got[1]) == sorted(want) and not got[2] and got[3] == []
     v = {r.id: r.lexical for r in tiers.lexical_features(df).collect()}
     assert v[1].size == 1 << 18 and v[1].toArray().sum() == len(want) and v[2].toArray().sum() == 0
+
+
+def test_chunks_by_a_tokenizer_of_the_caller(spark):
+    def count(texts):
+        return [-(-len(t) // 4) for t in texts]  # four letters a token
+
+    def embed(texts):
+        return np.array([[1.0, 0.0] if "card" in t else [0.0, 1.0] for t in texts])
+
+    text = "My card is lost. The card was blue.\nWhere is it? " + "longword " * 30 + "end."
+    df = spark.createDataFrame([(1, text), (2, None), (3, " \n "), (4, "x" * 200)], "doc_id long, text string")
+    got = documents.plan_chunks(df, 12, count).orderBy("doc_id", "pos").collect()
+    assert " ".join(r.chunk for r in got if r.doc_id == 1).split() == text.split() and all(r.tokens <= 12 for r in got if r.doc_id == 1)
+    assert [r.chunk for r in got if r.doc_id == 4] == ["x" * 200] and {r.doc_id for r in got} == {1, 4}
+    assert [r.pos for r in got if r.doc_id == 1] == list(range(sum(r.doc_id == 1 for r in got)))
+    apart = documents.plan_chunks(df, 40, count, embed=embed, least_cosine=0.5).filter("doc_id = 1").orderBy("pos").collect()
+    assert apart[0].chunk == "My card is lost. The card was blue." and not any("card" in r.chunk for r in apart[1:])
+    assert documents.plan_chunks(df.limit(0), 5).count() == 0
