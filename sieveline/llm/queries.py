@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import table
-from .leaks import leaks
+from ..sources.shared import save, table
+from .leaks import LINE_MARK, leaks
 from .neighbours import nearest
 from .near_duplicates import near_duplicate_groups, near_duplicates, pairs_of_members
 from .overlaps import split_overlaps
 from .packing import pack, packing_report, token_counts
 from .personal import find_personal, redact
 from .proportions import proportional_sample
-from .reading import reading_levels, train
+from .reading import ENGLISH, is_english, measured, reading_levels, train
 from .splits import assign_splits, divided, normal_group
 from .varied import crowding, varied_subset
 
@@ -47,6 +47,12 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return per.groupBy("role", "kind").agg(F.count(F.lit(1)).alias("records"), F.sum("partners").alias("pairs"), F.avg("best_coverage").alias("mean_coverage"))
 
 
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Per role and source kind the records that overlap with a training record, and their pairs."""
+    per = _overlaps(spark, d)[1]
+    return per.groupBy("role", "kind").agg(F.count(F.lit(1)).alias("records"), F.sum("partners").alias("pairs"))
+
+
 def _messages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "frame_items").select("id", "text").unionByName(table(spark, d, "example_records").select("id", "text"))
 
@@ -166,6 +172,14 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing_report(pack(token_counts(table(spark, d, "documents")), containers), containers)
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Per container the documents that are packed, all of a token or more, and the bins that hold more than they may."""
+    packed = save(p8_packing(spark, d), "packed")
+    cap = table(spark, d, "containers").select("container_no", "capacity").distinct()
+    loads = packed.groupBy("container_no", "bin").agg(F.sum("tokens").alias("t")).join(F.broadcast(cap), "container_no").groupBy("container_no").agg(F.count_if(F.col("t") > F.col("capacity")).alias("overfull"))
+    return packed.groupBy("container_no").agg(F.countDistinct("doc_id").alias("documents")).join(loads, "container_no")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -179,6 +193,17 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("item_no").agg(F.count(F.lit(1)).alias("documents"), F.max("stretch").alias("longest_stretch"), F.max("item_words").alias("item_words"))
 
 
+def p9_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in which an item stands whole, word for word."""
+    return _leaks(spark, d).filter("matched = item_words").select("doc_id", "item_no")
+
+
+def p10_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words that begin with a letter, English function words among all, and whether the text counts as English."""
+    m = measured(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return m.select("doc_id", "n_words", "n_english", F.coalesce(is_english(), F.lit(False)).alias("english"))
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select("doc_id", "text")
     return reading_levels(documents, train(table(spark, d, "graded_passages"), documents))
@@ -262,6 +287,29 @@ P1_MEASURES = P1_FOUND[: P1_FOUND.index("SELECT DISTINCT least(x, y)")].replace(
 SELECT least(x, y) AS id_a, greatest(x, y) AS id_b, round(max(common), 9) AS common, round(max(cosine), 6) AS cosine FROM texts FULL JOIN vecs USING (x, y) GROUP BY ALL
 """
 
+P1_COUNTS = P1_FOUND[: P1_FOUND.index("SELECT DISTINCT least(x, y)")] + """,
+p AS (SELECT DISTINCT x, y FROM (SELECT * FROM texts UNION ALL SELECT * FROM vecs)),
+who AS (SELECT DISTINCT ON (id) id, role, source.kind AS kind FROM example_records)
+SELECT role, kind, count(DISTINCT y) AS records, count(*) AS pairs FROM p JOIN who ON who.id = p.y GROUP BY role, kind
+"""
+
+P8_PACKED = """
+SELECT container_no, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, 0 AS overfull FROM containers WHERE capacity > 0
+"""
+
+_BARE = f"' ' || array_to_string(regexp_extract_all(lower(regexp_replace(text, '{LINE_MARK}', '', 'g')), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' '"
+
+P9_WHOLE = f"""
+WITH d AS (SELECT doc_id, {_BARE} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_no, {_BARE} AS w FROM eval_items WHERE text IS NOT NULL)
+SELECT DISTINCT doc_id, item_no FROM d JOIN i ON contains(d.w, i.w) WHERE length(i.w) > 2
+"""
+
+P10_WORDS = f"""
+WITH w AS (SELECT doc_id, coalesce({WORDS}, []) AS w FROM documents),
+n AS (SELECT doc_id, len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{L}}'))) AS n_words, len(list_filter(w, lambda x: x IN ({", ".join(f"'{x}'" for x in ENGLISH)}))) AS n_english FROM w)
+SELECT *, n_words > 0 AND n_english >= 0.15 * n_words AS english FROM n
+"""
+
 P3_KEPT = f"""
 SELECT group_key, 1 AS splits, count(DISTINCT id) AS records FROM (SELECT id, {GROUP} AS group_key FROM example_records) WHERE group_key IS NOT NULL GROUP BY group_key
 """
@@ -285,6 +333,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_overlaps": p1_overlaps,
     "p1_measures": p1_measures,
     "p1_report": p1_report,
+    "p1_counts": p1_counts,
     "p2_found": p2_found,
     "p2_neighbours": p2_neighbours,
     "p3_found": p3_found,
@@ -305,10 +354,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": p8_found,
     "p8_packing": p8_packing,
     "p8_report": p8_report,
+    "p8_packed": p8_packed,
     "p9_found": p9_found,
     "p9_report": p9_report,
+    "p9_whole": p9_whole,
     "p10_found": p10_found,
     "p10_levels": p10_levels,
+    "p10_words": p10_words,
 }
 
-SQL: dict[str, str] = {"p1_found": P1_FOUND, "p1_measures": P1_MEASURES, "p3_kept": P3_KEPT, "p5_components": P5_COMPONENTS, "p6_drawn": P6_DRAWN, "p7_frame": P7_FRAME, "p2_found": P2_FOUND, "p2_neighbours": P2_NEIGHBOURS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
+SQL: dict[str, str] = {"p1_counts": P1_COUNTS, "p8_packed": P8_PACKED, "p9_whole": P9_WHOLE, "p10_words": P10_WORDS, "p1_found": P1_FOUND, "p1_measures": P1_MEASURES, "p3_kept": P3_KEPT, "p5_components": P5_COMPONENTS, "p6_drawn": P6_DRAWN, "p7_frame": P7_FRAME, "p2_found": P2_FOUND, "p2_neighbours": P2_NEIGHBOURS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
