@@ -1,7 +1,7 @@
 """Candidate pairs from buckets of equal hashes, for texts and vectors alike.
 
-Rows (key, s1, s2, n[, side]) name a record by its sketch of 128 bits and its size, so that what is compared is all
-that is shuffled; callers join the sketches to their records afterwards.  Rows are hash partitioned and sorted by key; each task streams its rows and compares
+Rows (key, s1, s2[, side]) name a record by its sketch of 128 bits and its size, which stands in the low bits of the key, so
+that what is compared is all that is shuffled; callers join the sketches to their records afterwards.  Rows are hash partitioned and sorted by key; each task streams its rows and compares
 within runs of one key, so it holds one chunk at a time.  A run longer than ``HOT`` is handed on, with all it needs for
 comparing: its members are hashed again more finely, or compared in pairs of blocks, each a task of its own.  No
 bucket is bound to one task and none is dropped.
@@ -51,19 +51,25 @@ def minhash(flat: np.ndarray, off: np.ndarray, count: int, seed: int, chunk: int
     return out
 
 
-#: The bits of a key that are used: different buckets of 10^11 rows then seldom share one, and near() sorts those out.
-KEY_BITS = np.uint64(0xFFFFFFFFFF000000)
+#: Bits of a key that hold the size; the others name the bucket: of 10^11 rows few share one by chance, and near() sorts those out.
+SIZE_BITS = 24
+
+
+def with_size(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Keys whose upper 40 bits name a bucket, never 0, and whose lower 24 hold a size."""
+    bucket = key.view(np.uint64) >> np.uint64(SIZE_BITS)
+    return (np.maximum(bucket, np.uint64(1)) << np.uint64(SIZE_BITS) | np.minimum(n, (1 << SIZE_BITS) - 1).astype(np.uint64)).view(np.int64)
 
 
 def band_keys(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(sets, bands) int64 keys, not 0, each of ``rows`` minima and the band's number; the low 24 bits are 0 and cost no bytes in a shuffle."""
+    """(sets, bands) int64 keys, each of ``rows`` minima and the band's number."""
     keys = np.empty((len(minima), bands), np.uint64)
     for b in range(bands):
         acc = np.full(len(minima), b + 1, np.uint64)
         for c in range(b * rows, (b + 1) * rows):
             acc = mix(acc ^ minima[:, c].astype(np.uint64), 77)
-        keys[:, b] = acc & KEY_BITS
-    return np.where(keys == 0, np.uint64(1 << 24), keys).view(np.int64)
+        keys[:, b] = acc
+    return keys.view(np.int64)
 
 
 def sketches(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +174,11 @@ def candidates(rows: DataFrame, name: str, near: Filter, *, sided: bool = False,
     """Different pairs (a1, a2, an, b1, b2, bn) of sketches and sizes that share a key and pass ``near``; written to the shared folder.
 
     sided: only pairs of side 0 (a) with side 1 (b); else different sketches or sizes, a < b.  Repeated rows
-    count once.  Keys are not 0 (callers move it).  refine: of the members (s1, s2, n) of hot runs, rows with finer
+    count once.  rows: (key, s1, s2[, side]) with keys of ``with_size``.  refine: of the members (s1, s2, n) of hot runs, rows with finer
     keys, whose runs are compared instead; without it a hot run is compared in pairs of blocks.  expected: about how
     many rows there are, for the number of partitions where the session's is too small.
     """
-    use = rows.select("key", "s1", "s2", "n", *([F.col("side").cast("byte").alias("side")] if sided else []))
+    use = rows.select("key", "s1", "s2", *([F.col("side").cast("byte").alias("side")] if sided else []))
 
     def tidy(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         order = np.lexsort((cols["n"], cols["s2"], cols["s1"], cols["side"], cols["key"]))
@@ -240,7 +246,8 @@ def candidates(rows: DataFrame, name: str, near: Filter, *, sided: bool = False,
 
         for b in batches:
             if b.num_rows:
-                held.append({"side": np.zeros(b.num_rows, np.int8)} | {c: b.column(c).to_numpy() for c in b.schema.names})
+                get = {"side": np.zeros(b.num_rows, np.int8)} | {c: b.column(c).to_numpy() for c in b.schema.names}
+                held.append(get | {"key": get["key"] >> SIZE_BITS, "n": (get["key"] & ((1 << SIZE_BITS) - 1)).astype(np.int32)})
                 size += b.num_rows
                 if size >= CHUNK:
                     yield from flush(False)
@@ -249,7 +256,8 @@ def candidates(rows: DataFrame, name: str, near: Filter, *, sided: bool = False,
 
     parts = expected * ROW_BYTES >> 26  # of 64 MB
     few = parts <= int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    raw = save((use.repartition("key") if few else use.repartition(parts, "key")).sortWithinPartitions("key").mapInArrow(run, PAIRS), name)
+    bucket = F.shiftright("key", SIZE_BITS)
+    raw = save((use.repartition(bucket) if few else use.repartition(parts, bucket)).sortWithinPartitions("key").mapInArrow(run, PAIRS), name)
     pairs = raw.filter(F.col("key") == 0).select(*ENDS)
     hot = raw.filter(F.col("key") != 0).select("key", F.col("a1").alias("s1"), F.col("a2").alias("s2"), F.col("an").alias("n"), F.col("b1").cast("byte").alias("side"))
     if hot.isEmpty():

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import save
-from .buckets import ENDS, AlikeSets, band_keys, candidates, ends, minhash, named, records_of, sketches
+from .buckets import ENDS, AlikeSets, band_keys, candidates, ends, minhash, named, records_of, sketches, with_size
 from .common import flat_longs, word_set
 from .components import components
 
@@ -46,7 +46,7 @@ def word_sets(docs: DataFrame, min_words: int, name: str = "word-sets") -> DataF
 
 
 def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, s1, s2, n) for every band of every set; a task sends a class once."""
+    """(key, s1, s2) for every band of every set; a task sends a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -58,13 +58,13 @@ def band_rows(sets: DataFrame, bands: int, rows: int) -> DataFrame:
                     new[i] = True
             if new.any():
                 b = b.filter(pa.array(new))
-                keys = band_keys(minhash(*flat_longs(b.column("words")), bands * rows, 0), bands, rows)
+                keys = with_size(band_keys(minhash(*flat_longs(b.column("words")), bands * rows, 0), bands, rows), b.column("n").to_numpy()[:, None])
                 for j in range(0, bands, 10):
                     part = keys[:, j : j + 10]
                     wide = part.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), *(pa.array(np.repeat(b.column(c).to_numpy(), wide)) for c in ("s1", "s2", "n"))], names=["key", "s1", "s2", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), *(pa.array(np.repeat(b.column(c).to_numpy(), wide)) for c in ("s1", "s2"))], names=["key", "s1", "s2"])
 
-    return sets.select("ck", "words", "s1", "s2", "n").mapInArrow(run, "key long, s1 long, s2 long, n int")
+    return sets.select("ck", "words", "s1", "s2", "n").mapInArrow(run, "key long, s1 long, s2 long")
 
 
 def class_links(sets: DataFrame, threshold: float, bands: int = BANDS, rows: int = ROWS, name: str = "links") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import save
-from .buckets import AlikeSets, AlikeSigns, band_keys, candidates, ends, minhash, named, records_of
+from .buckets import SIZE_BITS, AlikeSets, AlikeSigns, band_keys, candidates, ends, minhash, named, records_of, with_size
 from .common import flat_longs, mix, valid_vector, vectors, word_hashes
 from .near_duplicates import BANDS, FINE_BANDS, FINE_ROWS, ROWS, sketched
 
@@ -72,11 +72,11 @@ def _tables(records: DataFrame, sides: dict[str, int]) -> DataFrame:
     return save(sketched(rows.withColumn("ck", F.xxhash64("seq")), "seq", "id string, side int, ck long, seq array<long>"), "overlap-texts")
 
 
-PRINTS = "key long, s1 long, s2 long, n int, side int"
+PRINTS = "key long, s1 long, s2 long, side int"
 
 
 def fingerprints(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, winnowed: bool = True) -> DataFrame:
-    """(key, s1, s2, n, side): the winnowed rolling hashes of every text and its bands of minima; a task sends a class once.
+    """(key, s1, s2, side): the winnowed rolling hashes of every text and its bands of minima; a task sends a class once.
 
     Winnowing alone meets for certain only at a long shared run.  Texts that are alike without one (edits all over,
     moved sentences, few words) share a band of the minima over their words.
@@ -102,8 +102,8 @@ def fingerprints(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, winnowe
                 at = winnow(h, inside, doc, None, WINDOW)
                 found.append((h[at].view(np.int64), doc[at]))
             for key, d in found:
-                key = np.where(key == 0, 1, key)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(b.column(c).to_numpy()[d]) for c in ("s1", "s2", "n", "side"))], names=["key", "s1", "s2", "n", "side"])
+                key = with_size(np.ascontiguousarray(key), b.column("n").to_numpy()[d])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(b.column(c).to_numpy()[d]) for c in ("s1", "s2", "side"))], names=["key", "s1", "s2", "side"])
 
     return texts.select("seq", "ck", "s1", "s2", "n", "side").mapInArrow(run, PRINTS)
 
@@ -211,7 +211,7 @@ def signed(rows: DataFrame, width: int) -> DataFrame:
 
 
 def vector_bands(rows: DataFrame, width: int, bits: int = BITS, bands: int = VECTOR_BANDS) -> DataFrame:
-    """(key, s1, s2, n, side) of every vector of ``signed`` rows: ``bands`` keys of ``bits`` signs each."""
+    """(key, s1, s2, side) of every vector of ``signed`` rows: ``bands`` keys of ``bits`` signs each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = planes(width, bits * bands, 11)
@@ -219,10 +219,10 @@ def vector_bands(rows: DataFrame, width: int, bits: int = BITS, bands: int = VEC
             x, at = vectors(b.column("embedding"), width)
             if len(x):
                 code = (x @ p > 0).astype(np.uint8).reshape(len(x), bands, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                key = code + 1 + (np.arange(bands, dtype=np.int64) << (bits + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(b.column(c).to_numpy()[at], bands)) for c in ("s1", "s2", "n", "side"))], names=["key", "s1", "s2", "n", "side"])
+                key = with_size((code + 1 + (np.arange(bands, dtype=np.int64) << (bits + 1))) << SIZE_BITS, np.ones((len(x), 1), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(b.column(c).to_numpy()[at], bands)) for c in ("s1", "s2", "side"))], names=["key", "s1", "s2", "side"])
 
-    return rows.select("embedding", "s1", "s2", "n", "side").mapInArrow(run, PRINTS)
+    return rows.select("embedding", "s1", "s2", "side").mapInArrow(run, PRINTS)
 
 
 def vector_overlaps(rows: DataFrame, width: int, least: float) -> DataFrame:
