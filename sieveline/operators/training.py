@@ -57,11 +57,11 @@ def _sums(rows: DataFrame, job, size: int) -> np.ndarray:
 def fit_linear(rows: DataFrame, width: int, *, c: float = 1.0, balance: bool = True, vector: str = "x", label: str = "y", weight: str | None = None, rounds: int = 30) -> tuple[np.ndarray, float, bool]:
     """(weights, bias, converged): class-balanced L2 logistic regression by Newton steps over distributed sums.
 
-    Rows (x, y[, w]) stay where they are; per round every task sends one gradient and Hessian.  Rows with a null vector,
-    label or another width are left out.
+    Rows (x, y[, w]) stay where they are; per round every task sends one gradient and Hessian.  Rows with a null vector or
+    label, of another width or with numbers that are not finite are left out.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    use = rows.select(F.transform(vector, lambda v: v.cast("double")).alias("x"), F.col(label).cast("double").alias("y"), w.alias("w")).filter((F.size("x") == width) & F.col("y").isNotNull())
+    use = rows.select(F.transform(vector, lambda v: v.cast("double")).alias("x"), F.col(label).cast("double").alias("y"), w.alias("w")).filter((F.size("x") == width) & F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))))
     use = save(use, "fit-rows")  # read once per round
     pos, total = use.agg(F.sum(F.col("w") * F.col("y")), F.sum("w")).first()
     if not total or not pos or pos >= total:
@@ -291,10 +291,10 @@ def _train_head(rows, name, policy, width, c, delta, review_ratio, method, max_e
     own = rows.withColumn("y", F.col(f"y_{name}")).withColumn("preset", F.when(fired & dismissed, -1.0).when(fired, 1.0).when(dismissed, 0.0)).filter("y is not null")
     if own.filter("preset < 0").limit(1).count():
         raise ValueError(f"head {name}: rows are both fired and dismissed")
-    key = F.coalesce(F.col("group").cast("string"), F.col("id").cast("string"))
+    key = F.coalesce(F.col("group").cast("string"), F.concat(F.lit("row "), F.col("id").cast("string")))  # a row without group is its own
     more = ["finer"] if "finer" in rows.columns else []
     train = own.filter("split = 'train'").select("id", F.transform("x", lambda v: v.cast("double")).alias("x"), "y", (F.col("w").cast("double") if "w" in rows.columns else F.lit(1.0)).alias("w"), key.alias("key"), *more)
-    held = own.filter("split in ('calibration', 'test')")
+    held = own.filter("split in ('calibration', 'test')").withColumn("group", key)
     summary = None
     if weak is not None:
         train, summary = with_weak(train, weak, held, max_weak_share)

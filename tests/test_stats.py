@@ -111,3 +111,20 @@ def test_calibration_tests():
 def test_digest_ignores_key_order():
     assert s.canonical_digest({"a": 1, "b": [1, 2]}) == s.canonical_digest({"b": [1, 2], "a": 1}) != s.canonical_digest({"a": 1, "b": [2, 1]})
     assert len(s.stable_id(["x", 1])) == 13
+
+
+def test_share_bound_holds_its_confidence():
+    rng, fails = np.random.default_rng(7), 0
+    frames = {"a": (rng.random(600) < 0.3).sum() / 600, "b": (rng.random(3000) < 0.1).sum() / 3000}
+    truth = (600 * frames["a"] + 3000 * frames["b"]) / 3600
+    for _ in range(400):
+        below = {"a": int(rng.hypergeometric(round(600 * frames["a"]), 600 - round(600 * frames["a"]), 60)), "b": int(rng.hypergeometric(round(3000 * frames["b"]), 3000 - round(3000 * frames["b"]), 60))}
+        fails += s.share_bound(below, {"a": (60, 600.0), "b": (60, 3000.0)}, 0.05) < truth
+    assert fails / 400 <= 0.05 + 3 * math.sqrt(0.05 * 0.95 / 400)
+
+
+def test_stable_ids_are_the_low_bits_of_fnv():
+    h = 0xCBF29CE484222325
+    for c in '["x",1]':
+        h = ((h ^ ord(c)) * 0x100000001B3) % 2**64
+    assert s.stable_id(["x", 1], "d") == f"d_{h % 2**52:013x}" and s.stable_id(["x", 1]) != s.stable_id(["x", 2])
