@@ -109,7 +109,11 @@ def _scan(docs: DataFrame, items: Items, share: float, gram: int, window: int) -
                 place, item = at[x], it.item[y]
                 d = doc[place]
                 start = place - it.pos[y]  # where the item's first word would stand in flat
-                cand = np.unique(np.stack([d, item, start], 1), axis=0)
+                items_n, longest = len(it.off) - 1, int(np.diff(it.off).max())
+                span = len(flat) + longest + 1
+                code = np.unique((d * items_n + item) * span + (start + longest))  # start is at least -longest
+                both, at_word = np.divmod(code, span)
+                cand = np.stack([both // items_n, both % items_n, at_word - longest], 1)
                 size = np.diff(it.off)[cand[:, 1]]
                 order = np.argsort(size, kind="stable")
                 cand, size = cand[order], size[order]
@@ -119,7 +123,7 @@ def _scan(docs: DataFrame, items: Items, share: float, gram: int, window: int) -
                     j = np.arange(int(n.max()), dtype=np.int32)
                     pos = c[:, 2:].astype(np.int32) + j
                     legal = (j < n[:, None]) & (pos >= off[c[:, 0]][:, None]) & (pos < off[c[:, 0] + 1][:, None])
-                    same = legal & (flat[np.clip(pos, 0, len(flat) - 1)] == it.flat[np.clip(it.off[c[:, 1]][:, None] + j, 0, len(it.flat) - 1)])
+                    same = legal & (flat.take(pos, mode="clip") == it.flat.take(it.off[c[:, 1]][:, None] + j, mode="clip"))
                     # A stretch has no two misses in a row, so at least half of its words match.
                     enough = 2 * same.sum(1) >= need[c[:, 1]]
                     c, n, same = c[enough], n[enough], same[enough]

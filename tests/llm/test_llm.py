@@ -79,7 +79,7 @@ def test_runs_are_streamed_in_chunks(spark, monkeypatch, sided):
     """One chunk, small chunks and hot runs in blocks give the pairs of brute force."""
     rng = np.random.default_rng(3)
     rows = {(int(k), int(c)): (int(k), int(c) * 5, int(c) * 3 - 200, int(n), int(c) % 2) for k, c, n in zip(np.minimum(rng.zipf(1.3, 3000), 500), rng.integers(1, 400, 3000), rng.integers(8, 20, 3000))}
-    packed = [((r[0] << buckets.SIZE_BITS) | r[3], r[1], r[2], r[4]) for r in [*rows.values(), *list(rows.values())[:50]]]
+    packed = [(int(buckets.with_size(np.array([r[0] << buckets.SIZE_BITS]), np.array([r[3]]))[0]), r[1], r[2], r[4]) for r in [*rows.values(), *list(rows.values())[:50]]]
     df = spark.createDataFrame(packed, "key long, s1 long, s2 long, side int")
     alike, want, by = buckets.AlikeSigns(7), set(), {}
     for r in rows.values():
