@@ -152,15 +152,25 @@ def conformal_pac(spark, d):
     return _one(spark, thresholds.conformal_limit(pos, 0.2, 0.05, True)[0])
 
 
-@query()
+SELECTION = SCORES + f""", gp AS (SELECT min(p_urgent) AS p FROM s WHERE label = 0 GROUP BY grp), gn AS (SELECT max(p_urgent) AS p FROM s WHERE label <> 0 GROUP BY grp),
+rp AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS i, count(*) OVER () AS n FROM gp), rn AS (SELECT p, row_number() OVER (ORDER BY p DESC) - 1 AS i, count(*) OVER () AS n FROM gn),
+l AS (SELECT 'pac' AS kind, (SELECT max(p) FROM rp WHERE {stats_sql('i', 'n', '0.2')} <= 0.025) AS most, (SELECT min(p) FROM rn WHERE {stats_sql('i', 'n', '0.3')} <= 0.025) AS least
+UNION ALL SELECT 'expected', (SELECT max(p) FROM rp WHERE i = floor(0.2 * (n + 1) + 1e-12) - 1), (SELECT max(p) FROM rn WHERE i = floor(0.3 * (n + 1) + 1e-12) - 1)),
+c AS (SELECT kind, most, least, CASE WHEN most IS NULL OR least IS NULL THEN 'few' WHEN least >= most THEN 'conflict' ELSE 'ok' END AS state FROM l),
+one AS (SELECT 'conformal-' || kind AS mode, CASE state WHEN 'ok' THEN kind ELSE 'none' END AS kind, CASE state WHEN 'ok' THEN most WHEN 'conflict' THEN least ELSE (SELECT coalesce(min(p), 0) FROM gp) END AS t, (state <> 'ok')::INT AS failures, 0 AS warnings, state FROM c),
+auto AS (SELECT 'auto' AS mode, o.kind, o.t, o.failures, (o.mode = 'conformal-expected' AND o.state = 'ok')::INT AS warnings FROM one o WHERE o.mode = CASE WHEN (SELECT state FROM one WHERE mode = 'conformal-pac') = 'few' THEN 'conformal-expected' ELSE 'conformal-pac' END)
+SELECT mode, kind, round(t, 9) AS threshold, failures, warnings, (SELECT count(*) FROM gp) AS positive_groups FROM (SELECT mode, kind, t, failures, warnings FROM one UNION ALL SELECT * FROM auto)"""
+
+
+@query(SELECTION)
 def conformal_selection(spark, d):
-    """Guarantee and threshold in every mode; binomial sums are not SQL."""
+    """Guarantee and threshold in every mode."""
     p = save(_p(scored(spark, d)).select("grp", "p", "label"), "scores")
     pos, neg = thresholds.group_scores(p.filter(POS), "grp"), thresholds.group_scores(p.filter(NEG), "grp", positive=False)
     out = []
     for mode in ("auto", "conformal-pac", "conformal-expected"):
         s = thresholds.conformal_threshold(mode, 0.8, pos, [("false_alarm", neg, 0.3)])
-        out.append((mode, s.kind, s.threshold, len(s.failures), len(s.warnings), s.sufficiency["positive_groups"]))
+        out.append((mode, s.kind, round(s.threshold, 9), len(s.failures), len(s.warnings), s.sufficiency["positive_groups"]))
     return spark.createDataFrame(out, "mode string, kind string, threshold double, failures int, warnings int, positive_groups long")
 
 
@@ -284,20 +294,50 @@ def middle_pinned(spark, d):
     return _edge(spark, d).select("vec_id", F.round(tiers.pin(F.col("decision"), F.col("p_refund")), 9).alias("pinned"))
 
 
-@query()
+def _kth(table: str, column: str, y: int, share: float, spent: str, order: str) -> str:
+    """SQL: the row of a class that a budget, less what is spent, leaves outside."""
+    return f"(SELECT x FROM (SELECT {column} AS x, row_number() OVER (ORDER BY {column} {order}) AS i FROM {table} WHERE y = {y}) WHERE i = floor({share}::DOUBLE * (SELECT count(*) FROM r WHERE y = {y})) + 1 - {spent})"
+
+
+def _cost(settled: str) -> str:
+    """SQL: false alarms at a recall of 0.9, settled rows first or last."""
+    return f"(SELECT min(fp / neg) FROM (SELECT sum(a) OVER w AS tp, sum(b) OVER w AS fp, sum(a) OVER () AS pos, sum(b) OVER () AS neg FROM (SELECT CASE {settled} WHEN 'fire' THEN 1e9 WHEN 'dismiss' THEN -1e9 ELSE h END AS v, sum(y) AS a, sum(1 - y) AS b FROM t GROUP BY 1) WINDOW w AS (ORDER BY v DESC)) WHERE tp / pos >= 0.9::DOUBLE)"
+
+
+CASCADE = SCORES + f""", r AS (SELECT (label = 0)::INT AS y, p_refund AS e, (p_urgent + p_refund) / 2 AS m, p_urgent AS h FROM s),
+ce AS (SELECT {_kth("r", "e", 0, 0.005, "0", "DESC")} AS f, CASE WHEN 0.02::DOUBLE * (SELECT count(*) FROM r WHERE y = 1) >= 1 THEN {_kth("r", "e", 1, 0.02, "0", "ASC")} END AS d),
+a AS (SELECT r.*, CASE WHEN e > f THEN 'fire' WHEN e < d THEN 'dismiss' END AS one FROM r, ce),
+o AS (SELECT * FROM a WHERE one IS NULL),
+cm AS (SELECT {_kth("o", "m", 0, 0.01, "(SELECT count(*) FROM a WHERE one = 'fire' AND y = 0)", "DESC")} AS f, CASE WHEN 0.07::DOUBLE * (SELECT count(*) FROM r WHERE y = 1) >= 1 THEN {_kth("o", "m", 1, 0.07, "(SELECT count(*) FROM a WHERE one = 'dismiss' AND y = 1)", "ASC")} END AS d),
+t AS (SELECT a.*, coalesce(one, CASE WHEN m > f THEN 'fire' WHEN m < d THEN 'dismiss' END) AS two FROM a, cm)
+SELECT three <= 1.1 * two + 0.001 AS cascade, round(two, 9) AS two_tier, round(three, 9) AS three_tier FROM (SELECT {_cost("one")} AS two, {_cost("two")} AS three)"""
+
+
+@query(CASCADE)
 def choose_cascade(spark, d):
     """The choice between two and three tiers on the training split."""
     rows = save(_p(scored(spark, d)).select("y", F.col("p_refund").alias("edge"), ((F.col("p_urgent") + F.col("p_refund")) / 2).alias("middle"), F.col("p_urgent").alias("head")), "cascade")
     c = tiers.choose_cascade(rows, {"edge_fire": 0.005, "edge_dismiss": 0.02, "middle_fire": 0.01, "middle_dismiss": 0.07}, 0.9)
-    return spark.createDataFrame([(c["cascade"], c["two_tier"], c["three_tier"])], "cascade boolean, two_tier double, three_tier double")
+    return spark.createDataFrame([(c["cascade"], round(c["two_tier"], 9), round(c["three_tier"], 9))], "cascade boolean, two_tier double, three_tier double")
 
 
-@query()
+def _certain(y: int, alpha: float, order: str) -> str:
+    """SQL: the row next to as many of a class as may lie beyond a threshold with confidence 0.95, frame without end."""
+    n = f"(SELECT count(*) FROM x WHERE y = {y})"
+    most = f"(SELECT max(c) FROM (SELECT unnest(range(0, {n} + 1)) AS c, {n}::DOUBLE AS n) WHERE {stats_sql('c', 'n', str(alpha))} <= 0.05 AND c / n + 1.6448536269514722 * sqrt(c / n * (1 - c / n) / (n - 1)) <= {alpha}::DOUBLE)"
+    return f"(SELECT s FROM (SELECT s, row_number() OVER (ORDER BY s {order}) AS i FROM x WHERE y = {y}) WHERE i = {most} + 1)"
+
+
+CERTIFICATES = SCORES + f""", x AS (SELECT p_urgent AS s, (label = 0)::INT AS y FROM s WHERE split <> 'test'), t AS (SELECT {_certain(0, 0.05, "DESC")} AS f, {_certain(1, 0.2, "ASC")} AS d)
+SELECT round(f, 9) AS fire, round(CASE WHEN d IS NULL OR f IS NULL THEN d ELSE least(d, f) END, 9) AS dismiss FROM t"""
+
+
+@query(CERTIFICATES)
 def tier_certificates(spark, d):
     """Fire and dismissal thresholds that hold with confidence."""
     p = _p(scored(spark, d)).filter("split <> 'test'")
     fire, dismiss = tiers.certify(p.select(F.col("p").alias("s"), "y"), 0.05, 0.2, 0.05)
-    return spark.createDataFrame([(fire, dismiss)], "fire double, dismiss double")
+    return spark.createDataFrame([tuple(None if t is None else round(t, 9) for t in (fire, dismiss))], "fire double, dismiss double")
 
 
 def _training_rows(spark: SparkSession, d: str) -> DataFrame:
