@@ -61,6 +61,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return find_personal(_messages(spark, d)).select(F.col("id").alias("item_id"), "pii_type", "start_at")
 
 
+def p4_emails(spark: SparkSession, d: str) -> DataFrame:
+    """How many e-mail addresses in plain form are found in an item."""
+    m = _messages(spark, d).dropDuplicates(["id"])
+    spans = find_personal(m).filter("pii_type = 'email'").join(m, "id")
+    plain = F.expr("substring(text, start_at, end_at - start_at + 1)").rlike(r"^[\w.+-]+@[\w-]+(?:\.[\w-]+)+$")
+    return spans.filter(plain).groupBy(F.col("id").alias("item_id")).agg(F.count(F.lit(1)).alias("emails"))
+
+
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     messages = _messages(spark, d)
     return redact(messages, find_personal(messages))
@@ -293,6 +301,11 @@ who AS (SELECT DISTINCT ON (id) id, role, source.kind AS kind FROM example_recor
 SELECT role, kind, count(DISTINCT y) AS records, count(*) AS pairs FROM p JOIN who ON who.id = p.y GROUP BY role, kind
 """
 
+P4_EMAILS = r"""
+WITH m AS (SELECT DISTINCT ON (id) id, text FROM (SELECT id, text FROM frame_items UNION ALL SELECT id, text FROM example_records))
+SELECT id AS item_id, len(regexp_extract_all(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+')) AS emails FROM m WHERE regexp_matches(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+')
+"""
+
 P8_PACKED = """
 SELECT container_no, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, 0 AS overfull FROM containers WHERE capacity > 0
 """
@@ -340,6 +353,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_splits": p3_splits,
     "p3_kept": p3_kept,
     "p4_found": p4_found,
+    "p4_emails": p4_emails,
     "p4_redacted": p4_redacted,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
@@ -363,4 +377,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_words": p10_words,
 }
 
-SQL: dict[str, str] = {"p1_counts": P1_COUNTS, "p8_packed": P8_PACKED, "p9_whole": P9_WHOLE, "p10_words": P10_WORDS, "p1_found": P1_FOUND, "p1_measures": P1_MEASURES, "p3_kept": P3_KEPT, "p5_components": P5_COMPONENTS, "p6_drawn": P6_DRAWN, "p7_frame": P7_FRAME, "p2_found": P2_FOUND, "p2_neighbours": P2_NEIGHBOURS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
+SQL: dict[str, str] = {"p4_emails": P4_EMAILS, "p1_counts": P1_COUNTS, "p8_packed": P8_PACKED, "p9_whole": P9_WHOLE, "p10_words": P10_WORDS, "p1_found": P1_FOUND, "p1_measures": P1_MEASURES, "p3_kept": P3_KEPT, "p5_components": P5_COMPONENTS, "p6_drawn": P6_DRAWN, "p7_frame": P7_FRAME, "p2_found": P2_FOUND, "p2_neighbours": P2_NEIGHBOURS, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
