@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from .sums import add_up
 from .thresholds import kth
 
 ROUNDS, RIDGE = 100, 1e-3
@@ -38,43 +41,51 @@ def _weight(weight: str | None) -> Column:
     return F.col(weight).cast("double") if weight else F.lit(1.0)
 
 
+def _rows(rows: DataFrame, z: str, y: str, weight: str | None) -> DataFrame:
+    return rows.select(F.col(z).cast("double").alias("z"), F.col(y).cast("double").alias("y"), _weight(weight).alias("w"))
+
+
+def _moments(a: float, c: float) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """Per batch the information, the score, the moments of Firth's term, the log-likelihood and the rows at (a, c)."""
+
+    def job(b: pa.RecordBatch) -> np.ndarray:
+        z, y, w = (b.column(k).to_numpy() for k in "zyw")
+        eta = a * z + c
+        p = stats.sigmoid(eta)
+        v, r = w * p * (1 - p), w * (y - p)
+        tilt = v * (0.5 - p)
+        return np.array([(v * z * z).sum(), (v * z).sum(), v.sum(), (r * z).sum(), r.sum(), *((tilt * z**k).sum() for k in range(4)), (w * (y * eta - np.logaddexp(0, eta))).sum(), len(z)])
+
+    return job
+
+
 def likelihood(rows: DataFrame, a: float, c: float, z: str = "z", y: str = "y", weight: str | None = None) -> float:
-    eta = F.lit(float(a)) * F.col(z) + F.lit(float(c))
-    soft = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-    return float(rows.agg(F.sum(_weight(weight) * (F.col(y) * eta - soft))).first()[0] or 0.0)
+    return float(add_up(_rows(rows, z, y, weight), _moments(a, c), 11)[9])
 
 
 def fit_pair(rows: DataFrame, z: str = "z", y: str = "y", weight: str | None = None, firth: bool = False) -> Pair:
     """Weighted logistic regression of y on z, lightly ridged or with Firth's leverage term.
 
-    Each Newton round is one aggregation of nine sums; leverages use the information of the round before, which is the
-    same at the end.
+    Each Newton round is one pass of eleven sums.  A row's leverage is v (i z^2 + 2 j z + k), with the entries of the
+    inverse information, so the sums of v (1/2 - p) times powers of z give Firth's term for any information.
     """
-    a, c, inv = 1.0, 0.0, np.zeros((2, 2))
-    w, x, n = _weight(weight), F.col(z).cast("double"), 0
-    info = np.eye(2)
+    use, a, c = _rows(rows, z, y, weight), 1.0, 0.0
     for _ in range(ROUNDS):
-        eta = F.lit(a) * x + F.lit(c)
-        p = 1 / (1 + F.exp(-eta))
-        v, r = w * p * (1 - p), w * (F.col(y) - p)
-        if firth:
-            r = r + v * (F.lit(float(inv[0, 0])) * x * x + F.lit(float(2 * inv[0, 1])) * x + F.lit(float(inv[1, 1]))) * (0.5 - p)
-        s = rows.agg(F.sum(v * x * x), F.sum(v * x), F.sum(v), F.sum(r * x), F.sum(r), F.count(F.lit(1))).first()
-        n = s[5]
-        if not n:
+        s = add_up(use, _moments(a, c), 11)
+        if not s[10]:
             raise ValueError("no rows to fit on")
         info = np.array([[s[0], s[1]], [s[1], s[2]]]) + 1e-9 * np.eye(2)
-        score = np.array([s[3] - (0.0 if firth else RIDGE * a), s[4]])
-        step = np.linalg.solve(info, score)
-        step *= min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
-        first = firth and not inv.any()
         inv = np.linalg.inv(info)
-        if first:  # the first round has no leverages yet
-            continue
-        a, c = a + float(step[0]), c + float(step[1])
-        if np.abs(step).max() < 1e-9:
+        score = s[3:5] - np.array([RIDGE * a, 0.0])
+        if firth:
+            m = s[5:9]
+            score = s[3:5] + np.array([inv[0, 0] * m[3] + 2 * inv[0, 1] * m[2] + inv[1, 1] * m[1], inv[0, 0] * m[2] + 2 * inv[0, 1] * m[1] + inv[1, 1] * m[0]])
+        step = inv @ score
+        step *= min(1.0, 5.0 / max(1e-12, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-8:
             break
-    return Pair(a, c, np.linalg.pinv(info), likelihood(rows, a, c, z, y, weight), n)
+        a, c = a + float(step[0]), c + float(step[1])
+    return Pair(a, c, np.linalg.pinv(info), float(s[9]), int(s[10]))
 
 
 def fit_isotonic(rows: DataFrame, p: str = "p", y: str = "y", weight: str | None = None) -> tuple[list[float], list[float]]:

@@ -17,10 +17,11 @@ from ..sources.shared import save, spread
 from . import calibration as cals
 from . import evaluation, gates, thresholds, tiers
 from .scoring import Head, calibrate
+from .sums import add_up
 
 KNN_K, PCA_K, FOLDS, AUTO_MARGIN = 10, 50, 3, 0.2
-#: Thresholds that a certified precision is tried at, and partitions beyond which sums are added in groups first.
-CANDIDATES, WIDE = 150, 64
+#: Thresholds that a certified precision is tried at.
+CANDIDATES = 150
 #: References that a task holds at a time.
 REFERENCE_ROWS = 1 << 14
 
@@ -30,30 +31,6 @@ def _matrix(b: pa.RecordBatch, vector: str) -> np.ndarray:
     return np.asarray(col.flatten(), dtype=np.float64).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
-def _sums(rows: DataFrame, job, size: int) -> np.ndarray:
-    """Sum over all partitions of a vector that ``job`` gives per batch; of many tasks groups are added up before the driver."""
-    parts = rows.rdd.getNumPartitions()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for b in batches:
-            if b.num_rows:
-                total += job(b)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for b in batches:
-            total += np.asarray(b.column("v").flatten()).reshape(-1, size).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
-
-    each = rows.mapInArrow(run, "v array<double>")
-    if parts > WIDE:
-        each = each.repartition(int(parts**0.5)).mapInArrow(add, "v array<double>")
-    t = each.toArrow()
-    return np.asarray(t.column("v").combine_chunks().flatten()).reshape(-1, size).sum(0) if t.num_rows else np.zeros(size)
-
-
 def fit_linear(rows: DataFrame, width: int, *, c: float = 1.0, balance: bool = True, vector: str = "x", label: str = "y", weight: str | None = None, rounds: int = 30) -> tuple[np.ndarray, float, bool]:
     """(weights, bias, converged): class-balanced L2 logistic regression by Newton steps over distributed sums.
 
@@ -81,7 +58,7 @@ def fit_linear(rows: DataFrame, width: int, *, c: float = 1.0, balance: bool = T
             p = stats.sigmoid(z)
             return np.r_[(s * (np.logaddexp(0, z) - y * z)).sum(), x.T @ (s * (p - y)), ((x * (s * p * (1 - p))[:, None]).T @ x).ravel()]
 
-        t = _sums(use, job, 1 + d + d * d)
+        t = add_up(use, job, 1 + d + d * d)
         loss = t[0] + 0.5 * (penalty * beta * beta).sum()
         if best is not None and loss > best[0] + 1e-9 * abs(best[0]):
             beta = (beta + best[1]) / 2  # the step was too long
@@ -98,7 +75,7 @@ def fit_linear(rows: DataFrame, width: int, *, c: float = 1.0, balance: bool = T
 def standardiser(rows: DataFrame, width: int, vector: str = "x") -> tuple[np.ndarray, np.ndarray]:
     """Means and deviations per position (1 where constant), to be folded back into the weights."""
     use = rows.select(F.transform(vector, lambda v: v.cast("double")).alias("x")).filter(F.size("x") == width)
-    t = _sums(use, lambda b: np.r_[b.num_rows, (m := _matrix(b, "x")).sum(0), (m**2).sum(0)], 1 + 2 * width)
+    t = add_up(use, lambda b: np.r_[b.num_rows, (m := _matrix(b, "x")).sum(0), (m**2).sum(0)], 1 + 2 * width)
     mean = t[1 : 1 + width] / max(1, t[0])
     sd = np.sqrt(np.maximum(0, t[1 + width :] / max(1, t[0]) - mean**2))
     return mean, np.where(sd > 1e-12, sd, 1.0)
@@ -155,7 +132,7 @@ def knn_feature(rows: DataFrame, reference: DataFrame, k: int = KNN_K, *, out_of
 def fit_pca(rows: DataFrame, width: int, k: int = PCA_K, vector: str = "x") -> tuple[np.ndarray, np.ndarray]:
     """(mean, components) of the top k directions, from distributed second moments."""
     use = rows.select(F.transform(vector, lambda v: v.cast("double")).alias("x")).filter(F.size("x") == width)
-    t = _sums(use, lambda b: np.r_[b.num_rows, (m := _matrix(b, "x")).sum(0), (m.T @ m).ravel()], 1 + width + width * width)
+    t = add_up(use, lambda b: np.r_[b.num_rows, (m := _matrix(b, "x")).sum(0), (m.T @ m).ravel()], 1 + width + width * width)
     n, mean = max(1, t[0]), t[1 : 1 + width] / max(1, t[0])
     val, vec = np.linalg.eigh(t[1 + width :].reshape(width, width) / n - np.outer(mean, mean))
     return mean, vec[:, ::-1][:, : min(k, width)].T
@@ -171,7 +148,7 @@ def guarantee_cost(rows: DataFrame, target: float, kind: str = "recall", score_c
     """False alarms at the target recall, or 1 - the best recall at the target precision; tied scores stay together."""
     if kind == "recall":
         return tiers.cascade_cost(rows.withColumnsRenamed({score_col: "s", label: "y"}) if (score_col, label) != ("s", "y") else rows, target)
-    c = thresholds.running_sums(rows, score_col, {"tp": F.col(label), "fired": F.lit(1.0)})
+    c = thresholds.runningadd_up(rows, score_col, {"tp": F.col(label), "fired": F.lit(1.0)})
     total = rows.agg(F.sum(label)).first()[0] or 0
     r = c.filter(F.col("tp") >= target * F.col("fired") - 1e-12).agg(F.max("tp")).first()[0]
     return 1.0 - float(r or 0.0) / total if total else 1.0
