@@ -510,6 +510,65 @@ def test_reading_levels(spark, data):
     assert none is None and reading.reading_levels(docs_, None).filter("level is not null").count() == 0
 
 
+def test_reading_models_use_all_documents_and_words(spark):
+    """More documents than a sample of 20,000 and more words than 50,000, each with words of its own, against numpy."""
+    rng, rows = random.Random(5), []
+    common = "the of and to that it is we have by with for".split()
+    for i in range(24_000):
+        own = [f"q{i}a", f"q{i}b", f"q{i // 2}c"]
+        plain = [rng.choice(common) for _ in range(12)] + own
+        rng.shuffle(plain)
+        rows.append((i, (". " if i % 3 else " ").join(" ".join(plain[k : k + 5]) for k in range(0, 15, 5)) + " banana" * (i % 4)))
+    rows += [(24_000, None), (24_001, "!!!"), (24_002, "das ist unbekannt")]
+    df = spark.createDataFrame(rows + rows[:500], "doc_id long, text string")
+    graded = spark.createDataFrame([("the easy cat", 2), ("of considerable difficulty", 19)], "text string, grade int")
+    got = {r.doc_id: r for r in reading.reading_levels(df, reading.train(graded, df)).collect()}
+    assert sorted(got) == list(range(24_003))
+    level = lambda g: int(np.searchsorted(reading.LEVELS, g))
+    seeds = [(re.findall(r"\w+", t.lower()), got[i].formula, 1.0) for i, t in rows if got[i].english] + [(t.split(), g, reading.LABEL_WEIGHT) for t, g in (("the easy cat", 2), ("of considerable difficulty", 19))]
+    assert len(seeds) > 20_000
+    index = {w: k for k, w in enumerate(sorted({w for ws, *_ in seeds for w in ws}))}
+    assert len(index) > reading.VOCABULARY
+    n, texts = np.zeros((len(index), 7)), np.zeros(7)
+    for ws, g, weight in seeds:
+        texts[level(g)] += weight
+        np.add.at(n[:, level(g)], [index[w] for w in ws], weight)
+    use = np.flatnonzero(n.sum(0))
+    base = (n.sum(1) + 1) / (n.sum(1) + 1).sum()
+    log = np.log((n[:, use] + reading.PRIOR_WORDS * base[:, None]) / (n[:, use].sum(0) + reading.PRIOR_WORDS))
+    unknown = np.log(reading.PRIOR_WORDS / (n.sum(1) + 1).sum() / (n[:, use].sum(0) + reading.PRIOR_WORDS))
+    prior = np.log((texts[use] + 1) / (texts[use] + 1).sum())
+    for i, t in rows:
+        ws = re.findall(r"\w+", (t or "").lower())
+        if not ws:
+            assert got[i].level is None and got[i].posterior is None
+            continue
+        s = prior + sum(log[index[w]] if w in index else unknown for w in ws)
+        p = np.exp(s - s.max())
+        p /= p.sum()
+        assert got[i].posterior == pytest.approx(p.max(), abs=1e-9)
+        if np.sort(p)[-2] < p.max() - 1e-9:
+            assert got[i].level == use[p.argmax()]
+
+
+def test_reading_words_joined_equal_words_held(spark, data, monkeypatch):
+    docs_, graded = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "graded_passages"))
+    run = lambda: {r.doc_id: r for r in reading.reading_levels(docs_, reading.train(graded, docs_)).collect()}
+    want = run()
+    monkeypatch.setattr(reading, "VOCABULARY", 40)
+    got = run()
+    assert got.keys() == want.keys() and len({r.level for r in want.values()}) > 3
+    for i, r in got.items():
+        assert (r.level, r.formula, r.english) == (want[i].level, want[i].formula, want[i].english)
+        assert (r.posterior, r.expected_grade) == pytest.approx((want[i].posterior, want[i].expected_grade), abs=1e-9)
+
+
+def test_reading_counts_repeated_rows_once(spark, data):
+    docs_, graded = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "graded_passages"))
+    want, got = (reading.train(graded, x) for x in (docs_, docs_.unionByName(docs_.filter("doc_id % 3 = 0"))))
+    assert (want.keys == got.keys).all() and np.allclose(want.log, got.log) and np.allclose(want.prior, got.prior)
+
+
 @pytest.mark.parametrize("name", sorted(set(llm.SQL) - {"p5_found"}))
 def test_query_equals_sql(name, spark, data, duck):
     from compare import same
